@@ -126,7 +126,7 @@ def metrics(spark, sf) -> DataFrame:
 def layer_vectors(spark, sf) -> DataFrame:
     """(index, position, layer, vec): four layers, each a multiple of the embedding."""
     layers = F.array(*[F.struct(F.lit(n).alias("layer"), F.lit(i + 1).alias("m")) for i, n in enumerate((2, 16, 29, 32))])
-    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", F.explode(layers).alias("l"))
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", "embedding", F.explode(layers).alias("l"))
     return rows.select(
         F.col("label").cast("long").alias("index"),
         F.col("vec_id").alias("position"),

@@ -1,0 +1,323 @@
+"""Examples: caps, checks, buckets, alignment, padding, batches, user functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parley.catalog import inputs as inp
+from parley.catalog.masks import PREPARED, _bits, _prepared
+from parley.catalog.ordering import FILES
+from parley.catalog.registry import query
+from parley.functions import arrays as ar
+from parley.functions import tokens as tk
+from parley.operators import batches as bt
+from parley.operators import examples as ex
+from parley.operators import filters as fl
+from parley.operators import order
+from parley.plans.training import chat_examples, training_batches
+
+SHOWN = f"""{inp.text_sql("ids")} AS ids, array_to_string(mask, '') AS mask"""
+
+
+def _shown(df, *keys):
+    return df.select(*keys, inp.joined(F.col("input_ids")).alias("ids"), _bits(F.col("loss_mask")).alias("mask"))
+
+
+# --------------------------------------------------------------------- caps
+
+
+@query("length_cap", f'WITH {inp.EXAMPLES} SELECT "index", seq_len FROM ex WHERE seq_len <= 400')
+def _(spark, sf):
+    return fl.length_cap(inp.examples(spark, sf), 400)[0].select("index", "seq_len")
+
+
+@query("length_cap_dropped", f"WITH {inp.EXAMPLES} SELECT count(*) FILTER (seq_len > 400) AS dropped FROM ex")
+def _(spark, sf):
+    return fl.length_cap(inp.examples(spark, sf), 400)[1]
+
+
+@query("train_length_cap", f'WITH {inp.EXAMPLES} SELECT "index", seq_len FROM ex WHERE seq_len <= 500')
+def _(spark, sf):
+    return fl.train_length_cap(inp.examples(spark, sf), 500).select("index", "seq_len")
+
+
+@query(
+    "run_stats",
+    f"""WITH {inp.EXAMPLES} SELECT coalesce(max(seq_len) FILTER (seq_len <= 400), 0) AS max_seq_len,
+      count(*) FILTER (seq_len > 400) AS dropped_count FROM ex""",
+)
+def _(spark, sf):
+    return ex.run_stats(inp.examples(spark, sf), 400)
+
+
+BUCKETED = """b AS (SELECT doc_id, n_chars, CASE WHEN n_chars < 2048 THEN '0K-2K' WHEN n_chars < 4096 THEN '2K-4K'
+  WHEN n_chars < 8192 THEN '4K-8K' WHEN n_chars < 16384 THEN '8K-16K' WHEN n_chars < 32768 THEN '16K-32K' END AS bucket
+  FROM documents)"""
+NAMES = ", ".join(f"'{label}'" for _, _, label in ar.BUCKETS)
+
+
+@query(
+    "run_stats_bucketed",
+    f"""WITH {BUCKETED}, k AS (SELECT *, n_chars <= 16384 AND bucket IS NOT NULL AS kept FROM b)
+    SELECT name AS bucket, (SELECT coalesce(max(n_chars) FILTER (kept), 0) FROM k) AS max_seq_len,
+      (SELECT count(*) FILTER (NOT kept) FROM k) AS dropped_count,
+      (SELECT count(*) FROM k WHERE kept AND bucket = name) AS "rows" FROM (SELECT unnest([{NAMES}]) AS name)""",
+)
+def _(spark, sf):
+    docs = inp.table(spark, sf, "documents").select("n_chars")
+    stats = ex.run_stats(docs, 16384, ar.BUCKETS, length="n_chars")
+    return stats.select("max_seq_len", "dropped_count", F.explode("bucket_stats").alias("bucket", "rows"))
+
+
+@query("length_bucket", f"WITH {BUCKETED} SELECT doc_id, bucket FROM b")
+def _(spark, sf):
+    docs = inp.table(spark, sf, "documents")
+    return docs.select("doc_id", ar.length_bucket(F.col("n_chars")).alias("bucket"))
+
+
+@query(
+    "bucket_counts",
+    f"""WITH {BUCKETED} SELECT name AS bucket, (SELECT count(*) FROM b WHERE bucket = name) AS "rows"
+    FROM (SELECT unnest([{NAMES}]) AS name)""",
+)
+def _(spark, sf):
+    return ex.bucket_counts(inp.table(spark, sf, "documents").select("n_chars"), length="n_chars")
+
+
+DIRS = """dirs AS (SELECT lang, CASE doc_id % 4 WHEN 0 THEN doc_id || 'K-' || n_chars || 'K' WHEN 1 THEN 'x-' || n_chars
+  WHEN 2 THEN 'a-b' ELSE 'plain' END AS name FROM documents)"""
+
+
+def _dirs(spark, sf):
+    return inp.table(spark, sf, "documents").select(
+        "lang",
+        F.expr(
+            """CASE doc_id % 4 WHEN 0 THEN concat(doc_id, 'K-', n_chars, 'K') WHEN 1 THEN concat('x-', n_chars)
+            WHEN 2 THEN 'a-b' ELSE 'plain' END"""
+        ).alias("name"),
+    )
+
+
+LIMITS = f"""{DIRS}, v AS (SELECT name, CASE WHEN name LIKE '%K' THEN 1024 * try_cast(trim(split_part(name, '-', 2), 'K') AS BIGINT)
+  WHEN name LIKE '%-%' THEN try_cast(split_part(name, '-', 2) AS BIGINT) END AS v FROM dirs)"""
+
+
+@query("parse_bucket_max", f"WITH {LIMITS} SELECT coalesce(arg_min(v, name) FILTER (v IS NOT NULL), 2048)::bigint AS max_len FROM v")
+def _(spark, sf):
+    return ex.parse_bucket_max(_dirs(spark, sf))
+
+
+@query("parse_bucket_max_largest", f"WITH {LIMITS} SELECT coalesce(max(v), 2048)::bigint AS max_len FROM v")
+def _(spark, sf):
+    return ex.parse_bucket_max(_dirs(spark, sf), largest=True)
+
+
+# ------------------------------------------------------------ checks, joins
+
+
+def _damaged(spark, sf):
+    """Examples with some lengths, masks and ids put wrong, told by the example's own length."""
+    n = F.col("seq_len")
+    return inp.examples(spark, sf).select(
+        "index",
+        F.when(n % 7 != 0, F.col("input_ids")).alias("input_ids"),
+        F.when(n % 7 == 1, ar.tail_of(F.col("loss_mask")))
+        .when(n % 7 == 2, F.transform("loss_mask", lambda m: m + 2))
+        .otherwise(F.col("loss_mask"))
+        .alias("loss_mask"),
+        F.when(n % 7 == 3, n + 1).otherwise(n).alias("seq_len"),
+    )
+
+
+DAMAGED = f"""{inp.EXAMPLES}, checked AS (SELECT "index", CASE seq_len % 7 WHEN 0 THEN 'input_ids missing'
+  WHEN 1 THEN 'loss_mask has another length' WHEN 2 THEN 'loss_mask holds other values than 0 and 1'
+  WHEN 3 THEN 'seq_len is not the number of ids' END AS error FROM ex)"""
+
+
+@query("integrity_check", f'WITH {DAMAGED} SELECT "index", error IS NULL AS is_valid, error FROM checked')
+def _(spark, sf):
+    return fl.integrity_check(_damaged(spark, sf))
+
+
+@query(
+    "validation_summary",
+    f"""WITH {DAMAGED} SELECT count(*) AS total, count(*) FILTER (error IS NULL) AS valid,
+      count(*) FILTER (error IS NOT NULL) AS corrupt FROM checked""",
+)
+def _(spark, sf):
+    return fl.validation_summary(fl.integrity_check(_damaged(spark, sf)))
+
+
+@query(
+    "remove_listed",
+    f"""WITH {FILES} SELECT path, name, length FROM files WHERE path NOT IN
+      (SELECT 'run/data_' || doc_id || '.pt' FROM labels WHERE toxic = 1)""",
+)
+def _(spark, sf):
+    bad = inp.table(spark, sf, "labels").where("toxic = 1")
+    rejects = bad.select(F.concat(F.lit("run/data_"), F.col("doc_id").cast("string"), F.lit(".pt")).alias("path"))
+    return fl.remove_listed(inp.file_table(spark, sf), rejects, "path")
+
+
+@query("skip_done", "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def _(spark, sf):
+    docs = inp.table(spark, sf, "documents").select("doc_id", "n_chars")
+    return fl.skip_done(docs, inp.table(spark, sf, "labels"), "doc_id")
+
+
+# ---------------------------------------------------------- align and batch
+
+
+@query(
+    "align_shift",
+    f"""WITH {inp.EXAMPLES} SELECT 'offline' AS mode, "index", {inp.text_sql("ids[2:]")} AS ids,
+        array_to_string(list_append(mask[:-2], 0), '') AS mask, NULL AS states FROM ex
+    UNION ALL SELECT 'online', "index", {inp.text_sql("ids[2:]")}, array_to_string(mask[2:], ''), {inp.text_sql("ids[:-2]")} FROM ex
+    UNION ALL SELECT 'older', "index", {inp.text_sql("ids[2:]")}, array_to_string(list_append(mask[:-2], 0), ''),
+        {inp.text_sql("ids[2:]")} FROM ex""",
+)
+def _(spark, sf):
+    # The ids themselves stand in for the states, which shift in the same way.
+    base = inp.examples(spark, sf).withColumn("states", F.col("input_ids"))
+    out = None
+    for mode, states in (("offline", None), ("online", "states"), ("older", "target")):
+        df = ex.align_shift(base, mode)
+        shown = inp.joined(F.col(states)) if states else F.lit(None).cast("string")
+        rows = _shown(df.withColumns({"mode": F.lit(mode), "st": shown}), "mode", "index", F.col("st").alias("states"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+# Eight rows per batch in the order of the index.
+BATCHED = f"""{inp.EXAMPLES}, b AS (SELECT *, (row_number() OVER (ORDER BY "index") - 1) // 8 AS batch FROM ex),
+m AS (SELECT *, max(seq_len) OVER (PARTITION BY batch) AS n FROM b)"""
+
+
+def _batched(spark, sf):
+    rows = inp.examples(spark, sf)
+    placed = order.global_position(rows.select("index"), "index")
+    return rows.join(placed.select("index", F.floor(F.col("pos") / 8).alias("batch")), "index")
+
+
+@query("batch_max_len", f"WITH {BATCHED} SELECT batch, max(seq_len) AS max_len FROM b GROUP BY batch")
+def _(spark, sf):
+    return ex.batch_max_len(_batched(spark, sf))
+
+
+@query(
+    "pad_ids",
+    f"""WITH {BATCHED} SELECT "index", batch, {inp.text_sql("list_resize(ids, n, 0)")} AS ids,
+      array_to_string(list_resize(mask, n, 0), '') AS mask FROM m""",
+)
+def _(spark, sf):
+    return _shown(ex.collate(_batched(spark, sf)), "index", "batch")
+
+
+@query(
+    "attention_mask",
+    f"""WITH {BATCHED} SELECT "index", repeat('1', seq_len) || repeat('0', n - seq_len) AS attention,
+      repeat('1', seq_len + 1) || repeat('0', (SELECT max(n) FROM m w WHERE w.batch = m.batch) - seq_len) AS older FROM m""",
+)
+def _(spark, sf):
+    rows = _batched(spark, sf)
+    new = ex.collate(rows).select("index", _bits(F.col("attention_mask")).alias("attention"))
+    old = ex.collate(rows, extra=1).select("index", _bits(F.col("attention_mask")).alias("older"))
+    return new.join(old, "index")
+
+
+@query(
+    "pad_ids_crop",
+    f"""WITH {inp.EXAMPLES} SELECT "index", {inp.text_sql("list_resize(ids, 300, 0)")} AS ids,
+      array_to_string(list_resize(mask, 300, 0), '') AS mask FROM ex""",
+)
+def _(spark, sf):
+    return _shown(ex.collate(inp.examples(spark, sf), n=300, overflow="crop"), "index")
+
+
+@query(
+    "training_batches",
+    f"""WITH {inp.EXAMPLES}, kept AS (SELECT * FROM ex WHERE seq_len <= 600),
+      p AS (SELECT *, row_number() OVER (ORDER BY md5('42:3:' || "index"), "index") - 1 AS p, count(*) OVER () AS n FROM kept),
+      w AS (SELECT *, p AS q FROM p UNION ALL SELECT *, p + n FROM p WHERE p + n < ceil(n / 2.0) * 2),
+      s AS (SELECT "index", (q % 2)::int AS rank, (q // 2) // 4 AS batch, ((q // 2) % 4)::int AS slot, ids[2:] AS ids,
+        list_append(mask[:-2], 0) AS mask, seq_len FROM w),
+      m AS (SELECT *, max(seq_len) OVER (PARTITION BY rank, batch) AS width FROM s)
+    SELECT "index", rank, batch, slot, {inp.text_sql("list_resize(ids, width, 0)")} AS ids,
+      array_to_string(list_resize(mask, width, 0), '') AS mask FROM m""",
+)
+def _(spark, sf):
+    out = training_batches(inp.examples(spark, sf), epoch=3, ranks=2, batch_size=4, seed=42, cap=600)
+    return _shown(out, "index", "rank", "batch", "slot")
+
+
+# -------------------------------------------------------------- user functions
+
+
+# User functions are closures, which travel to the tasks by value.
+
+
+@query(
+    "map_batches",
+    "SELECT doc_id, (length(text) - length(replace(text, ' ', '')))::bigint AS blanks FROM documents WHERE length(text) > 100",
+)
+def _(spark, sf):
+    def count_blanks(frame):
+        long_ones = frame[frame["text"].str.len() > 100]
+        return long_ones[["doc_id"]].assign(blanks=long_ones["text"].str.count(" "))
+
+    docs = inp.table(spark, sf, "documents").select("doc_id", "text")
+    return bt.map_batches(docs, count_blanks, "doc_id long, blanks long")
+
+
+@query("row_transform", "SELECT doc_id, length(text)::int AS n FROM documents")
+def _(spark, sf):
+    docs = inp.table(spark, sf, "documents").select("doc_id", "text")
+    return bt.row_transform(docs, lambda df: df.withColumn("n", F.length("text")).drop("text"))
+
+
+def word_tokeniser(vocab_size: int = inp.VOCAB):
+    """The built-in tokeniser once more, as a factory of objects like any other tokeniser."""
+
+    def factory():
+        import hashlib
+
+        def encode(text: str) -> list[int]:
+            return [int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % vocab_size for w in text.split()]
+
+        return encode
+
+    return factory
+
+
+@query(
+    "pluggable_tokeniser",
+    f"""SELECT doc_id, {inp.text_sql(f"[{inp.token_sql('w')} for w in regexp_extract_all(text, '{inp.WORD}')]")} AS ids
+    FROM documents""",
+)
+def _(spark, sf):
+    encode = bt.pluggable_tokeniser(word_tokeniser())
+    docs = inp.table(spark, sf, "documents").select("doc_id", encode("text").alias("input_ids"))
+    return docs.select("doc_id", inp.joined(F.col("input_ids")).alias("ids"))
+
+
+@query(
+    "chat_examples_plugged",
+    f"WITH {PREPARED} SELECT conv_id AS \"index\", len(regexp_extract_all(text, '{inp.WORD}'))::int AS seq_len FROM rendered",
+)
+def _(spark, sf):
+    out = chat_examples(
+        _prepared(spark, sf),
+        "conv_id",
+        "qwen",
+        tokenise=bt.pluggable_tokeniser(word_tokeniser()),
+        count_tokens=bt.pluggable_counter(word_tokeniser()),
+    )
+    return out.where(F.size("loss_mask") == F.col("seq_len")).select("index", "seq_len")
+
+
+@query(
+    "tokenise_words",
+    f"SELECT doc_id, len(regexp_extract_all(text, '{inp.WORD}'))::int AS n FROM documents",
+)
+def _(spark, sf):
+    return inp.table(spark, sf, "documents").select("doc_id", F.size(tk.words(F.col("text"))).alias("n"))

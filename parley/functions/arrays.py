@@ -5,6 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once.
+
+    An expression that a lambda refers to from outside is evaluated again for every
+    element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # Half-open length ranges and their names.
 BUCKETS = (
     (0, 2048, "0K-2K"),

@@ -23,12 +23,10 @@ _RUNS = "array<struct<ones:int,zeros:int>>"
 
 
 def _counts(turn_len: Column, instr_len: Column) -> Column:
-    return F.transform(
-        turn_len,
-        lambda t, i: F.struct(
-            i.cast("int").alias("i"), t.cast("int").alias("t"), F.get(instr_len, i).cast("int").alias("k")
-        ),
+    pairs = F.zip_with(
+        turn_len, instr_len, lambda t, k: F.struct(t.cast("int").alias("t"), k.cast("int").alias("k"))
     )
+    return F.transform(pairs, lambda x, i: F.struct(i.cast("int").alias("i"), x["t"].alias("t"), x["k"].alias("k")))
 
 
 def cumulative_turn_start(turn_len: Column, family: str) -> Column:
@@ -50,24 +48,26 @@ def _mask(length: Column, turn_len: Column, instr_len: Column, family: str) -> C
     (head_lo, head_hi), (tail_lo, tail_hi) = rule["head"], rule["tail"]
     head_gap, tail_gap = rule["gap"]
 
-    def inside(position):
-        return F.least(F.greatest(position, F.lit(0)), total)
+    def inside(position, acc):
+        return F.least(F.greatest(position, F.lit(0)), acc["total"])
 
     def add_turn(acc, x):
         cur, first = acc["cur"], x["i"] == 0
         k = x["k"] - rule["trim"]
         from_zero = F.lit(0) if head_lo is None else cur + head_lo
-        lo = inside(F.when(first, from_zero).otherwise(cur + tail_lo))
-        hi = inside(cur + k + F.when(first, F.lit(head_hi)).otherwise(F.lit(tail_hi)))
+        lo = inside(F.when(first, from_zero).otherwise(cur + tail_lo), acc)
+        hi = inside(cur + k + F.when(first, F.lit(head_hi)).otherwise(F.lit(tail_hi)), acc)
         ones = F.greatest(lo - acc["done"], F.lit(0))
         zeros = F.greatest(hi - acc["done"] - ones, F.lit(0))
         return F.struct(
+            acc["total"].alias("total"),
             (cur + x["t"] + F.when(first, F.lit(head_gap)).otherwise(F.lit(tail_gap))).alias("cur"),
             (acc["done"] + ones + zeros).alias("done"),
             F.concat(acc["runs"], F.array(F.struct(ones.alias("ones"), zeros.alias("zeros")))).alias("runs"),
         )
 
     start = F.struct(
+        total.alias("total"),
         F.lit(1).alias("cur"),
         F.least(F.lit(1), total).alias("done"),
         F.array().cast(_RUNS).alias("runs"),
@@ -80,12 +80,12 @@ def _mask(length: Column, turn_len: Column, instr_len: Column, family: str) -> C
                 lambda r: F.concat(F.array_repeat(F.lit(1), r["ones"]), F.array_repeat(F.lit(0), r["zeros"])),
             )
         )
-        ones = F.greatest(inside(acc["cur"]) - acc["done"], F.lit(0))
+        ones = F.greatest(inside(acc["cur"], acc) - acc["done"], F.lit(0))
         return F.concat(
-            F.array_repeat(F.lit(0), F.least(F.lit(1), total)),
+            F.array_repeat(F.lit(0), F.least(F.lit(1), acc["total"])),
             runs,
             F.array_repeat(F.lit(1), ones),
-            F.array_repeat(F.lit(0), total - acc["done"] - ones),
+            F.array_repeat(F.lit(0), acc["total"] - acc["done"] - ones),
         )
 
     masked = F.aggregate(_counts(turn_len, instr_len), start, add_turn, assemble)
@@ -122,4 +122,5 @@ def zero_last_mask(mask: Column) -> Column:
 
 def supervised_tokens(ids: Column, mask: Column) -> Column:
     """ARR-17: ids whose mask is 1."""
-    return F.filter(ids, lambda x, i: F.get(mask, i) == 1)
+    pairs = F.arrays_zip(ids.alias("t"), mask.alias("m"))
+    return F.transform(F.filter(pairs, lambda x: x["m"] == 1), lambda x: x["t"])

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.functions.arrays import let
+
 # The characters Python's str.split() treats as blanks.
 BLANKS = r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORD = f"[^{BLANKS}]+"
@@ -130,18 +132,25 @@ def split_turns(text: Column, sep_user: str) -> Column:
 
     Null when the separator does not occur.
     """
-    parts = _split(text, sep_user)
-    first = F.concat(F.get(parts, F.lit(0)), F.lit(sep_user), F.get(parts, F.lit(1)))
-    rest = F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0)))
-    return F.when(F.size(parts) > 1, F.concat(F.array(first), rest))
+
+    def glued(parts):
+        first = F.concat(F.get(parts, F.lit(0)), F.lit(sep_user), F.get(parts, F.lit(1)))
+        rest = F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0)))
+        return F.when(F.size(parts) > 1, F.concat(F.array(first), rest))
+
+    return let(_split(text, sep_user), glued)
 
 
 def valid_turn_prefix(turns: Column, sep_assistant: str) -> Column:
     """ARR-7: turns before the first that is empty or not exactly one question and one answer."""
-    bad = F.transform(turns, lambda t: (t == "") | (F.size(_split(t, sep_assistant)) != 2))
-    first_bad = F.array_position(bad, F.lit(True))
-    keep = F.when(first_bad == 0, F.size(turns)).otherwise(first_bad - 1)
-    return F.slice(turns, F.lit(1), keep.cast("int"))
+
+    def prefix(whole):
+        bad = F.transform(whole, lambda t: (t == "") | (F.size(_split(t, sep_assistant)) != 2))
+        first_bad = F.array_position(bad, F.lit(True))
+        keep = F.when(first_bad == 0, F.size(whole)).otherwise(first_bad - 1)
+        return F.slice(whole, F.lit(1), keep.cast("int"))
+
+    return let(turns, prefix)
 
 
 def instruction_part(turn: Column, sep_assistant: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parley.functions.arrays import let
+
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
@@ -18,9 +20,11 @@ def unit_draw(seed: int, key: Column, i: Column) -> Column:
 
 def uniform_noise(vec: Column, key: Column, std: float = 0.2, seed: int = 0) -> Column:
     """ARR-19: v + (u - 0.5) * std * 512 / width."""
-    scale = F.lit(std * 512.0) / F.size(vec)
-    return F.transform(
-        vec.cast("array<double>"), lambda x, i: x + (unit_draw(seed, key, i) - F.lit(0.5)) * scale
+    return let(
+        F.lit(std * 512.0) / F.size(vec),
+        lambda scale: F.transform(
+            vec.cast("array<double>"), lambda x, i: x + (unit_draw(seed, key, i) - F.lit(0.5)) * scale
+        ),
     )
 
 
@@ -32,21 +36,26 @@ def smooth_l1(a: Column, b: Column) -> Column:
         return F.when(d < 1.0, d * d * F.lit(0.5)).otherwise(d - F.lit(0.5))
 
     parts = F.zip_with(a.cast("array<double>"), b.cast("array<double>"), one)
-    return _sum(parts) / F.size(parts)
+    return _sum(parts) / F.size(a)
 
 
 def log_softmax(logits: Column) -> Column:
     """Max-shifted log-softmax."""
-    values = logits.cast("array<double>")
-    top = F.array_max(values)
-    norm = F.log(_sum(F.transform(values, lambda x: F.exp(x - top))))
-    return F.transform(values, lambda x: x - top - norm)
+
+    def shifted(values):
+        return let(F.array_max(values), lambda top: F.transform(values, lambda x: x - top))
+
+    def normed(values):
+        norm = F.log(_sum(F.transform(values, lambda x: F.exp(x))))
+        return let(norm, lambda n: F.transform(values, lambda x: x - n))
+
+    return let(let(logits.cast("array<double>"), shifted), normed)
 
 
 def take(values: Column, ids: list[int] | Column) -> Column:
     """Elements at the given (0-based) positions."""
     at = ids if isinstance(ids, Column) else F.array(*[F.lit(int(i)) for i in ids])
-    return F.transform(at, lambda i: F.get(values, i))
+    return let(values, lambda v: F.transform(at, lambda i: F.get(v, i)))
 
 
 def cross_entropy(pred: Column, target: Column) -> Column:

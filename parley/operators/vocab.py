@@ -185,18 +185,11 @@ def vocab_map_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 def decode_tokens(df: DataFrame, vocab: DataFrame, key: str, ids: str = "input_ids", sep: str = "") -> DataFrame:
     """JON-5: ids back to text. ``vocab`` is (token_id, token); an unknown id shows as ``<token_N>``.
 
-    Each distinct id is looked up once per row it occurs in. The vocabulary is not
-    hinted: its size decides the join.
+    The vocabulary is not hinted: its size decides the join.
     """
-    wanted = df.select(key, F.explode(F.array_distinct(ids)).alias("token_id"))
-    found = wanted.join(vocab.select("token_id", "token"), "token_id")
-    names = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token_id", "token"))).alias("_names"))
-    joined = df.select(key, ids).join(names, key, "left")
-
-    def name(t):
-        return F.coalesce(
-            F.try_element_at(F.col("_names"), t),
-            F.concat(F.lit("<token_"), t.cast("string"), F.lit(">")),
-        )
-
-    return joined.select(key, F.array_join(F.transform(ids, name), sep).alias("text"))
+    rows = df.select(key, F.posexplode_outer(ids).alias("_pos", "token_id"))
+    named = rows.join(vocab.select("token_id", "token"), "token_id", "left")
+    text = F.coalesce("token", F.concat(F.lit("<token_"), F.col("token_id").cast("string"), F.lit(">")))
+    one = F.when(F.col("_pos").isNotNull(), F.struct("_pos", text.alias("text")))
+    back = named.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("_t"))
+    return back.select(key, F.array_join(F.transform("_t", lambda t: t["text"]), sep).alias("text"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parley.functions import tokens as tk
 from parley.operators.normalise import nest_turns
 from parley.plans.mix import Corpus
+from parley.session import fill_cores
 
 VOCAB = 4096
 EOS = 4095
@@ -18,6 +19,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Columns of the documents, spread for work that is heavy per row."""
+    return fill_cores(table(spark, sf, "documents").select(*columns))
+
+
 def joined(ids: Column) -> Column:
     """An array as text, so that rows compare the same everywhere."""
     return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
@@ -88,7 +94,8 @@ def examples(spark, sf) -> DataFrame:
 
 def token_rows(spark, sf, table_name: str = "conversations") -> DataFrame:
     """(conv_id, turn, role, i, target): one row per word, straight from the long table."""
-    rows = table(spark, sf, table_name).select("conv_id", "turn", "role", F.posexplode(tk.words(F.col("text"))).alias("i", "w"))
+    turns = fill_cores(table(spark, sf, table_name).select("conv_id", "turn", "role", "text"))
+    rows = turns.select("conv_id", "turn", "role", F.posexplode(tk.words(F.col("text"))).alias("i", "w"))
     return rows.select("conv_id", "turn", "role", "i", tk.token_id(F.col("w"), VOCAB).alias("target"))
 
 

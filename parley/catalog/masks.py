@@ -80,7 +80,7 @@ def _(spark, sf):
     FROM documents""",
 )
 def _(spark, sf):
-    docs = inp.table(spark, sf, "documents")
+    docs = inp.documents(spark, sf, "doc_id", "text")
     return docs.select("doc_id", inp.joined(tk.tokenise(F.col("text"), inp.VOCAB)).alias("ids"))
 
 

@@ -22,7 +22,7 @@ from parley.plans.vocabulary import text_token_freq
     FROM pred LEFT JOIN d ON d.token_id = target GROUP BY k""",
 )
 def _(spark, sf):
-    freq = text_token_freq(inp.table(spark, sf, "documents"), vocab_size=inp.VOCAB)
+    freq = text_token_freq(inp.documents(spark, sf, "text"), vocab_size=inp.VOCAB)
     t2d = vo.t2d_mask(spark, vo.draft_vocab(freq, 1024).drop("r"), inp.VOCAB)
     rows = vo.supervised_in_draft(inp.predictions(spark, sf).drop("top_ids"), t2d, inp.VOCAB)
     found = ev.masked_accuracy(rows, position_mask="position_mask")

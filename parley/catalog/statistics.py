@@ -33,7 +33,7 @@ def _rounded(df):
 
 
 def _lengths(spark, sf):
-    docs = inp.table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    docs = inp.documents(spark, sf, "doc_id", "source", "lang", "text")
     return ln.text_lengths(docs)
 
 
@@ -54,7 +54,7 @@ def _(spark, sf):
 
 @query("length_report", f"WITH {UNITS} SELECT dataset, unit, {STATS.format(x='x')} FROM units GROUP BY ALL")
 def _(spark, sf):
-    docs = inp.table(spark, sf, "documents").select("source", "text")
+    docs = inp.documents(spark, sf, "source", "text")
     return _rounded(ln.length_report(docs, "source"))
 
 
@@ -66,7 +66,7 @@ def _(spark, sf):
     FROM units GROUP BY dataset, unit""",
 )
 def _(spark, sf):
-    docs = inp.table(spark, sf, "documents").select("source", "text")
+    docs = inp.documents(spark, sf, "source", "text")
     return ln.summary_table(ln.length_report(docs, "source"))
 
 
@@ -103,7 +103,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     # The digits of a text serve as the extracted text, so that many come out empty.
-    docs = inp.table(spark, sf, "documents").select("lang", F.regexp_replace("text", "[^0-9]", "").alias("text"))
+    docs = inp.documents(spark, sf, "lang", "text").select("lang", F.regexp_replace("text", "[^0-9]", "").alias("text"))
     kept, _ = fl.nonempty_text(docs)
     valid = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("valid"))
     whole = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -118,7 +118,7 @@ def _(spark, sf):
     FROM (SELECT regexp_replace(text, '[^0-9]', '', 'g') AS d FROM documents)""",
 )
 def _(spark, sf):
-    docs = inp.table(spark, sf, "documents").select(F.regexp_replace("text", "[^0-9]", "").alias("text"))
+    docs = inp.documents(spark, sf, "text").select(F.regexp_replace("text", "[^0-9]", "").alias("text"))
     return fl.nonempty_text(docs)[1]
 
 

@@ -186,7 +186,7 @@ def _(spark, sf):
 
 
 def _map(spark, sf, sizes=(256, 1024)):
-    draft = vo.draft_vocab(text_token_freq(inp.table(spark, sf, "documents"), vocab_size=inp.VOCAB), sizes, inp.EOS)
+    draft = vo.draft_vocab(text_token_freq(inp.documents(spark, sf, "text"), vocab_size=inp.VOCAB), sizes, inp.EOS)
     return vo.d2t_offsets(draft), vo.t2d_mask(spark, draft, inp.VOCAB)
 
 

@@ -265,13 +265,13 @@ def _(spark, sf):
         long_ones = frame[frame["text"].str.len() > 100]
         return long_ones[["doc_id"]].assign(blanks=long_ones["text"].str.count(" "))
 
-    docs = inp.table(spark, sf, "documents").select("doc_id", "text")
+    docs = inp.documents(spark, sf, "doc_id", "text")
     return bt.map_batches(docs, count_blanks, "doc_id long, blanks long")
 
 
 @query("row_transform", "SELECT doc_id, length(text)::int AS n FROM documents")
 def _(spark, sf):
-    docs = inp.table(spark, sf, "documents").select("doc_id", "text")
+    docs = inp.documents(spark, sf, "doc_id", "text")
     return bt.row_transform(docs, lambda df: df.withColumn("n", F.length("text")).drop("text"))
 
 
@@ -296,7 +296,7 @@ def word_tokeniser(vocab_size: int = inp.VOCAB):
 )
 def _(spark, sf):
     encode = bt.pluggable_tokeniser(word_tokeniser())
-    docs = inp.table(spark, sf, "documents").select("doc_id", encode("text").alias("input_ids"))
+    docs = inp.documents(spark, sf, "doc_id", "text").select("doc_id", encode("text").alias("input_ids"))
     return docs.select("doc_id", inp.joined(F.col("input_ids")).alias("ids"))
 
 
@@ -320,4 +320,4 @@ def _(spark, sf):
     f"SELECT doc_id, len(regexp_extract_all(text, '{inp.WORD}'))::int AS n FROM documents",
 )
 def _(spark, sf):
-    return inp.table(spark, sf, "documents").select("doc_id", F.size(tk.words(F.col("text"))).alias("n"))
+    return inp.documents(spark, sf, "doc_id", "text").select("doc_id", F.size(tk.words(F.col("text"))).alias("n"))

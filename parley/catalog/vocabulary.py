@@ -15,12 +15,12 @@ SIZES = (256, 1024)
 
 
 def _freq(spark, sf):
-    return text_token_freq(inp.table(spark, sf, "documents"), vocab_size=inp.VOCAB)
+    return text_token_freq(inp.documents(spark, sf, "text"), vocab_size=inp.VOCAB)
 
 
 @query("token_freq_all", f"WITH {inp.DOC_FREQ} SELECT * FROM freq")
 def _(spark, sf):
-    docs = inp.table(spark, sf, "documents")
+    docs = inp.documents(spark, sf, "text")
     return vo.token_freq_all(docs, tk.tokenise(F.col("text"), inp.VOCAB))
 
 
@@ -52,7 +52,8 @@ NAMES = f"names AS (SELECT {inp.token_sql('w')} AS token_id, min(w) AS token FRO
 
 
 def _names(spark, sf, vocab_size=inp.VOCAB):
-    words = inp.table(spark, sf, "documents").select(F.explode(tk.words(F.col("text"))).alias("w"))
+    # The smallest of many strings is found by sorting, so only distinct words get there.
+    words = inp.documents(spark, sf, "text").select(F.explode(tk.words(F.col("text"))).alias("w")).distinct()
     ids = words.select("w", tk.token_id(F.col("w"), vocab_size).alias("token_id"))
     return ids.groupBy("token_id").agg(F.min("w").alias("token"))
 

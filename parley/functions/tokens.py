@@ -56,7 +56,7 @@ FAMILIES = ("deepseek", "qwen", "llama", "generic")
 
 def words(text: Column) -> Column:
     """Whitespace words, as ``str.split()`` gives them."""
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(text, f"[{BLANKS}]+"), "")
 
 
 def token_id(word: Column, vocab_size: int = 4096) -> Column:

@@ -79,14 +79,14 @@ def collate(
     """ARR-15/16: pad ids and mask of each row to the batch maximum (or ``n``) and add the attention mask.
 
     The maximum counts the mask too, which is one longer than the ids after an
-    offline alignment.
+    offline alignment. A column ``pad_len`` that is there already is used as it is.
     """
-    if n is None:
+    if n is not None:
+        df = df.withColumn("pad_len", F.lit(n))
+    elif "pad_len" not in df.columns:
         # A batch holds a fixed number of rows, so one window per batch is small.
         longest = F.greatest(F.size("input_ids") + extra, F.size("loss_mask"))
         df = df.withColumn("pad_len", F.max(longest).over(Window.partitionBy(*batch)))
-    else:
-        df = df.withColumn("pad_len", F.lit(n))
     width = F.col("pad_len")
     return df.withColumns(
         {

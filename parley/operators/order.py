@@ -37,15 +37,18 @@ def _starts(counts: DataFrame, segment: str, bound: int) -> DataFrame:
 def global_position(
     df: DataFrame, order_by, pos: str = "pos", total: str | None = None, partitions: int | None = None
 ) -> DataFrame:
-    """Add ``pos`` = 0, 1, 2, ... in the order of ``order_by`` (which must be a total order).
+    """Add ``pos`` = 0, 1, 2, ... in the order of ``order_by``.
 
-    Keep ``df`` narrow: what it holds is shuffled and written once. ``total`` names
-    a column for the number of rows.
+    Rows with equal keys are told apart by a hash of all their columns, so a key
+    that many rows share is spread over partitions and its rows keep their places
+    when a task runs again. Keep ``df`` narrow: what it holds is shuffled and
+    written once. ``total`` names a column for the number of rows.
     """
     keys = _names(order_by)
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    tied = df.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    ranged = tied.repartitionByRange(parts, *keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
     rows = materialise(ranged.withColumn("_mid", F.monotonically_increasing_id()), "position")
     part = F.shiftright("_mid", _ROW_BITS)
     counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
@@ -78,6 +81,7 @@ def shuffled_position(
 ) -> DataFrame:
     """The position each row gets in ``seeded_shuffle``, without sorting globally.
 
+    ``key`` must be unique: the hash then spreads the rows evenly over the segments.
     ``first`` keeps the first so many rows (a number, or an expression over the
     column ``_total``): segments past it are left out before the shuffle.
     """

@@ -132,7 +132,9 @@ def t2d_mask(spark: SparkSession, draft: DataFrame, vocab_size: int) -> DataFram
     if by:
         sizes = chosen.select("r").distinct().agg(F.sort_array(F.collect_set("r")).alias("s")).scalar()
         target = target.withColumn("r", F.explode(sizes))
-    joined = target.join(broadcast_within(chosen, vocab_size), [*by, "token_id"], "left")
+    if not by:
+        chosen = broadcast_within(chosen, vocab_size)
+    joined = target.join(chosen, [*by, "token_id"], "left")
     return joined.select(*by, "token_id", F.col("_in").isNotNull().alias("in_draft"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import masks as mk
@@ -38,9 +38,10 @@ def chat_examples(
         F.col(key).alias("index"),
         tk.render_chat(F.col(turns), family).alias("_text"),
     )
-    parts = rendered.withColumn(
-        "_turns", tk.valid_turn_prefix(tk.split_turns(F.col("_text"), sep["user"]), sep["assistant"])
-    )
+    # Every usable part holds a separator, so it is at least one token long and the
+    # parts after these start behind the last id that is kept.
+    usable = tk.valid_turn_prefix(tk.split_turns(F.col("_text"), sep["user"]), sep["assistant"])
+    parts = rendered.withColumn("_turns", F.slice(usable, 1, limit + 4))
     counted = parts.select(
         "index",
         tk.truncate_ids(tokenise(F.col("_text")), limit).alias("input_ids"),
@@ -62,9 +63,12 @@ def training_batches(
 ) -> DataFrame:
     """Padded rows of one epoch, placed by (rank, batch, slot).
 
-    The plan is made on keys alone and joined back, so sequences are shuffled once.
+    The plan and the width of each batch are made from keys and lengths alone and
+    joined back, so sequences are shuffled once. ``n`` pads to a fixed width.
     """
     kept = examples.where(F.col("seq_len") <= cap)
-    plan = order.batch_plan(order.epoch_plan(kept.select("index"), epoch, ranks, "index", seed), batch_size)
+    plan = order.batch_plan(order.epoch_plan(kept.select("index", "seq_len"), epoch, ranks, "index", seed), batch_size)
+    width = F.max("seq_len").over(Window.partitionBy("rank", "batch"))
+    plan = plan.withColumn("pad_len", width).drop("seq_len")
     rows = ex.align_shift(kept, "offline").join(plan, "index")
     return ex.collate(rows, ("rank", "batch"), n=n)

@@ -19,6 +19,7 @@ def local_session(cores: int | str = 8, app: str = "parley", **conf) -> SparkSes
     settings = {
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "12g",
@@ -66,6 +67,16 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fill_cores(df: DataFrame) -> DataFrame:
+    """Spread the rows when a scan has fewer tasks than there are cores.
+
+    A corpus of any size has more file splits than the cluster has cores and goes
+    through unchanged; one small file is otherwise worked on by a single task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only when the caller can prove at most ``max_rows`` rows.
 

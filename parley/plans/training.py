@@ -65,6 +65,7 @@ def training_batches(
 
     The plan and the width of each batch are made from keys and lengths alone and
     joined back, so sequences are shuffled once. ``n`` pads to a fixed width.
+    ``examples`` is read more than once and should be a written table.
     """
     kept = examples.where(F.col("seq_len") <= cap)
     plan = order.batch_plan(order.epoch_plan(kept.select("index", "seq_len"), epoch, ranks, "index", seed), batch_size)

@@ -74,8 +74,9 @@ def _(spark, sf):
     "length_histogram",
     f"""WITH {LENGTHS}, r AS (SELECT lang, min(chars)::double AS lo, max(chars)::double AS hi, count(*) AS n,
         quantile_cont(chars, 0.95)::double AS p95 FROM lengths GROUP BY lang),
-      b AS (SELECT lang, least(floor((chars - lo) * 50 / (hi - lo)), 49)::int AS bin, lo, (hi - lo) / 50 AS width, n, p95
-        FROM lengths JOIN r USING (lang))
+      g AS (SELECT lang, chars, least(floor((chars - lo) / (hi - lo) * 50), 49)::int AS g, lo, (hi - lo) / 50 AS width, n, p95
+        FROM lengths JOIN r USING (lang)),
+      b AS (SELECT *, g - (chars < g * width + lo)::int + (g < 49 AND chars >= (g + 1) * width + lo)::int AS bin FROM g)
     SELECT lang, bin, round(any_value(lo + bin * width), 6) AS bin_start, count(*) AS count,
       round(count(*) / any_value(n * width), 9) AS density, round(any_value(p95), 6) AS axis_limit
     FROM b GROUP BY lang, bin""",

@@ -16,6 +16,41 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def scan(values: Column, start: Column, op, neutral: Column) -> Column:
+    """[start, start op v0, start op v0 op v1, ...], one element more than ``values``.
+
+    Worked out in blocks of about the square root of the length, so that a record
+    with very many turns does not copy its whole prefix for every turn.
+    """
+
+    def running(part, first):
+        return F.aggregate(
+            part, F.array(first), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x)))
+        )
+
+    def blocked(v, width):
+        last = F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / width).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(v, b * width + 1, width))
+        return let(F.transform(parts, lambda part: running(part, neutral)), joined)
+
+    def joined(inner):
+        return let(running(F.transform(inner, lambda r: F.element_at(r, -1)), start), lambda s: spread(inner, s))
+
+    def spread(inner, starts):
+        shifted = F.zip_with(
+            inner,
+            head_of(starts),
+            lambda r, s: F.transform(head_of(r), lambda x: op(s, x)),
+        )
+        return F.concat(F.flatten(shifted), F.array(F.element_at(starts, -1)))
+
+    def sized(v):
+        width = F.greatest(F.ceil(F.sqrt(F.size(v))), F.lit(1)).cast("int")
+        return let(width, lambda w: blocked(v, w))
+
+    return let(values, sized)
+
+
 # Half-open length ranges and their names.
 BUCKETS = (
     (0, 2048, "0K-2K"),

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parley.functions.arrays import head_of, let, scan
+
 # Fixed values per family. Zero range of a turn that starts at c with k tokens of
 # instruction: [c + lo, c + k + hi); "head" is for turn 0 (lo None = from position
 # 0), "tail" for the others. "gap" is added to c after turn 0 and after the others.
@@ -19,77 +21,69 @@ RULES = {
 }
 RULES["deepseek"] = RULES["qwen"]
 
-_RUNS = "array<struct<ones:int,zeros:int>>"
 
+def _by_place(first: Column, head, tail) -> Column:
+    return F.when(first, F.lit(head)).otherwise(F.lit(tail))
 
-def _counts(turn_len: Column, instr_len: Column) -> Column:
-    pairs = F.zip_with(
-        turn_len, instr_len, lambda t, k: F.struct(t.cast("int").alias("t"), k.cast("int").alias("k"))
-    )
-    return F.transform(pairs, lambda x, i: F.struct(i.cast("int").alias("i"), x["t"].alias("t"), x["k"].alias("k")))
+
+def _starts(turn_len: Column, family: str) -> Column:
+    head_gap, tail_gap = RULES[family]["gap"]
+    steps = F.transform(turn_len, lambda t, i: t.cast("int") + _by_place(i == 0, head_gap, tail_gap))
+    return scan(steps, F.lit(1), lambda a, b: a + b, F.lit(0))
 
 
 def cumulative_turn_start(turn_len: Column, family: str) -> Column:
     """WIN-3: token position where each turn starts, then where the last one ends."""
-    head_gap, tail_gap = RULES[family]["gap"]
-    steps = F.transform(
-        turn_len, lambda t, i: t.cast("int") + F.when(i == 0, F.lit(head_gap)).otherwise(F.lit(tail_gap))
-    )
-    return F.aggregate(
-        steps,
-        F.array(F.lit(1)),
-        lambda acc, step: F.concat(acc, F.array(F.element_at(acc, -1) + step)),
-    )
+    return _starts(turn_len, family)
 
 
 def _mask(length: Column, turn_len: Column, instr_len: Column, family: str) -> Column:
     rule = RULES[family]
-    total = length.cast("int")
     (head_lo, head_hi), (tail_lo, tail_hi) = rule["head"], rule["tail"]
-    head_gap, tail_gap = rule["gap"]
-
-    def inside(position, acc):
-        return F.least(F.greatest(position, F.lit(0)), acc["total"])
-
-    def add_turn(acc, x):
-        cur, first = acc["cur"], x["i"] == 0
-        k = x["k"] - rule["trim"]
-        from_zero = F.lit(0) if head_lo is None else cur + head_lo
-        lo = inside(F.when(first, from_zero).otherwise(cur + tail_lo), acc)
-        hi = inside(cur + k + F.when(first, F.lit(head_hi)).otherwise(F.lit(tail_hi)), acc)
-        ones = F.greatest(lo - acc["done"], F.lit(0))
-        zeros = F.greatest(hi - acc["done"] - ones, F.lit(0))
+
+    def zero_range(start, k, i, total):
+        def inside(position):
+            return F.least(F.greatest(position, F.lit(0)), total)
+
+        from_start = F.lit(0) if head_lo is None else start + head_lo
         return F.struct(
-            acc["total"].alias("total"),
-            (cur + x["t"] + F.when(first, F.lit(head_gap)).otherwise(F.lit(tail_gap))).alias("cur"),
-            (acc["done"] + ones + zeros).alias("done"),
-            F.concat(acc["runs"], F.array(F.struct(ones.alias("ones"), zeros.alias("zeros")))).alias("runs"),
+            inside(F.when(i == 0, from_start).otherwise(start + tail_lo)).alias("lo"),
+            inside(start + k.cast("int") - rule["trim"] + _by_place(i == 0, head_hi, tail_hi)).alias("hi"),
         )
 
-    start = F.struct(
-        total.alias("total"),
-        F.lit(1).alias("cur"),
-        F.least(F.lit(1), total).alias("done"),
-        F.array().cast(_RUNS).alias("runs"),
-    )
-
-    def assemble(acc):
-        runs = F.flatten(
-            F.transform(
-                acc["runs"],
-                lambda r: F.concat(F.array_repeat(F.lit(1), r["ones"]), F.array_repeat(F.lit(0), r["zeros"])),
-            )
+    def ranges(starts, total):
+        pairs = F.zip_with(head_of(starts), instr_len, lambda c, k: F.struct(c.alias("c"), k.alias("k")))
+        return F.transform(pairs, lambda x, i: zero_range(x["c"], x["k"], i, total))
+
+    def assemble(starts, zeros, total):
+        """Between the ranges ones; ``done`` is how far the mask has got before each range."""
+        ends = F.transform(zeros, lambda z: F.greatest(z["lo"], z["hi"]))
+        return let(
+            scan(ends, F.least(F.lit(1), total), F.greatest, F.lit(0)),
+            lambda done: F.concat(
+                F.array_repeat(F.lit(0), F.least(F.lit(1), total)),
+                F.flatten(F.zip_with(zeros, head_of(done), run)),
+                rest(F.element_at(done, -1), F.least(F.element_at(starts, -1), total), total),
+            ),
         )
-        ones = F.greatest(inside(acc["cur"], acc) - acc["done"], F.lit(0))
-        return F.concat(
-            F.array_repeat(F.lit(0), F.least(F.lit(1), acc["total"])),
-            runs,
-            F.array_repeat(F.lit(1), ones),
-            F.array_repeat(F.lit(0), acc["total"] - acc["done"] - ones),
+
+    def run(z, done):
+        ones = F.greatest(z["lo"] - done, F.lit(0))
+        zeros = F.greatest(z["hi"] - F.greatest(done, z["lo"]), F.lit(0))
+        return F.concat(F.array_repeat(F.lit(1), ones), F.array_repeat(F.lit(0), zeros))
+
+    def rest(done, stop, total):
+        ones = F.greatest(stop - done, F.lit(0))
+        return F.concat(F.array_repeat(F.lit(1), ones), F.array_repeat(F.lit(0), total - done - ones))
+
+    def masked(total):
+        return let(
+            _starts(turn_len, family),
+            lambda starts: let(ranges(starts, total), lambda zeros: assemble(starts, zeros, total)),
         )
 
-    masked = F.aggregate(_counts(turn_len, instr_len), start, add_turn, assemble)
-    return F.when(turn_len.isNull(), F.array_repeat(F.lit(1), total)).otherwise(masked)
+    total = length.cast("int")
+    return F.when(turn_len.isNull(), F.array_repeat(F.lit(1), total)).otherwise(let(total, masked))
 
 
 def loss_mask_qwen(length: Column, turn_len: Column, instr_len: Column) -> Column:

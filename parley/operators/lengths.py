@@ -120,12 +120,14 @@ def length_histogram(df: DataFrame, col: str, bins: int = 50, by=()) -> DataFram
     lo = F.when(single, F.col("_lo") - 0.5).otherwise(F.col("_lo"))
     hi = F.when(single, F.col("_hi") + 0.5).otherwise(F.col("_hi"))
     width = (hi - lo) / bins
-    place = F.least(F.floor((F.col("_x") - lo) * bins / (hi - lo)), F.lit(bins - 1)).cast("int")
-    filled = ranged.select(
-        *by, place.alias("bin"), lo.alias("_from"), width.alias("_width"), "_n", "_total", "_p95"
-    )
+    # The quotient may land beside an edge; the edges themselves decide.
+    guess = F.least(F.floor((F.col("_x") - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+    below = (F.col("_x") < F.col("_guess") * F.col("_width") + F.col("_from")).cast("int")
+    above = (F.col("_x") >= (F.col("_guess") + 1) * F.col("_width") + F.col("_from")) & (F.col("_guess") < bins - 1)
+    edged = ranged.withColumns({"_from": lo, "_width": width, "_guess": guess})
+    filled = edged.withColumn("bin", F.col("_guess") - below + above.cast("int"))
     return filled.groupBy(*by, "bin").agg(
-        (F.first("_from") + F.col("bin") * F.first("_width")).alias("bin_start"),
+        (F.col("bin") * F.first("_width") + F.first("_from")).alias("bin_start"),
         F.sum("_n").alias("count"),
         (F.sum("_n") / (F.first("_total") * F.first("_width"))).alias("density"),
         F.first("_p95").alias("axis_limit"),

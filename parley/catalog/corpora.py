@@ -377,12 +377,12 @@ def _(spark, sf):
 
 @query(
     "source_mix",
-    f"""WITH {MIX} SELECT source, count(*) AS "rows", round(count(*) * 100.0 / (SELECT count(*) FROM records), 6) AS percent
+    f"""WITH {MIX} SELECT source, count(*) AS "rows", round(count(*) * 100.0 / (SELECT count(*) FROM records) + 1e-9, 6) AS percent
     FROM records GROUP BY source""",
 )
 def _(spark, sf):
     mixed = mix.mixed_corpus(inp.corpora(spark, sf), shuffle=False)
-    return ln.source_mix(mixed).withColumn("percent", F.round("percent", 6))
+    return ln.source_mix(mixed).withColumn("percent", inp.rounded("percent", 6))
 
 
 @query(

@@ -29,6 +29,11 @@ def joined(ids: Column) -> Column:
     return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
 
 
+def rounded(x: Column | str, digits: int = 6) -> Column:
+    """Rounded for comparison; the small shift keeps exact halves from falling either way."""
+    return F.round((F.col(x) if isinstance(x, str) else x) + F.lit(10.0 ** -(digits + 3)), digits)
+
+
 def spread(df: DataFrame, turns: str, *keys: str) -> DataFrame:
     """One row per turn: keys, pos, role, text."""
     out = df.select(*keys, F.posexplode(turns).alias("pos", "t"))

@@ -15,10 +15,10 @@ LENGTHS = f"""lengths AS (
   SELECT doc_id, source, lang, text, length(text)::int AS chars,
          len(regexp_extract_all(text, '{inp.WORD}'))::int AS words FROM documents)"""
 
-STATS = """count(*) AS count, min({x})::bigint AS min, max({x})::bigint AS max, round(avg({x}), 6) AS mean,
-  round(median({x})::double, 6) AS median, round(stddev_pop({x}), 6) AS std, round(quantile_cont({x}, 0.25)::double, 6) AS p25,
-  round(quantile_cont({x}, 0.75)::double, 6) AS p75, round(quantile_cont({x}, 0.9)::double, 6) AS p90,
-  round(quantile_cont({x}, 0.95)::double, 6) AS p95, round(quantile_cont({x}, 0.99)::double, 6) AS p99"""
+STATS = """count(*) AS count, min({x})::bigint AS min, max({x})::bigint AS max, round(avg({x}) + 1e-9, 6) AS mean,
+  round(median({x})::double + 1e-9, 6) AS median, round(stddev_pop({x}) + 1e-9, 6) AS std, round(quantile_cont({x}, 0.25)::double + 1e-9, 6) AS p25,
+  round(quantile_cont({x}, 0.75)::double + 1e-9, 6) AS p75, round(quantile_cont({x}, 0.9)::double + 1e-9, 6) AS p90,
+  round(quantile_cont({x}, 0.95)::double + 1e-9, 6) AS p95, round(quantile_cont({x}, 0.99)::double + 1e-9, 6) AS p99"""
 
 # One row per document and unit, with the source as the data set.
 UNITS = f"""{LENGTHS}, units AS (
@@ -29,7 +29,7 @@ UNITS = f"""{LENGTHS}, units AS (
 
 def _rounded(df):
     names = [name for name, kind in df.dtypes if kind == "double"]
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    return df.withColumns({n: inp.rounded(n, 6) for n in names})
 
 
 def _lengths(spark, sf):
@@ -77,24 +77,24 @@ def _(spark, sf):
       g AS (SELECT lang, chars, least(floor((chars - lo) / (hi - lo) * 50), 49)::int AS g, lo, (hi - lo) / 50 AS width, n, p95
         FROM lengths JOIN r USING (lang)),
       b AS (SELECT *, g - (chars < g * width + lo)::int + (g < 49 AND chars >= (g + 1) * width + lo)::int AS bin FROM g)
-    SELECT lang, bin, round(any_value(lo + bin * width), 6) AS bin_start, count(*) AS count,
-      round(count(*) / any_value(n * width), 9) AS density, round(any_value(p95), 6) AS axis_limit
+    SELECT lang, bin, round(any_value(lo + bin * width) + 1e-9, 6) AS bin_start, count(*) AS count,
+      round(count(*) / any_value(n * width) + 1e-12, 9) AS density, round(any_value(p95) + 1e-9, 6) AS axis_limit
     FROM b GROUP BY lang, bin""",
 )
 def _(spark, sf):
     found = ln.length_histogram(_lengths(spark, sf), "chars", 50, by=("lang",))
-    return found.withColumns({"bin_start": F.round("bin_start", 6), "density": F.round("density", 9), "axis_limit": F.round("axis_limit", 6)})
+    return found.withColumns({"bin_start": inp.rounded("bin_start", 6), "density": inp.rounded("density", 9), "axis_limit": inp.rounded("axis_limit", 6)})
 
 
 @query(
     "length_cdf",
     f"""WITH {LENGTHS}, c AS (SELECT lang, words AS length, cume_dist() OVER (PARTITION BY lang ORDER BY words) AS cdf
         FROM lengths)
-    SELECT lang, length::bigint AS length, count(*) AS "rows", round(max(cdf), 9) AS cdf FROM c GROUP BY lang, length""",
+    SELECT lang, length::bigint AS length, count(*) AS "rows", round(max(cdf) + 1e-12, 9) AS cdf FROM c GROUP BY lang, length""",
 )
 def _(spark, sf):
     found = ln.length_cdf(_lengths(spark, sf), "words", by=("lang",))
-    return found.withColumn("cdf", F.round("cdf", 9))
+    return found.withColumn("cdf", inp.rounded("cdf", 9))
 
 
 @query(
@@ -125,12 +125,12 @@ def _(spark, sf):
 
 @query(
     "percent",
-    "SELECT source, lang, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY source), 6) AS percent FROM documents GROUP BY source, lang",
+    "SELECT source, lang, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY source) + 1e-9, 6) AS percent FROM documents GROUP BY source, lang",
 )
 def _(spark, sf):
     docs = inp.table(spark, sf, "documents")
     parts = docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
     whole = parts.groupBy("source").agg(F.sum("n").alias("t"))
     return parts.join(whole, "source").select(
-        "source", "lang", F.round(percent(F.col("n"), F.col("t")), 6).alias("percent")
+        "source", "lang", inp.rounded(percent(F.col("n"), F.col("t")), 6).alias("percent")
     )

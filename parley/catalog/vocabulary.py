@@ -62,12 +62,12 @@ def _names(spark, sf, vocab_size=inp.VOCAB):
     "token_top_share",
     f"""WITH {inp.DOC_FREQ}, {NAMES}, top AS (
       SELECT token_id, freq, row_number() OVER (ORDER BY freq DESC, token_id)::int AS rank,
-             round(freq * 100.0 / (SELECT sum(freq) FROM freq), 6) AS percent FROM freq)
+             round(freq * 100.0 / (SELECT sum(freq) FROM freq) + 1e-9, 6) AS percent FROM freq)
     SELECT top.*, token FROM top JOIN names USING (token_id) WHERE rank <= 10""",
 )
 def _(spark, sf):
     top = vo.token_top_share(_freq(spark, sf), 10, _names(spark, sf))
-    return top.withColumn("percent", F.round("percent", 6))
+    return top.withColumn("percent", inp.rounded("percent", 6))
 
 
 @query("draft_vocab", f"WITH {DRAFT} SELECT r, token_id, freq, rank, injected FROM draft")
@@ -78,22 +78,22 @@ def _(spark, sf):
 @query(
     "draft_coverage",
     f"""WITH {DRAFT} SELECT r, count(*) AS tokens, sum(coalesce(freq, 0))::bigint AS covered,
-      round(sum(coalesce(freq, 0)) / (SELECT sum(freq) FROM freq), 9) AS coverage FROM draft GROUP BY r""",
+      round(sum(coalesce(freq, 0)) / (SELECT sum(freq) FROM freq) + 1e-12, 9) AS coverage FROM draft GROUP BY r""",
 )
 def _(spark, sf):
     found = vo.draft_coverage(_freq(spark, sf), SIZES, inp.EOS)
-    return found.withColumn("coverage", F.round("coverage", 9))
+    return found.withColumn("coverage", inp.rounded("coverage", 9))
 
 
 @query(
     "draft_coverage_injected",
     f"""WITH {DRAFT} SELECT r, count(*) AS tokens, sum(f.freq)::bigint AS covered,
-      round(sum(f.freq) / (SELECT sum(freq) FROM freq), 9) AS coverage
+      round(sum(f.freq) / (SELECT sum(freq) FROM freq) + 1e-12, 9) AS coverage
     FROM draft JOIN freq f USING (token_id) GROUP BY r""",
 )
 def _(spark, sf):
     found = vo.draft_coverage(_freq(spark, sf), SIZES, inp.EOS, include_injected=True)
-    return found.withColumn("coverage", F.round("coverage", 9))
+    return found.withColumn("coverage", inp.rounded("coverage", 9))
 
 
 @query("d2t_offsets", f"""WITH {DRAFT} SELECT r, draft_id, token_id, token_id - draft_id AS "offset" FROM d2t""")
@@ -158,9 +158,9 @@ def _(spark, sf):
       v AS (SELECT unnest(range({inp.VOCAB})) AS token_id),
       t AS (SELECT (v.token_id IN (SELECT token_id FROM a)) AS x, (v.token_id IN (SELECT token_id FROM b)) AS y FROM v)
     SELECT 'd2t' AS "table", 256::bigint AS size_a, 256::bigint AS size_b, max(off) = 0 AS equal,
-      count(*) FILTER (off <> 0) AS differing, max(off)::bigint AS max_diff, round(avg(off), 6) AS mean_diff FROM d
+      count(*) FILTER (off <> 0) AS differing, max(off)::bigint AS max_diff, round(avg(off) + 1e-9, 6) AS mean_diff FROM d
     UNION ALL SELECT 't2d', {inp.VOCAB}, {inp.VOCAB}, bool_and(x = y), count(*) FILTER (x <> y),
-      max((x <> y)::int), round(avg((x <> y)::int), 6) FROM t""",
+      max((x <> y)::int), round(avg((x <> y)::int) + 1e-9, 6) FROM t""",
 )
 def _(spark, sf):
     one = vo.draft_vocab(_freq(spark, sf), 256).drop("r")
@@ -169,7 +169,7 @@ def _(spark, sf):
     offsets = vo.vocab_map_diff(vo.d2t_offsets(one), vo.d2t_offsets(two))
     flags = vo.vocab_map_diff(vo.t2d_mask(spark, one, inp.VOCAB), vo.t2d_mask(spark, two, inp.VOCAB))
     both = offsets.withColumn("table", F.lit("d2t")).unionByName(flags.withColumn("table", F.lit("t2d")))
-    return both.withColumn("mean_diff", F.round("mean_diff", 6))
+    return both.withColumn("mean_diff", inp.rounded("mean_diff", 6))
 
 
 @query(

@@ -62,9 +62,10 @@ def _(spark, sf):
     SELECT 'conversations' AS layout, conv_id, pos, role,
            CASE WHEN role = 'assistant' THEN ' ' || text ELSE text END AS text
     FROM turns JOIN sizes USING (conv_id) WHERE n >= 2
-    UNION ALL SELECT 'messages', conv_id, pos, role, text FROM turns JOIN sizes USING (conv_id) WHERE n > 1
+    UNION ALL SELECT 'messages', conv_id, pos, role, CASE WHEN role = 'assistant' THEN ' ' || text ELSE text END
+    FROM turns JOIN sizes USING (conv_id) WHERE n > 1
     UNION ALL SELECT 'pairs', conv_id, 0, 'user', prompt FROM p WHERE prompt <> '' AND response <> ''
-    UNION ALL SELECT 'pairs', conv_id, 1, 'assistant', response FROM p WHERE prompt <> '' AND response <> ''""",
+    UNION ALL SELECT 'pairs', conv_id, 1, 'assistant', ' ' || response FROM p WHERE prompt <> '' AND response <> ''""",
 )
 def _(spark, sf):
     tables = {
@@ -116,7 +117,7 @@ def _every_layout(spark, sf):
     SELECT conv_id, form,
       CASE form WHEN 'conversations' THEN CASE WHEN n >= 2 THEN body END
                 WHEN 'messages' THEN CASE WHEN n > 1 THEN body END
-                WHEN 'pair' THEN 'user=' || prompt || '|assistant=' || response END AS turns,
+                WHEN 'pair' THEN 'user=' || prompt || '|assistant= ' || response END AS turns,
       CASE form WHEN 'text' THEN prompt WHEN 'other' THEN '{{}}' END AS text
     FROM forms JOIN kept USING (conv_id)""",
 )

@@ -83,6 +83,17 @@ def _(spark, sf):
 
 
 
+@query(
+    "prediction_views",
+    f"""WITH {inp.EXAMPLES}, v AS (SELECT *, unnest(range(4))::int AS k FROM ex)
+    SELECT "index", k, {inp.text_sql("list_resize(ids[k + 1:], seq_len, 0)")} AS ids,
+      array_to_string(list_resize(mask[k + 1:], seq_len, 0), '') AS mask FROM v""",
+)
+def _(spark, sf):
+    views = ev.prediction_views(inp.examples(spark, sf), 4, ("input_ids", "loss_mask"))
+    return views.select("index", "k", inp.joined(F.col("input_ids")).alias("ids"), _bits(F.col("loss_mask")).alias("mask"))
+
+
 @query(
     "concat_layers",
     """WITH l AS (SELECT vec_id, label, layer, [(x * m)::float for x in embedding] AS v FROM embeddings

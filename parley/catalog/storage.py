@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from parley.catalog import inputs as inp
 from parley.catalog.registry import query
 from parley.operators import filters as fl
-from parley.operators import vocab as vo
 from parley.functions import arrays as ar
 from parley.plans import mix
-from parley.plans.vocabulary import text_token_freq
+from parley.plans.vocabulary import draft_vocabulary, text_token_freq
 from parley.schemas import SHAREGPT
 from parley.session import scratch_path
 from parley.sources import readers as rd
@@ -186,8 +185,9 @@ def _(spark, sf):
 
 
 def _map(spark, sf, sizes=(256, 1024)):
-    draft = vo.draft_vocab(text_token_freq(inp.documents(spark, sf, "text"), vocab_size=inp.VOCAB), sizes, inp.EOS)
-    return vo.d2t_offsets(draft), vo.t2d_mask(spark, draft, inp.VOCAB)
+    freq = text_token_freq(inp.documents(spark, sf, "text"), vocab_size=inp.VOCAB)
+    found = draft_vocabulary(freq, sizes, inp.VOCAB, inp.EOS)
+    return found.d2t, found.t2d
 
 
 # Draft sets of the sizes 256 and 1024 with eos in them.

@@ -100,14 +100,14 @@ def attention_mask(ids: Column, n: int | Column, extra: int = 0) -> Column:
     return F.concat(F.array_repeat(F.lit(1), ones), F.array_repeat(F.lit(0), (width - ones).cast("int")))
 
 
-def shift_zero_fill(values: Column, k: int = 1, left: bool = False, zero=0) -> Column:
+def shift_zero_fill(values: Column, k: int | Column = 1, left: bool = False, zero=0) -> Column:
     """WIN-5: shift by ``k`` and fill with zeros.
 
     ``left=False`` moves values towards the start (the next token comes into
     view), ``left=True`` puts the zeros in front.
     """
     size = F.size(values)
-    gap = F.least(F.lit(k), size)
+    gap = F.least(k if isinstance(k, Column) else F.lit(k), size)
     zeros = F.array_repeat(F.lit(zero), gap)
     if left:
         return F.concat(zeros, F.slice(values, F.lit(1), size - gap))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.functions import arrays as ar
 from parley.functions import vectors as vc
 
 
@@ -52,6 +53,12 @@ def epoch_rollup(metrics: DataFrame, mode: str = "rank_means") -> DataFrame:
     raise ValueError(f"unknown roll-up {mode!r}")
 
 
+def prediction_views(df: DataFrame, length: int = 7, columns=("input_ids", "target", "loss_mask")) -> DataFrame:
+    """WIN-5 once per prediction position: one row per ``k`` = 0 .. length - 1, sequences moved up by ``k``."""
+    views = df.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
+    return views.withColumns({c: ar.shift_zero_fill(F.col(c), F.col("k")) for c in columns})
+
+
 def concat_layers(vectors: DataFrame, keep_last: bool = True, key=("index", "position")) -> DataFrame:
     """ARR-18: join the layer vectors of a position in layer order.
 

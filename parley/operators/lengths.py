@@ -149,12 +149,19 @@ def length_cdf(df: DataFrame, col: str, by=()) -> DataFrame:
 
 
 def first_per_source(df: DataFrame, order_by: str | Column, turns: str = "conversations") -> DataFrame:
-    """WIN-1: the first row of each source, with its turn count and first turn."""
+    """WIN-1: the first row of each source, with its turn count and first turn.
+
+    The smallest key of each source is found on narrow rows; conversations are read
+    only for the rows that hold it.
+    """
+    keyed = df.withColumn("_k", F.col(order_by) if isinstance(order_by, str) else order_by)
+    lowest = keyed.groupBy("source").agg(F.min("_k").alias("_k"))
     head = F.struct(
         F.size(turns).alias("n_turns"),
         F.get(F.col(turns), F.lit(0)).alias("first_turn"),
     )
-    first = df.groupBy("source").agg(F.min_by(head, order_by).alias("_h"))
+    heads = keyed.join(lowest, ["source", "_k"], "left_semi")
+    first = heads.groupBy("source").agg(F.min(head).alias("_h"))
     keys = F.lit(",".join(df.columns)).alias("keys")
     return first.select("source", keys, "_h.n_turns", "_h.first_turn")
 

@@ -19,6 +19,8 @@ from parley.schemas import TURNS
 CONTENT_FIELDS = ("content", "text", "message", "value")
 # Parts of column names that promise text.
 TEXT_HINTS = ("text", "content", "message", "conversation", "dialogue")
+# Layouts whose assistant texts get the prefix of the llama family.
+PREFIX_FORMS = ("conversations", "messages", "pair")
 # Columns tried first, per kind of corpus.
 KIND_FIELDS = {
     "sharegpt": ("conversations",),
@@ -108,47 +110,54 @@ def _pair_turns() -> Column:
     return F.when(both, tn.pair_turns(F.col("prompt"), F.col("response")).cast(TURNS))
 
 
-def dispatch_by_column(df: DataFrame, family: str, keep=(), mode: str = "keep") -> DataFrame:
+def dispatch_by_column(
+    df: DataFrame, family: str, keep=(), mode: str = "keep", prefix_forms=PREFIX_FORMS
+) -> DataFrame:
     """PRJ-5: choose the layout once, by the columns of the table.
 
     Gives ``keep`` and ``turns``; records with too little in them are dropped.
+    ``prefix_forms`` names the layouts whose assistant texts get the prefix of the family.
     """
     have = set(df.columns)
     if "conversations" in have:
-        turns = tn.assistant_prefix(_conversation_turns(df, mode), family)
+        form, turns = "conversations", _conversation_turns(df, mode)
     elif "messages" in have:
-        turns = _message_turns()
+        form, turns = "messages", _message_turns()
     elif {"prompt", "response"} <= have:
-        turns = _pair_turns()
+        form, turns = "pair", _pair_turns()
     else:
         raise ValueError(f"no chat layout among the columns {sorted(have)}")
+    if form in prefix_forms:
+        turns = tn.assistant_prefix(turns, family)
     return df.select(*keep, turns.alias("turns")).where(F.col("turns").isNotNull())
 
 
 def dispatch_by_record(
-    df: DataFrame, family: str, with_text: bool = False, keep=(), mode: str | None = None
+    df: DataFrame,
+    family: str,
+    with_text: bool = False,
+    keep=(),
+    mode: str | None = None,
+    prefix_forms=PREFIX_FORMS,
 ) -> DataFrame:
     """PRJ-6: choose the layout per record, by the first column that is not null.
 
     Gives ``keep``, ``form`` (the layout found), ``turns`` and ``text``. A record
     that has a layout but too little in it has neither turns nor text.
     ``with_text`` is the counting variant: it also takes plain text, keeps known
-    roles only, prefixes assistant messages, and writes any other record as JSON.
+    roles only, and writes any other record as JSON. ``prefix_forms`` as above.
     """
     have = set(df.columns)
     mode = mode or ("drop" if with_text else "keep")
     nothing = F.lit(None).cast(TURNS)
     forms: list[tuple[str, Column, Column]] = []
     if "conversations" in have:
-        turns = tn.assistant_prefix(_conversation_turns(df, mode), family)
+        turns = _conversation_turns(df, mode)
         if with_text:
             turns = F.when(F.size(turns) > 0, turns)
         forms.append(("conversations", F.col("conversations").isNotNull(), turns))
     if "messages" in have:
-        turns = _message_turns()
-        forms.append(
-            ("messages", F.col("messages").isNotNull(), tn.assistant_prefix(turns, family) if with_text else turns)
-        )
+        forms.append(("messages", F.col("messages").isNotNull(), _message_turns()))
     if with_text and "text" in have:
         forms.append(("text", F.col("text").isNotNull(), nothing))
     if {"prompt", "response"} <= have:
@@ -158,6 +167,8 @@ def dispatch_by_record(
 
     form, turns = F.lit("other" if with_text else None).cast("string"), nothing
     for name, found, value in reversed(forms):
+        if name in prefix_forms:
+            value = tn.assistant_prefix(value, family)
         form = F.when(found, F.lit(name)).otherwise(form)
         turns = F.when(found, value).otherwise(turns)
     if with_text:

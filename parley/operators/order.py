@@ -160,6 +160,11 @@ def batch_plan(plan: DataFrame, size: int) -> DataFrame:
     return plan.withColumn("batch", F.floor(F.col("step") / size)).withColumn("slot", (F.col("step") % size).cast("int"))
 
 
+def batch_sizes(size: int, accumulation: int, ranks: int) -> dict[str, int]:
+    """ORD-8: rows per batch in training, in validation, and per optimiser step over all ranks."""
+    return {"train": size, "val": 2 * size, "global": size * accumulation * ranks}
+
+
 def resume_from_step(plan: DataFrame, start_step: int, step: str = "step") -> DataFrame:
     """FLT-13: what is left of a plan when the steps before ``start_step`` are done."""
     return plan.where(F.col(step) >= start_step)

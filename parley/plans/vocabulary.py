@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import tokens as tk
 from parley.operators import vocab as vo
+from parley.session import materialise
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,12 @@ def text_token_freq(df: DataFrame, text: str = "text", vocab_size: int = 4096) -
 
 
 def draft_vocabulary(freq: DataFrame, r, vocab_size: int, eos: int | None = None) -> DraftVocabulary:
-    """From token frequencies to the maps and their coverage, for one or several sizes."""
+    """From token frequencies to the maps and their coverage, for one or several sizes.
+
+    The frequencies (one row per distinct token) are written once, so the corpus is
+    read once however many of the tables are used.
+    """
+    freq = materialise(freq, "freq")
     draft = vo.draft_vocab(freq, r, eos)
     return DraftVocabulary(
         freq=freq,

@@ -24,3 +24,5 @@ def test_same_rows(spark, duck, name):
         return
     assert (names, rows) == duck_rows(duck, ORACLES[name])
     assert not type_clashes(df, duck, ORACLES[name])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan

@@ -106,7 +106,11 @@ def test_dispatch_by_record(spark):
     assert counted[2]["turns"] is None and counted[2]["form"] == "conversations"
     assert plain(counted[3]["turns"])[1] == ("assistant", " y")
     assert counted[4]["text"] == "plain" and counted[4]["turns"] is None
-    assert plain(counted[5]["turns"]) == [("user", "p"), ("assistant", "r")]
+    assert plain(counted[5]["turns"]) == [("user", "p"), ("assistant", " r")]
+    bare = nm.dispatch_by_record(df, "llama", with_text=True, keep=("id",), prefix_forms=("conversations",))
+    bare = {r["id"]: r["turns"] for r in bare.collect()}
+    assert plain(bare[1])[1] == ("assistant", " a")
+    assert plain(bare[3])[1] == ("assistant", "y") and plain(bare[5])[1] == ("assistant", "r")
     assert counted[6]["form"] == "other" and counted[6]["text"] == '{"prompt":"p"}'
     other = nm.dispatch_by_record(df, "llama", keep=("id",))
     made = {r["id"]: r for r in other.collect()}

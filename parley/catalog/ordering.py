@@ -63,9 +63,10 @@ def _(spark, sf):
     SELECT k::int AS k, l_orderkey, l_linenumber, pos FROM s JOIN (VALUES (3), (20)) v(k) ON pos >= k * s AND pos < (k + 1) * s""",
 )
 def _(spark, sf):
-    third = order.slice_by_rank(_lines(spark, sf), 3, 0.05, KEYS).withColumn("k", F.lit(3))
-    rest = order.slice_by_rank(_lines(spark, sf), 20, 0.05, KEYS).withColumn("k", F.lit(20))
-    return third.unionByName(rest)
+    lines = order.positioned(_lines(spark, sf), KEYS)
+    third = order.slice_by_rank(lines, 3, 0.05).withColumn("k", F.lit(3))
+    rest = order.slice_by_rank(lines, 20, 0.05).withColumn("k", F.lit(20))
+    return third.unionByName(rest).drop("n_rows")
 
 
 @query("round_robin_shard", f"SELECT *, (pos % 7)::int AS shard FROM ({LINE})")

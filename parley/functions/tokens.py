@@ -116,9 +116,11 @@ def render_chat(turns: Column, family: str | Column) -> Column:
                 piece = F.when(role == r, whole) if piece is None else piece.when(role == r, whole)
             return piece
 
-        pieces = F.transform(turns, around)
-        whole = F.concat(F.lit(form["start"]), F.array_join(pieces, ""))
-        return F.when(F.forall(pieces, lambda p: p.isNotNull()), whole)
+        def whole(pieces):
+            text = F.concat(F.lit(form["start"]), F.array_join(pieces, ""))
+            return F.when(F.forall(pieces, lambda p: p.isNotNull()), text)
+
+        return let(F.transform(turns, around), whole)
 
     return per_family(family, build)
 
@@ -146,9 +148,11 @@ def valid_turn_prefix(turns: Column, sep_assistant: str) -> Column:
 
     def prefix(whole):
         bad = F.transform(whole, lambda t: (t == "") | (F.size(_split(t, sep_assistant)) != 2))
-        first_bad = F.array_position(bad, F.lit(True))
+        return let(F.array_position(bad, F.lit(True)).cast("int"), lambda first_bad: upto(whole, first_bad))
+
+    def upto(whole, first_bad):
         keep = F.when(first_bad == 0, F.size(whole)).otherwise(first_bad - 1)
-        return F.slice(whole, F.lit(1), keep.cast("int"))
+        return F.slice(whole, F.lit(1), keep)
 
     return let(turns, prefix)
 

@@ -233,6 +233,8 @@ def extract_text(df: DataFrame, kind: str) -> Column:
                 if isinstance(dtype.elementType, T.StructType) and field in dtype.elementType.fieldNames():
                     texts = F.filter(F.transform(column, lambda t: t[field].cast("string")), lambda x: x != "")
                     found.append(_nonempty(F.array_join(texts, " ")))
+            elif column == "messages" and isinstance(dtype.elementType, T.StringType):
+                found.append(_nonempty(F.array_join(column, " ")))
             elif column == "messages" or isinstance(dtype.elementType, T.StringType):
                 add_list(column)
     if kind != "openthoughts" and isinstance(types.get("text"), T.StringType):
@@ -243,6 +245,10 @@ def extract_text(df: DataFrame, kind: str) -> Column:
         if any(hint in column.lower() for hint in TEXT_HINTS):
             if isinstance(dtype, T.StringType):
                 found.append(_nonempty(F.col(column)))
+            elif _is_text_list(df, column):
+                # A list of strings ends the search, even when all of them are empty.
+                texts = F.array_join(F.filter(F.col(column), lambda x: x != ""), " ")
+                found.append(F.when(F.size(column) > 0, texts))
             elif isinstance(dtype, T.ArrayType):
                 add_list(column, every_field=True)
     return F.coalesce(*found, F.lit(""))

@@ -59,6 +59,24 @@ def global_position(
     return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_start") + row).alias(pos), *extra)
 
 
+def positioned(df: DataFrame, order_by) -> DataFrame:
+    """Add ``pos`` and ``n_rows`` once; the operators below then take ``order_by=None``."""
+    return global_position(df, order_by, total="n_rows")
+
+
+def _placed(df: DataFrame, order_by) -> DataFrame:
+    if order_by is not None:
+        return positioned(df, order_by)
+    missing = {"pos", "n_rows"} - set(df.columns)
+    if missing:
+        raise ValueError(f"without order_by the rows need {sorted(missing)}")
+    return df
+
+
+def _unplaced(df: DataFrame, order_by, *names: str) -> DataFrame:
+    return df if order_by is None else df.drop(*names)
+
+
 def shuffle_key(key, seed) -> Column:
     """The hash a seeded shuffle sorts by."""
     columns = [F.col(k) if isinstance(k, str) else k for k in ([key] if isinstance(key, (str, Column)) else key)]
@@ -113,24 +131,25 @@ def ratio_sample(df: DataFrame, ratio: float, key, seed) -> DataFrame:
     return shuffled_position(df, key, seed, pos="_at", first=keep).drop("_at")
 
 
-def slice_by_rank(df: DataFrame, k: int, ratio: float, order_by) -> DataFrame:
+def slice_by_rank(df: DataFrame, k: int, ratio: float, order_by=None) -> DataFrame:
     """ORD-4: the k-th slice of ``int(rows * ratio)`` rows; adds ``pos``."""
-    placed = global_position(df, order_by, total="_n")
-    size = F.floor(F.col("_n") * F.lit(float(ratio)))
-    stop = F.least(size * (k + 1), F.col("_n"))
-    return placed.where((F.col("pos") >= size * k) & (F.col("pos") < stop)).drop("_n")
+    placed = _placed(df, order_by)
+    size = F.floor(F.col("n_rows") * F.lit(float(ratio)))
+    stop = F.least(size * (k + 1), F.col("n_rows"))
+    return _unplaced(placed.where((F.col("pos") >= size * k) & (F.col("pos") < stop)), order_by, "n_rows")
 
 
-def round_robin_shard(df: DataFrame, n: int, order_by) -> DataFrame:
+def round_robin_shard(df: DataFrame, n: int, order_by=None) -> DataFrame:
     """ORD-5: adds ``pos`` and ``shard`` = position modulo ``n``."""
-    return global_position(df, order_by).withColumn("shard", (F.col("pos") % n).cast("int"))
+    sharded = _placed(df, order_by).withColumn("shard", (F.col("pos") % n).cast("int"))
+    return _unplaced(sharded, order_by, "n_rows")
 
 
-def train_val_split(df: DataFrame, order_by, frac: float = 0.95) -> DataFrame:
+def train_val_split(df: DataFrame, order_by=None, frac: float = 0.95) -> DataFrame:
     """ORD-6: adds ``pos`` and ``split``; the first ``int(frac * rows)`` rows are train."""
-    placed = global_position(df, order_by, total="_n")
-    cut = F.floor(F.col("_n") * F.lit(float(frac)))
-    return placed.withColumn("split", F.when(F.col("pos") < cut, "train").otherwise("val")).drop("_n")
+    cut = F.floor(F.col("n_rows") * F.lit(float(frac)))
+    split = F.when(F.col("pos") < cut, "train").otherwise("val")
+    return _unplaced(_placed(df, order_by).withColumn("split", split), order_by, "n_rows")
 
 
 def epoch_plan(df: DataFrame, epoch: int, ranks: int, key, seed, shuffle: bool = True) -> DataFrame:
@@ -170,17 +189,18 @@ def resume_from_step(plan: DataFrame, start_step: int, step: str = "step") -> Da
     return plan.where(F.col(step) >= start_step)
 
 
-def drop_every_nth(df: DataFrame, order_by, n: int = 3, preview: bool = False):
+def drop_every_nth(df: DataFrame, order_by=None, n: int = 3, preview: bool = False) -> DataFrame:
     """FLT-9: in sorted order drop rows n, 2n, 3n, ...
 
     With ``preview`` nothing is dropped; the result is the first ten rows that
     would go, each with the number of all rows that would.
     """
+    placed = _placed(df, order_by)
+    nth = (F.col("pos") + 1) % n == 0
     if not preview:
-        return global_position(df, order_by, pos="_at").where((F.col("_at") + 1) % n != 0).drop("_at")
-    placed = global_position(df, order_by, pos="_at", total="_n")
-    gone = placed.where((F.col("_at") + 1) % n == 0).withColumn("n_dropped", F.floor(F.col("_n") / n))
-    return gone.orderBy("_at").limit(10).drop("_at", "_n")
+        return _unplaced(placed.where(~nth), order_by, "pos", "n_rows")
+    gone = placed.where(nth).withColumn("n_dropped", F.floor(F.col("n_rows") / n))
+    return _unplaced(gone.orderBy("pos").limit(10), order_by, "pos", "n_rows")
 
 
 def name_order(df: DataFrame, name: str = "name") -> DataFrame:

@@ -78,17 +78,21 @@ def draft_vocab(freq: DataFrame, r, eos: int | None = None) -> DataFrame:
     if eos is None:
         return per_size.select(columns)
     eos_rank = F.min(F.when(F.col("token_id") == eos, F.col("rank"))).over(Window.partitionBy("r"))
-    marked = per_size.withColumn("_eos", eos_rank)
-    kept = marked.where(F.col("_eos").isNotNull() | (F.col("rank") < F.col("r")))
-    # A size of 1 gives its only place to eos, so the new rows come from rank 1 of ``marked``.
-    added = marked.where((F.col("rank") == 1) & F.col("_eos").isNull()).select(
-        "r",
-        F.lit(eos).cast(freq.schema["token_id"].dataType).alias("token_id"),
-        F.lit(None).cast(freq.schema["freq"].dataType).alias("freq"),
+    itself = F.struct("token_id", "freq", "rank", "injected")
+    types = freq.schema
+    added = F.struct(
+        F.lit(eos).cast(types["token_id"].dataType).alias("token_id"),
+        F.lit(None).cast(types["freq"].dataType).alias("freq"),
         F.lit(None).cast("int").alias("rank"),
         F.lit(True).alias("injected"),
     )
-    return kept.select(columns).unionByName(added)
+    # The last row makes room; the first one brings eos along (with r = 1 they are the same row).
+    missing = F.col("_eos").isNull()
+    rows = F.filter(
+        F.array(F.when(~missing | (F.col("rank") < F.col("r")), itself), F.when(missing & (F.col("rank") == 1), added)),
+        lambda x: x.isNotNull(),
+    )
+    return per_size.withColumn("_eos", eos_rank).select("r", F.explode(rows).alias("x")).select("r", "x.*")
 
 
 def draft_coverage(freq: DataFrame, r, eos: int | None = None, include_injected: bool = False) -> DataFrame:

@@ -80,6 +80,10 @@ def test_slices(spark):
         return sorted(r["pos"] for r in order.slice_by_rank(df, k, 0.05, "id").collect())
 
     assert positions(0) == [0, 1]
+    placed = order.positioned(df, "id")
+    assert sorted(r["pos"] for r in order.slice_by_rank(placed, 20, 0.05).collect()) == [40, 41]
+    with pytest.raises(ValueError):
+        order.round_robin_shard(df, 3)
     assert positions(20) == [40, 41]
     assert positions(22) == [44]
     assert positions(23) == []

@@ -141,6 +141,11 @@ def test_extract_text(spark):
     fallback = spark.createDataFrame([("x", None, "later"), ("x", "first", "later")], "id string, my_dialogue string, Content string")
     got = [r["x"] for r in fallback.select(nm.extract_text(fallback, "ultrachat").alias("x")).collect()]
     assert got == ["later", "first"]
+    lists = spark.createDataFrame([(["", ""], "later"), ([], "later"), (["a", "", "b"], "later")], "my_text array<string>, content string")
+    got = [r["x"] for r in lists.select(nm.extract_text(lists, "sharegpt").alias("x")).collect()]
+    assert got == ["", "later", "a b"]
+    strings = spark.createDataFrame([(["a", "", "b"],)], "messages array<string>")
+    assert one(strings, nm.extract_text(strings, "openthoughts")) == "a  b"
     none = spark.createDataFrame([(1,)], "id int")
     assert one(none, nm.extract_text(none, "sharegpt")) == ""
     both = spark.createDataFrame([([("m", "c")], "t")], "messages array<struct<content:string,text:string>>, text string")

@@ -51,8 +51,8 @@ def _mask(length: Column, turn_len: Column, instr_len: Column, family: str) -> C
             inside(start + k.cast("int") - rule["trim"] + _by_place(i == 0, head_hi, tail_hi)).alias("hi"),
         )
 
-    def ranges(starts, total):
-        pairs = F.zip_with(head_of(starts), instr_len, lambda c, k: F.struct(c.alias("c"), k.alias("k")))
+    def ranges(starts, instr, total):
+        pairs = F.zip_with(head_of(starts), instr, lambda c, k: F.struct(c.alias("c"), k.alias("k")))
         return F.transform(pairs, lambda x, i: zero_range(x["c"], x["k"], i, total))
 
     def assemble(starts, zeros, total):
@@ -76,14 +76,17 @@ def _mask(length: Column, turn_len: Column, instr_len: Column, family: str) -> C
         ones = F.greatest(stop - done, F.lit(0))
         return F.concat(F.array_repeat(F.lit(1), ones), F.array_repeat(F.lit(0), total - done - ones))
 
-    def masked(total):
+    def masked(given):
+        total = given["total"]
         return let(
-            _starts(turn_len, family),
-            lambda starts: let(ranges(starts, total), lambda zeros: assemble(starts, zeros, total)),
+            _starts(given["turn"], family),
+            lambda starts: let(ranges(starts, given["instr"], total), lambda zeros: assemble(starts, zeros, total)),
         )
 
+    # All inputs are bound together, outside of any lambda, where they may hold Python functions.
     total = length.cast("int")
-    return F.when(turn_len.isNull(), F.array_repeat(F.lit(1), total)).otherwise(let(total, masked))
+    given = F.struct(total.alias("total"), turn_len.alias("turn"), instr_len.alias("instr"))
+    return F.when(turn_len.isNull(), F.array_repeat(F.lit(1), total)).otherwise(let(given, masked))
 
 
 def loss_mask_qwen(length: Column, turn_len: Column, instr_len: Column) -> Column:

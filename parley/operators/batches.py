@@ -46,7 +46,8 @@ def pluggable_tokeniser(factory: Callable[[], Callable[[str], list[int]]]):
         for texts in batches:
             yield texts.map(one)
 
-    return encode
+    # Marked so that the optimiser neither copies the call nor moves filters below it.
+    return encode.asNondeterministic()
 
 
 def pluggable_counter(factory: Callable[[], Callable[[str], list[int]]]):
@@ -58,4 +59,4 @@ def pluggable_counter(factory: Callable[[], Callable[[str], list[int]]]):
         for lists in batches:
             yield lists.map(lambda texts: None if texts is None else [len(tokeniser(t)) for t in texts])
 
-    return count
+    return count.asNondeterministic()

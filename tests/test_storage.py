@@ -151,11 +151,26 @@ def test_user_functions(spark):
 
     encode = bt.pluggable_tokeniser(factory)
     assert {r["id"]: r["x"] for r in df.select("id", encode("text").alias("x")).collect()} == {1: [1, 1], 2: None, 3: None}
+    tokens = vo.token_freq_all(df, encode("text")).collect()
+    assert [(r["token_id"], r["freq"]) for r in tokens] == [(1, 2)]
     kept = bt.map_batches(df, lambda f: f[f["id"] > 1][["id"]], "id int")
     assert sorted(r["id"] for r in kept.collect()) == [2, 3]
     assert bt.row_transform(df, None) is df
 
 
+def test_plugged_tokeniser_in_other_operators(spark, tmp_path):
+    from parley.operators import lengths as ln
+
+    encode = bt.pluggable_tokeniser(lambda: lambda text: list(range(len(text))))
+    df = spark.createDataFrame([("a", "ab c"), ("a", "x")], "dataset string, text string")
+    rows = {r["unit"]: r["max"] for r in ln.length_report(df, "dataset", tokenise=encode).collect()}
+    assert rows == {"chars": 4, "words": 2, "tokens": 4}
+    (tmp_path / "x.json").write_text('{"text": "abc"}\n{"input_ids": [7]}')
+    got = rd.scan_pretokenised(spark, str(tmp_path / "x.json"), encode, max_len=2).collect()
+    assert sorted(r["input_ids"] for r in got) == [[0, 1], [7]]
+    assert all(r["loss_mask"] == [1] * len(r["input_ids"]) for r in got)
+
+
 def test_profile(spark):
     df = spark.createDataFrame([("x" * 200, [("a", 1)], {"k": 1})], "t string, l array<struct<p:string,q:int>>, m map<string,int>")
     cells = {r["column"]: r for r in rd.profile_schema(df).collect()}

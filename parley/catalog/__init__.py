@@ -1,9 +1,10 @@
 """The registered queries, each with the SQL it is checked against where SQL can say it."""
 
-from parley.catalog.registry import ORACLES, QUERIES
-
 import importlib
 
+from parley.catalog.registry import ORACLES, QUERIES
+
+# Importing a module registers its queries.
 for _name in ("corpora", "storage", "ordering", "vocabulary", "statistics", "masks", "training", "metrics"):
     importlib.import_module(f"parley.catalog.{_name}")
 

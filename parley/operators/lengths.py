@@ -155,12 +155,13 @@ def first_per_source(df: DataFrame, order_by: str | Column, turns: str = "conver
     only for the rows that hold it.
     """
     keyed = df.withColumn("_k", F.col(order_by) if isinstance(order_by, str) else order_by)
-    lowest = keyed.groupBy("source").agg(F.min("_k").alias("_k"))
+    lowest = keyed.groupBy(F.col("source").alias("_s")).agg(F.min("_k").alias("_low"))
     head = F.struct(
         F.size(turns).alias("n_turns"),
         F.get(F.col(turns), F.lit(0)).alias("first_turn"),
     )
-    heads = keyed.join(lowest, ["source", "_k"], "left_semi")
+    is_first = F.col("source").eqNullSafe(F.col("_s")) & F.col("_k").eqNullSafe(F.col("_low"))
+    heads = keyed.join(lowest, is_first, "left_semi")
     first = heads.groupBy("source").agg(F.min(head).alias("_h"))
     keys = F.lit(",".join(df.columns)).alias("keys")
     return first.select("source", keys, "_h.n_turns", "_h.first_turn")

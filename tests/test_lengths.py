@@ -80,8 +80,9 @@ def test_tokens_are_zero_where_the_tokeniser_gives_nothing(spark):
 
 
 def test_first_of_each_source(spark):
-    rows = [(3, [("user", "late")], "a"), (1, [("user", "early"), ("assistant", "x")], "a"), (2, [], "b")]
+    rows = [(9, [("user", "untagged")], None), (3, [("user", "late")], "a"), (1, [("user", "early"), ("assistant", "x")], "a"), (2, [], "b")]
     df = spark.createDataFrame(rows, "key int, conversations array<struct<from:string,value:string>>, source string")
     got = {r["source"]: r for r in ln.first_per_source(df, "key").collect()}
     assert got["a"]["n_turns"] == 2 and got["a"]["first_turn"]["value"] == "early"
+    assert got[None]["first_turn"]["value"] == "untagged"
     assert got["b"]["n_turns"] == 0 and got["b"]["first_turn"] is None

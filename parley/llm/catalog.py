@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from parley.llm import queries_text, queries_web  # noqa: F401
+from parley.llm import queries_rows, queries_text, queries_web  # noqa: F401
 from parley.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

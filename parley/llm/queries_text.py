@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parley.llm import fuzzylines, jaccard, recompress
+from parley.llm import decontaminate, fuzzylines, jaccard, recompress
 from parley.llm.registry import query, table
 
 REPEAT_SQL = r"""
@@ -48,3 +48,9 @@ def op4_voronoi_jaccard(spark, folder):
 @query("op7_fuzzy_lines")
 def op7_fuzzy_lines(spark, folder):
     return fuzzylines.drop_similar_lines(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op1_latent_semantic")
+def op1_latent_semantic(spark, folder):
+    found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("doc", "tie")

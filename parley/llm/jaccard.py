@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from parley.llm.components import connected_components
 from parley.llm.gather import ROWS, HashSet, combined, distinct_by_owner, give_out, within_groups
+from parley.llm.recompress import keyed
 from parley.llm.words import U64, mix, slices, span_hashes, split
 from parley.session import materialise
 
@@ -317,27 +318,42 @@ def _blocks(members: DataFrame, side: int) -> DataFrame:
 
 
 def join(docs: DataFrame, length: int = 5, percent: int = 80, small: int = SMALL, side: int = SIDE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node) of every row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, doc, tie, component) of every row of ``docs`` (doc_id, text).
 
     Words are lower-cased in A-Z. Two documents link when 100 * shared >= percent * all
     shingles of both. A text with fewer words than ``length`` has them as its one
-    shingle; null, empty and blank texts have none, link with nothing and have their own id as
-    component. ``component_id`` is the smallest id reachable; repeated rows keep one
-    result each; null ids are reachable but never the smallest unless all are null. A
-    document is one record, read whole. Other columns are ignored.
+    shingle; null, empty and blank texts have none, link with nothing and have their own id
+    as component. ``component_id`` is the smallest id reachable, ``component`` a hash that
+    the documents of a component share, null without shingles; ``doc`` and ``tie`` name the
+    document, as ``recompress.keyed`` does. Repeated rows keep one result each; null ids
+    are reachable but never the smallest unless all are null. A document is one record,
+    read whole. Other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = keyed(docs)
 
     def sizes(batches):
         for part in slices(batches, "text"):
             first, values = shingle_sets(part.column("text"), length)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(first)), pa.array(node_ids(first, values))], ["doc_id", "n_shingles", "node"])
+            cols = [*(part.column(c) for c in ("doc_id", "doc", "tie")), pa.array(np.diff(first)), pa.array(node_ids(first, values))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "doc", "tie", "n_shingles", "node"])
 
-    known = materialise(rows.mapInArrow(sizes, "doc_id long, n_shingles long, node long"), "documents")
+    known = materialise(rows.mapInArrow(sizes, "doc_id long, doc long, tie long, n_shingles long, node long"), "documents")
     groups = connected_components(links(rows, length, percent, small, side))
     nodes = known.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     nodes = nodes.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = nodes.join(least, "component").select("node", F.col("component_id").alias("shared_id"))
+    named = nodes.join(least, "component").select("node", "component", F.col("component_id").alias("shared_id"))
     own = F.when(F.col("n_shingles") > 0, F.col("shared_id")).otherwise(F.col("doc_id"))
-    return known.join(named, "node", "left").select("doc_id", "n_shingles", own.alias("component_id"), "node")
+    return known.join(named.where("node IS NOT NULL"), "node", "left").select(
+        "doc_id", "n_shingles", own.alias("component_id"), "doc", "tie", F.when(F.col("n_shingles") > 0, F.col("component")).alias("component")
+    )
+
+
+def keep_one(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFrame:
+    """The first document of each component, with all its columns; documents without shingles stay."""
+    found = materialise(join(docs, length, percent), "components")
+    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc", "tie")).alias("first")).select("first.*")
+    stay = first.union(found.where("component IS NULL").select("doc", "tie").distinct()).select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"))
+    doc, tie = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.xxhash64(F.col("text").cast("string"))
+    rows = docs.withColumn("__doc", doc).withColumn("__tie", tie).join(stay, ["__doc", "__tie"], "left_semi")
+    return rows.dropDuplicates(["__doc", "__tie"]).select(*docs.columns)

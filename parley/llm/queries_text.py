@@ -42,7 +42,7 @@ FROM listed LEFT JOIN sizes USING (doc_id) LEFT JOIN comps ON a = doc_id"""
 
 @query("op4_voronoi_jaccard", JACCARD_SQL)
 def op4_voronoi_jaccard(spark, folder):
-    return jaccard.join(table(spark, folder, "documents"), length=4, percent=85).drop("node")
+    return jaccard.join(table(spark, folder, "documents"), length=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op7_fuzzy_lines")

@@ -167,7 +167,7 @@ def document_frequency(table: DataFrame, features: int, kind) -> tuple[np.ndarra
             held[features] += cells.n
         yield give_out(held)
 
-    counts = combined(table.select("ids").mapInArrow(run, ROWS), np.int64, np.add)
+    counts = combined(table.select("ids").mapInArrow(run, ROWS), np.int64, np.add, _padded(features + 1))
     return counts[:features], int(counts[features])
 
 
@@ -203,7 +203,7 @@ def latent_space(table: DataFrame, weight: np.ndarray, rank: int, kind, extra: i
                 held[names[head]] += np.add.reduceat(cells_out[cells.cell[order]], head, axis=0)
         yield give_out(held)
 
-    product = combined(table.select("ids").mapInArrow(back_and_forth, ROWS), np.float64, np.add).reshape(-1, width)[:features]
+    product = combined(table.select("ids").mapInArrow(back_and_forth, ROWS), np.float64, np.add, _padded(features) * width).reshape(-1, width)[:features]
     basis, _ = np.linalg.qr(product * weight[:, None])
     basis = basis.astype(np.float32)
     bound = spark.sparkContext.broadcast(basis * weight[:, None])
@@ -215,7 +215,7 @@ def latent_space(table: DataFrame, weight: np.ndarray, rank: int, kind, extra: i
             held[: basis.shape[1] ** 2] += (rows.T @ rows).astype(np.float64).reshape(-1)
         yield give_out(held)
 
-    small = combined(table.select("ids").mapInArrow(gram, ROWS), np.float64, np.add)[: basis.shape[1] ** 2].reshape(basis.shape[1], -1)
+    small = combined(table.select("ids").mapInArrow(gram, ROWS), np.float64, np.add, _padded(basis.shape[1] ** 2))[: basis.shape[1] ** 2].reshape(basis.shape[1], -1)
     values, turn = np.linalg.eigh(small)
     return (basis @ turn[:, np.argsort(-values)][:, :rank] * weight[:, None]).astype(np.float32)
 

@@ -25,7 +25,9 @@ def give_out(array: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"block": np.arange(BLOCKS), "data": pa.array(parts, pa.binary())})
 
 
-def combined(rows: DataFrame, kind: type, combine: Callable) -> np.ndarray:
+def combined(rows: DataFrame, kind: type, combine: Callable, size: int) -> np.ndarray:
+    """The arrays of all tasks in one; zeros if there was no task."""
+
     def fold(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -36,6 +38,8 @@ def combined(rows: DataFrame, kind: type, combine: Callable) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"block": list(held), "data": pa.array([zlib.compress(x.tobytes(), 1) for x in held.values()], pa.binary())})
 
     done = rows.repartition(BLOCKS, "block").mapInArrow(fold, ROWS).collect()  # one row per block
+    if not done:
+        return np.zeros(size, kind)
     return np.concatenate([np.frombuffer(zlib.decompress(r["data"]), kind) for r in sorted(done, key=lambda r: r["block"])])
 
 
@@ -54,7 +58,7 @@ class HashSet:
                 np.bitwise_or.at(array, at >> 3, (1 << (at & 7)).astype(np.uint8))
             yield give_out(array)
 
-        return cls(combined(df.select(column).mapInArrow(fill, ROWS), np.uint8, np.bitwise_or))
+        return cls(combined(df.select(column).mapInArrow(fill, ROWS), np.uint8, np.bitwise_or, bits // 8))
 
     @staticmethod
     def places(hashes: np.ndarray, bits: int) -> np.ndarray:

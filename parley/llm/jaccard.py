@@ -92,7 +92,7 @@ def common_shingles(texts: DataFrame, length: int) -> np.ndarray:
             held += np.bincount(_counter(values), minlength=COUNTERS).astype(np.uint32)
         yield give_out(held)
 
-    counts = combined(texts.mapInArrow(run, ROWS), np.uint32, np.add).astype(np.float64)
+    counts = combined(texts.mapInArrow(run, ROWS), np.uint32, np.add, COUNTERS).astype(np.float64)
     usual = 2 * counts.mean() + 16
     return np.log2(np.maximum(counts / usual, 1)).astype(np.uint8)
 

@@ -15,22 +15,27 @@ from parley.operators import normalise as nm
 from parley.operators import order
 from parley.plans import mix
 
+_DEFAULT_SYSTEM = "'" + tn.DEFAULT_SYSTEM.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 COERCED = "CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END"
 
-# Rows per source of the mix: every conversation, the third corpus capped at 60.
-MIX = f"""picked AS (
-  SELECT conv_id FROM (SELECT DISTINCT conv_id FROM conversations WHERE role <> 'system')
-  ORDER BY md5('42:' || conv_id), conv_id LIMIT 60),
+def _mix_sql(cap: str = "") -> str:
+    return f"""picked AS (
+  SELECT conv_id FROM (SELECT DISTINCT conv_id FROM conversations)
+  ORDER BY md5('42:' || conv_id), conv_id {cap}),
 mixed AS (
   SELECT 'sharegpt' AS source, conv_id, turn, {COERCED} AS role, text FROM conversations
   UNION ALL SELECT 'ultrachat', conv_id, turn, {COERCED}, text FROM conversations
   UNION ALL SELECT 'openthoughts', conv_id, turn, role, text FROM conversations
-    WHERE role <> 'system' AND conv_id IN (SELECT conv_id FROM picked)),
+    WHERE conv_id IN (SELECT conv_id FROM picked)),
 records AS (SELECT DISTINCT source, conv_id FROM mixed),
 placed AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || source || ':' || conv_id), source, conv_id) - 1 AS pos
   FROM records)"""
 
 
+# Every conversation in three layouts; and the same with the third corpus capped.
+MIX, CAPPED_MIX, CAP = _mix_sql(), _mix_sql("LIMIT 60"), 60
+
+
 @query("norm_sharegpt", f"WITH {inp.TURNS} SELECT conv_id, 'sharegpt' AS source, pos, {COERCED} AS role, text FROM turns")
 def _(spark, sf):
     df = nm.norm_sharegpt(inp.sharegpt(spark, sf), "sharegpt", keep=("conv_id",))
@@ -43,7 +48,7 @@ def _(spark, sf):
     return inp.spread(df, "conversations", "conv_id", "source")
 
 
-@query("norm_passthrough", f"WITH {inp.CHAT} SELECT conv_id, 'openthoughts' AS source, pos, role, text FROM chat")
+@query("norm_passthrough", f"WITH {inp.TURNS} SELECT conv_id, 'openthoughts' AS source, pos, role, text FROM turns")
 def _(spark, sf):
     df = nm.norm_passthrough(inp.openthoughts(spark, sf), "openthoughts", keep=("conv_id",))
     return inp.spread(df, "conversations", "conv_id", "source")
@@ -56,16 +61,13 @@ def _(spark, sf):
 
 @query(
     "dispatch_by_column",
-    f"""WITH {inp.TURNS}, sizes AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY 1),
-    p AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS prompt,
-                 arg_min(text, turn) FILTER (role = 'assistant') AS response FROM conversations GROUP BY 1)
-    SELECT 'conversations' AS layout, conv_id, pos, role,
+    f"""WITH {inp.TURNS}, {inp.PAIRS}, sizes AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY 1)
+    SELECT 'conversations' AS layout, conv_id, 0 AS turn, pos, role,
            CASE WHEN role = 'assistant' THEN ' ' || text ELSE text END AS text
     FROM turns JOIN sizes USING (conv_id) WHERE n >= 2
-    UNION ALL SELECT 'messages', conv_id, pos, role, CASE WHEN role = 'assistant' THEN ' ' || text ELSE text END
-    FROM turns JOIN sizes USING (conv_id) WHERE n > 1
-    UNION ALL SELECT 'pairs', conv_id, 0, 'user', prompt FROM p WHERE prompt <> '' AND response <> ''
-    UNION ALL SELECT 'pairs', conv_id, 1, 'assistant', ' ' || response FROM p WHERE prompt <> '' AND response <> ''""",
+    UNION ALL SELECT 'messages', conv_id, 0, pos, role, text FROM turns JOIN sizes USING (conv_id) WHERE n > 1
+    UNION ALL SELECT 'pairs', conv_id, turn, 0, 'user', prompt FROM pairs WHERE prompt <> '' AND response <> ''
+    UNION ALL SELECT 'pairs', conv_id, turn, 1, 'assistant', response FROM pairs WHERE prompt <> '' AND response <> ''""",
 )
 def _(spark, sf):
     tables = {
@@ -75,15 +77,20 @@ def _(spark, sf):
     }
     out = None
     for layout, df in tables.items():
-        found = nm.dispatch_by_column(df, "llama", keep=("conv_id",))
-        rows = inp.spread(found.withColumn("layout", F.lit(layout)), "turns", "layout", "conv_id")
+        df = df if layout == "pairs" else df.withColumn("turn", F.lit(0).cast("long"))
+        found = nm.dispatch_by_column(df, "llama", keep=("conv_id", "turn"))
+        rows = inp.spread(found.withColumn("layout", F.lit(layout)), "turns", "layout", "conv_id", "turn")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def _every_layout(spark, sf):
     """One table whose records come in four layouts, by what the conversation looks like."""
-    base = inp.conversations(spark, sf).join(inp.pairs(spark, sf), "conv_id")
+    def said(role):
+        texts = F.transform(F.filter("turns", lambda t: t["from"] == role), lambda t: t["value"])
+        return F.when(F.size(texts) > 0, F.array_join(texts, " "))
+
+    base = inp.conversations(spark, sf).withColumns({"prompt": said("user"), "response": said("assistant")})
     size, first = F.size("turns"), F.col("turns")[0]["from"]
     as_messages = F.transform("turns", lambda t: F.struct(t["from"].alias("role"), t["value"].alias("content")))
     form = F.when(first == "system", "conversations").when(size <= 2, "messages").when(size <= 4, "text")
@@ -107,8 +114,8 @@ def _every_layout(spark, sf):
     "dispatch_by_record",
     f"""WITH {inp.TURNS}, shape AS (
       SELECT conv_id, count(*) AS n, arg_min(role, turn) AS first,
-             arg_min(text, turn) FILTER (role = 'user') AS prompt,
-             arg_min(text, turn) FILTER (role = 'assistant') AS response
+             string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user') AS prompt,
+             string_agg(text, ' ' ORDER BY turn) FILTER (role = 'assistant') AS response
       FROM conversations GROUP BY 1),
     forms AS (SELECT *, CASE WHEN first = 'system' THEN 'conversations' WHEN n <= 2 THEN 'messages'
       WHEN n <= 4 THEN 'text' WHEN n <= 6 AND response IS NOT NULL THEN 'pair' ELSE 'other' END AS form FROM shape),
@@ -117,7 +124,7 @@ def _every_layout(spark, sf):
     SELECT conv_id, form,
       CASE form WHEN 'conversations' THEN CASE WHEN n >= 2 THEN body END
                 WHEN 'messages' THEN CASE WHEN n > 1 THEN body END
-                WHEN 'pair' THEN 'user=' || prompt || '|assistant= ' || response END AS turns,
+                WHEN 'pair' THEN 'user=' || prompt || '|assistant=' || response END AS turns,
       CASE form WHEN 'text' THEN prompt WHEN 'other' THEN '{{}}' END AS text
     FROM forms JOIN kept USING (conv_id)""",
 )
@@ -160,7 +167,7 @@ def _(spark, sf):
 
 @query(
     "roles_by_parity",
-    f"""WITH {inp.CHAT} SELECT conv_id, pos, CASE WHEN pos % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, text FROM chat""",
+    f"""WITH {inp.TURNS} SELECT conv_id, pos, CASE WHEN pos % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, text FROM turns""",
 )
 def _(spark, sf):
     df = inp.plain_turns(spark, sf).select("conv_id", tn.roles_by_parity(F.col("conversations")).alias("turns"))
@@ -191,25 +198,20 @@ def _(spark, sf):
     return inp.spread(df, "turns", "conv_id")
 
 
-PAIRS = """pairs AS (
-  SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS prompt,
-         arg_min(text, turn) FILTER (role = 'assistant') AS response FROM conversations GROUP BY conv_id)"""
-
-
 @query(
     "norm_pair",
-    f"""WITH {PAIRS} SELECT conv_id, 0::bigint AS pos, 'user' AS role, prompt AS text FROM pairs
-    UNION ALL SELECT conv_id, 1, 'assistant', response FROM pairs""",
+    f"""WITH {inp.PAIRS} SELECT conv_id, turn, 0::bigint AS pos, 'user' AS role, prompt AS text FROM pairs
+    UNION ALL SELECT conv_id, turn, 1, 'assistant', response FROM pairs""",
 )
 def _(spark, sf):
-    return inp.spread(nm.norm_pair(inp.pairs(spark, sf), keep=("conv_id",)), "turns", "conv_id")
+    return inp.spread(nm.norm_pair(inp.pairs(spark, sf), keep=("conv_id", "turn")), "turns", "conv_id", "turn")
 
 
 @query(
     "assistant_prefix",
-    f"""WITH {inp.CHAT} SELECT family, conv_id, pos, role,
+    f"""WITH {inp.TURNS} SELECT family, conv_id, pos, role,
       CASE WHEN role = 'assistant' AND family = 'llama' THEN ' ' || text ELSE text END AS text
-    FROM chat CROSS JOIN (VALUES ('llama'), ('qwen')) f(family)""",
+    FROM turns CROSS JOIN (VALUES ('llama'), ('qwen')) f(family)""",
 )
 def _(spark, sf):
     chat = inp.openthoughts(spark, sf)
@@ -222,13 +224,11 @@ def _(spark, sf):
 
 @query(
     "prepend_system",
-    f"""WITH {inp.CHAT} SELECT conv_id, pos + 1 AS pos, role, text FROM chat
-    UNION ALL SELECT DISTINCT conv_id, 0, 'system', '{inp.SYSTEM}' FROM chat""",
+    f"""WITH {inp.TURNS} SELECT conv_id, pos + 1 AS pos, role, text FROM turns
+    UNION ALL SELECT DISTINCT conv_id, 0, 'system', {_DEFAULT_SYSTEM} FROM turns""",
 )
 def _(spark, sf):
-    df = inp.openthoughts(spark, sf).select(
-        "conv_id", tn.prepend_system(F.col("conversations"), inp.SYSTEM).alias("turns")
-    )
+    df = inp.openthoughts(spark, sf).select("conv_id", tn.prepend_system(F.col("conversations")).alias("turns"))
     return inp.spread(df, "turns", "conv_id")
 
 
@@ -251,7 +251,7 @@ def _(spark, sf):
     UNION ALL SELECT 'ultrachat', conv_id, string_agg(text, ' ' ORDER BY turn) FILTER (text <> '')
        FROM conversations GROUP BY conv_id
     UNION ALL SELECT 'openthoughts', conv_id, string_agg(text, ' ' ORDER BY turn) FILTER (text <> '')
-       FROM conversations WHERE role <> 'system' GROUP BY conv_id
+       FROM conversations GROUP BY conv_id
     UNION ALL SELECT 'sharegpt', doc_id, text FROM documents""",
 )
 def _(spark, sf):
@@ -321,7 +321,7 @@ def _(spark, sf):
 
 @query(
     "nonempty_pair",
-    f"WITH {PAIRS} SELECT conv_id, prompt, response FROM pairs WHERE prompt <> '' AND response <> ''",
+    f"WITH {inp.PAIRS} SELECT conv_id, turn, prompt, response FROM pairs WHERE prompt <> '' AND response <> ''",
 )
 def _(spark, sf):
     return fl.nonempty_pair(inp.pairs(spark, sf))
@@ -329,11 +329,10 @@ def _(spark, sf):
 
 @query(
     "nonempty_turns",
-    """SELECT conv_id, count(*) AS n FROM conversations WHERE length(text) > 200 GROUP BY 1""",
+    """SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1""",
 )
 def _(spark, sf):
-    long_turns = F.filter("turns", lambda t: F.length(t["value"]) > 200)
-    df = inp.conversations(spark, sf).withColumn("conversations", long_turns)
+    df = inp.conversations(spark, sf).withColumnRenamed("turns", "conversations")
     return fl.nonempty_turns(df).select("conv_id", F.size("conversations").cast("long").alias("n"))
 
 
@@ -358,11 +357,11 @@ def _(spark, sf):
 
 @query(
     "mixed_corpus",
-    f"""WITH {MIX}, t AS (SELECT source, conv_id, count(*) AS n_turns, sum(length(text)) AS n_chars FROM mixed GROUP BY 1, 2)
+    f"""WITH {CAPPED_MIX}, t AS (SELECT source, conv_id, count(*) AS n_turns, sum(length(text)) AS n_chars FROM mixed GROUP BY 1, 2)
     SELECT pos, source, conv_id, n_turns, n_chars::bigint AS n_chars FROM placed JOIN t USING (source, conv_id)""",
 )
 def _(spark, sf):
-    mixed = mix.mixed_corpus(inp.corpora(spark, sf), seed=42, shuffle=False)
+    mixed = mix.mixed_corpus(inp.corpora(spark, sf, CAP), seed=42, shuffle=False)
     chars = F.aggregate("conversations", F.lit(0).cast("long"), lambda a, t: a + F.length(t["value"]))
     shape = mixed.select(
         "source", "key", F.size("conversations").cast("long").alias("n_turns"), chars.alias("n_chars")
@@ -388,15 +387,15 @@ def _(spark, sf):
 
 @query(
     "corpus_sizes",
-    f"""WITH {MIX}, whole AS (SELECT DISTINCT source, conv_id FROM
+    f"""WITH {CAPPED_MIX}, whole AS (SELECT DISTINCT source, conv_id FROM
         (SELECT 'sharegpt' AS source, conv_id FROM conversations UNION ALL SELECT 'ultrachat', conv_id FROM conversations
-         UNION ALL SELECT 'openthoughts', conv_id FROM conversations WHERE role <> 'system'))
+         UNION ALL SELECT 'openthoughts', conv_id FROM conversations))
     SELECT 'input' AS stage, source, count(*) AS "rows" FROM whole GROUP BY 2
     UNION ALL SELECT 'sample', source, count(*) FROM records GROUP BY 2
     UNION ALL SELECT 'mix', 'all', count(*) FROM records""",
 )
 def _(spark, sf):
-    corpora = inp.corpora(spark, sf)
+    corpora = inp.corpora(spark, sf, CAP)
     whole = nm.mix_corpora(c.df.select(F.lit(c.source).alias("source")) for c in corpora)
     sample = nm.mix_corpora(mix.sampled(c).select(F.lit(c.source).alias("source")) for c in corpora)
     return ln.corpus_sizes({"input": whole, "sample": sample, "mix": sample.drop("source").withColumn("x", F.lit(1))})

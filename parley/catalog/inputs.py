@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import tokens as tk
@@ -56,26 +56,31 @@ def ultrachat(spark, sf) -> DataFrame:
 
 
 def openthoughts(spark, sf) -> DataFrame:
-    return nest_turns(table(spark, sf, "conversations").where("role <> 'system'"))
+    return nest_turns(table(spark, sf, "conversations"))
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """Adds ``pos``, the place at which each row comes out of a sort."""
+    from parley.operators.order import global_position
+
+    placed = global_position(df.withColumn("_row", F.monotonically_increasing_id()), "_row")
+    return placed.drop("_row")
 
 
 def plain_turns(spark, sf) -> DataFrame:
-    """(conv_id, conversations array<string>) without system turns."""
+    """(conv_id, conversations array<string>)."""
     df = openthoughts(spark, sf)
     return df.select("conv_id", F.transform("conversations", lambda t: t["value"]).alias("conversations"))
 
 
 def pairs(spark, sf) -> DataFrame:
-    """(conv_id, prompt, response): first user text and first assistant text."""
-    rows = table(spark, sf, "conversations")
+    """(conv_id, turn, prompt, response): every user turn with an assistant turn right after it."""
+    after = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf, "conversations").withColumn("_next", F.lead("role").over(after)).withColumn("response", F.lead("text").over(after))
+    return rows.where("role = 'user' AND _next = 'assistant'").select("conv_id", "turn", F.col("text").alias("prompt"), "response")
 
-    def first(role):
-        return F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
 
-    return rows.groupBy("conv_id").agg(first("user").alias("prompt"), first("assistant").alias("response"))
-
-
-def corpora(spark, sf, cap: int | None = 60) -> list[Corpus]:
+def corpora(spark, sf, cap: int | None = None) -> list[Corpus]:
     return [
         Corpus("sharegpt", sharegpt(spark, sf), "sharegpt", "conv_id"),
         Corpus("ultrachat", ultrachat(spark, sf), "ultrachat", "conv_id"),
@@ -185,6 +190,11 @@ CHAT = """chat AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role, text
   FROM conversations WHERE role <> 'system')"""
 
+# User turns with an assistant turn right after them.
+PAIRS = """pairs AS (
+  SELECT conv_id, turn, text AS prompt, response FROM (SELECT *, lead(role) OVER w AS follower, lead(text) OVER w AS response
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND follower = 'assistant')"""
+
 # All turns, numbered from 0.
 TURNS = """turns AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role, text FROM conversations)"""

@@ -97,8 +97,8 @@ USER, ASSISTANT = (_quoted(tk.SEPARATORS["qwen"][r]) for r in ("user", "assistan
 # Rendered conversations with a system turn in front of those that have none, so
 # that the first user separator is always there. Parts are numbered from 0.
 PREPARED = f"""chat0 AS (
-  SELECT conv_id, turn, role, text FROM conversations WHERE role <> 'system'
-  UNION ALL SELECT DISTINCT conv_id, -1, 'system', '{inp.SYSTEM}' FROM conversations),
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT conv_id, -1, 'system', '{inp.SYSTEM}' FROM conversations GROUP BY conv_id HAVING arg_min(role, turn) <> 'system'),
 turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role, text FROM chat0),
 rendered AS (SELECT conv_id, {_render_sql('qwen')} AS text FROM turns GROUP BY conv_id),
 pieces AS (SELECT conv_id, text, string_split(text, {USER}) AS p FROM rendered),
@@ -107,8 +107,9 @@ parts AS (SELECT conv_id, generate_subscripts(parts, 1) - 1 AS i, unnest(parts)
 
 
 def _prepared(spark, sf):
-    chats = inp.openthoughts(spark, sf)
-    return chats.select("conv_id", tn.prepend_system(F.col("conversations"), inp.SYSTEM).alias("turns"))
+    turns = F.col("conversations")
+    framed = F.when(turns[0]["from"] == "system", turns).otherwise(tn.prepend_system(turns, inp.SYSTEM))
+    return inp.openthoughts(spark, sf).select("conv_id", framed.alias("turns"))
 
 
 def _parts(spark, sf):
@@ -146,12 +147,22 @@ def _(spark, sf):
 
 
 def _mask_inputs(spark, sf):
-    """(conv_id, L, turn_len, instr_len): words of each question and answer, three more for a separator."""
-    rows = inp.table(spark, sf, "conversations").where("role <> 'system'")
+    """(conv_id, L, turn_len, instr_len): words of each question and answer, three more for a separator.
+
+    A system turn in front belongs to the first question.
+    """
+    rows = inp.table(spark, sf, "conversations")
     chats = nest_turns(rows.withColumn("text", F.size(tk.words(F.col("text"))).cast("string")))
-    n = F.transform("conversations", lambda t: t["value"].cast("int"))
-    pairs = F.ceil(F.size("conversations") / 2).cast("int")
-    lens = chats.select("conv_id", n.alias("n"), F.sequence(F.lit(0), pairs - 1).alias("at"))
+    each = chats.select(
+        "conv_id",
+        (F.col("conversations")[0]["from"] == "system").alias("framed"),
+        F.transform("conversations", lambda t: t["value"].cast("int")).alias("each"),
+    )
+    first = F.array(F.get("each", F.lit(0)) + F.coalesce(F.get("each", F.lit(1)), F.lit(0)))
+    rest = F.slice("each", F.lit(3), F.greatest(F.size("each") - 2, F.lit(0)))
+    chats = each.select("conv_id", F.when(F.col("framed"), F.concat(first, rest)).otherwise(F.col("each")).alias("n"))
+    pairs = F.ceil(F.size("n") / 2).cast("int")
+    lens = chats.select("conv_id", "n", F.sequence(F.lit(0), pairs - 1).alias("at"))
     instr = F.transform("at", lambda i: F.get("n", i * 2) + 3)
     turn = F.transform("at", lambda i: F.get("n", i * 2) + 3 + F.coalesce(F.get("n", i * 2 + 1), F.lit(0)))
     out = lens.select("conv_id", turn.alias("turn_len"), instr.alias("instr_len"))
@@ -159,7 +170,8 @@ def _mask_inputs(spark, sf):
     return out.withColumn("L", length)
 
 
-MASK_INPUTS = f"""{inp.CHAT}, wc AS (SELECT conv_id, pos, len(regexp_extract_all(text, '{inp.WORD}'))::int AS n FROM chat),
+MASK_INPUTS = f"""{inp.TURNS}, framed AS (SELECT conv_id, bool_or(role = 'system' AND pos = 0)::int AS f FROM turns GROUP BY conv_id),
+wc AS (SELECT conv_id, greatest(pos - f, 0) AS pos, len(regexp_extract_all(text, '{inp.WORD}'))::int AS n FROM turns JOIN framed USING (conv_id)),
 mi AS (SELECT conv_id, pos // 2 AS i, sum(n) FILTER (pos % 2 = 0) + 3 AS k, sum(n) + 3 AS t FROM wc GROUP BY 1, 2)"""
 
 

@@ -31,10 +31,7 @@ def _events(spark, sf):
 
 @query("seeded_shuffle", f"WITH {SHUFFLED} SELECT event_id, user_id, pos FROM placed")
 def _(spark, sf):
-    # The rows as the shuffle leaves them; numbering them shows their order.
-    rows = order.seeded_shuffle(_events(spark, sf), "event_id", 42)
-    numbered = rows.withColumn("_h", order.shuffle_key("event_id", 42))
-    return order.global_position(numbered, ["_h", "event_id"]).drop("_h")
+    return inp.in_order(order.seeded_shuffle(_events(spark, sf), "event_id", 42))
 
 
 @query("shuffled_position", f"WITH {SHUFFLED} SELECT event_id, user_id, pos FROM placed")
@@ -122,9 +119,9 @@ def _(spark, sf):
 FILES = "files AS (SELECT 'run/data_' || doc_id || '.pt' AS path, 'data_' || doc_id || '.pt' AS name, n_chars AS length FROM documents)"
 
 
-@query("name_order", f"WITH {FILES} SELECT path, name, length FROM files")
+@query("name_order", f"WITH {FILES} SELECT path, name, length, row_number() OVER (ORDER BY name) - 1 AS pos FROM files")
 def _(spark, sf):
-    return order.name_order(inp.file_table(spark, sf))
+    return inp.in_order(order.name_order(inp.file_table(spark, sf)))
 
 
 @query(

@@ -77,9 +77,10 @@ def _(spark, sf):
       g AS (SELECT lang, chars, least(floor((chars - lo) / (hi - lo) * 50), 49)::int AS g, lo, (hi - lo) / 50 AS width, n, p95
         FROM lengths JOIN r USING (lang)),
       b AS (SELECT *, g - (chars < g * width + lo)::int + (g < 49 AND chars >= (g + 1) * width + lo)::int AS bin FROM g)
-    SELECT lang, bin, round(any_value(lo + bin * width) + 1e-9, 6) AS bin_start, count(*) AS count,
-      round(count(*) / any_value(n * width) + 1e-12, 9) AS density, round(any_value(p95) + 1e-9, 6) AS axis_limit
-    FROM b GROUP BY lang, bin""",
+    , k AS (SELECT lang, bin, count(*) AS c FROM b GROUP BY ALL)
+    SELECT lang, e.bin, round(lo + e.bin * ((hi - lo) / 50) + 1e-9, 6) AS bin_start, coalesce(c, 0) AS count,
+      round(coalesce(c, 0) / (n * ((hi - lo) / 50)) + 1e-12, 9) AS density, round(p95 + 1e-9, 6) AS axis_limit
+    FROM r CROSS JOIN (SELECT unnest(range(50))::int AS bin) e LEFT JOIN k USING (lang, bin)""",
 )
 def _(spark, sf):
     found = ln.length_histogram(_lengths(spark, sf), "chars", 50, by=("lang",))
@@ -99,12 +100,10 @@ def _(spark, sf):
 
 @query(
     "nonempty_text",
-    """SELECT lang, count(*) FILTER (trim(regexp_replace(text, '[^0-9]', '', 'g')) <> '') AS valid,
-      count(*) FILTER (trim(regexp_replace(text, '[^0-9]', '', 'g')) = '') AS empty FROM documents GROUP BY lang""",
+    "SELECT lang, count(*) FILTER (text <> '') AS valid, count(*) FILTER (coalesce(text, '') = '') AS empty FROM documents GROUP BY lang",
 )
 def _(spark, sf):
-    # The digits of a text serve as the extracted text, so that many come out empty.
-    docs = inp.documents(spark, sf, "lang", "text").select("lang", F.regexp_replace("text", "[^0-9]", "").alias("text"))
+    docs = inp.table(spark, sf, "documents").select("lang", "text")
     kept, _ = fl.nonempty_text(docs)
     valid = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("valid"))
     whole = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -115,12 +114,10 @@ def _(spark, sf):
 
 @query(
     "nonempty_text_counts",
-    """SELECT count(*) FILTER (d <> '') AS valid, count(*) FILTER (d = '') AS empty
-    FROM (SELECT regexp_replace(text, '[^0-9]', '', 'g') AS d FROM documents)""",
+    "SELECT count(*) FILTER (text <> '') AS valid, count(*) FILTER (coalesce(text, '') = '') AS empty FROM documents",
 )
 def _(spark, sf):
-    docs = inp.documents(spark, sf, "text").select(F.regexp_replace("text", "[^0-9]", "").alias("text"))
-    return fl.nonempty_text(docs)[1]
+    return fl.nonempty_text(inp.table(spark, sf, "documents").select("text"))[1]
 
 
 @query(

@@ -8,6 +8,7 @@ from parley.catalog import inputs as inp
 from parley.catalog.registry import query
 from parley.operators import filters as fl
 from parley.functions import arrays as ar
+from parley.operators import order
 from parley.plans import mix
 from parley.plans.vocabulary import draft_vocabulary, text_token_freq
 from parley.schemas import SHAREGPT
@@ -21,15 +22,20 @@ def _sum(name):
 
 @query(
     "scan_json",
-    """SELECT conv_id::varchar AS id, count(*) AS n_turns, sum(length(text))::bigint AS n_chars,
-      count(*) FILTER (role = 'user') AS n_human FROM conversations GROUP BY 1""",
+    """SELECT form, conv_id::varchar AS id, count(*) AS n_turns, sum(length(text))::bigint AS n_chars,
+      count(*) FILTER (role = 'user') AS n_human FROM conversations, (VALUES ('lines'), ('array')) f(form) GROUP BY ALL""",
 )
 def _(spark, sf):
     path = scratch_path(spark, "json")
     df = inp.sharegpt(spark, sf).select(F.col("conv_id").cast("string").alias("id"), "conversations")
-    df.write.json(path)
-    back = rd.scan_json(spark, path, SHAREGPT, multiline=False)
+    df.write.json(f"{path}/lines")
+    # Files that hold one array each, of a few records.
+    packed = df.groupBy(F.pmod(F.xxhash64("id"), F.floor(F.lit(df.count()) / 64) + 1)).agg(F.collect_list(F.struct("id", "conversations")).alias("a"))
+    packed.select(F.to_json("a").alias("value")).repartition(8).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(f"{path}/array")
+    back = rd.scan_json(spark, f"{path}/lines", SHAREGPT, multiline=False).withColumn("form", F.lit("lines"))
+    back = back.unionByName(rd.scan_json(spark, f"{path}/array", SHAREGPT).withColumn("form", F.lit("array")))
     return back.select(
+        "form",
         "id",
         F.size("conversations").cast("long").alias("n_turns"),
         _sum(F.transform("conversations", lambda t: F.length(t["value"]))).alias("n_chars"),
@@ -62,67 +68,69 @@ def _(spark, sf):
 
 @query(
     "write_corpus",
-    """SELECT 'sharegpt' AS source, count(DISTINCT conv_id) AS records, count(*) AS turns FROM conversations
-    UNION ALL SELECT 'ultrachat', count(DISTINCT conv_id), count(*) FROM conversations
-    UNION ALL SELECT 'openthoughts', count(DISTINCT conv_id), count(*) FROM conversations WHERE role <> 'system'""",
+    """WITH r AS (SELECT source, conv_id, n FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1),
+      (VALUES ('sharegpt'), ('ultrachat'), ('openthoughts')) s(source))
+    SELECT source, conv_id AS key, n AS turns, row_number() OVER (ORDER BY md5('42:' || source || ':' || conv_id), source, conv_id) - 1 AS pos FROM r""",
 )
 def _(spark, sf):
     path = scratch_path(spark, "corpus")
-    wr.write_corpus(mix.mixed_corpus(inp.corpora(spark, sf, cap=None)), path)
-    back = rd.scan_corpus(spark, path)
-    return back.groupBy("source").agg(
-        F.count(F.lit(1)).alias("records"), F.sum(F.size("conversations")).alias("turns")
+    wr.write_corpus(mix.mixed_corpus(inp.corpora(spark, sf)), path)
+    # The order of the saved corpus is that of its files and of the rows in them.
+    rows = rd.scan_corpus(spark, path).select(
+        "source", "key", F.size("conversations").cast("long").alias("turns"), "_metadata.file_name", F.monotonically_increasing_id().alias("_row")
     )
+    return order.global_position(rows, ["file_name", "_row"]).drop("file_name", "_row")
 
 
-@query("scan_corpus", f"WITH {inp.CHAT} SELECT conv_id AS key, pos, role, text FROM chat")
-def _(spark, sf):
-    path = scratch_path(spark, "corpus")
-    last = inp.corpora(spark, sf, cap=None)[-1:]
-    wr.write_corpus(mix.mixed_corpus(last), path)
-    return inp.spread(rd.scan_corpus(spark, path), "conversations", "key")
-
-
-TABLES = (
-    "benchmark conversations customer documents embeddings events labels "
-    "lineitem nation orders pages part region supplier"
-).split()
+COERCED = "CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END"
 
 
 @query(
-    "file_manifest",
-    f"SELECT unnest([{', '.join(repr(t + '.parquet') for t in TABLES)}]) AS name, true AS filled",
+    "scan_corpus",
+    f"""WITH {inp.TURNS} SELECT source, conv_id AS key, pos, CASE WHEN source = 'openthoughts' THEN role ELSE {COERCED} END AS role, text
+    FROM turns, (VALUES ('sharegpt'), ('ultrachat'), ('openthoughts')) s(source)""",
 )
 def _(spark, sf):
-    files = rd.file_manifest(spark, sf, (".parquet",))
-    return files.select("name", (F.col("length") > 0).alias("filled"))
+    path = scratch_path(spark, "corpus")
+    wr.write_corpus(mix.mixed_corpus(inp.corpora(spark, sf)), path)
+    return inp.spread(rd.scan_corpus(spark, path), "conversations", "source", "key")
+
+
+@query("file_manifest", """SELECT lang, count(*) AS "rows", true AS filled, true AS listed FROM documents GROUP BY lang""")
+def _(spark, sf):
+    # The documents by language; each file is listed, and its rows are counted.
+    path = scratch_path(spark, "files")
+    inp.table(spark, sf, "documents").select("doc_id", "lang", "n_chars").write.partitionBy("lang").parquet(path)
+    files = rd.file_manifest(spark, path, (".parquet",)).withColumn("lang", F.regexp_extract("path", "/lang=([^/]*)/", 1))
+    # Names repeat between folders, and the two readers spell the root in different ways.
+    place = lambda c: F.regexp_extract(c, "[^/]*/[^/]*$", 0).alias("place")
+    rows = spark.read.parquet(path).groupBy(place("_metadata.file_path")).agg(F.count(F.lit(1)).alias("n"))
+    joined = files.select("lang", "length", place("path")).join(rows, "place", "full_outer")
+    return joined.groupBy("lang").agg(
+        F.sum("n").alias("rows"), F.bool_and(F.col("length") > 0).alias("filled"), F.bool_and(F.col("n").isNotNull()).alias("listed")
+    )
 
 
 @query(
     "scan_pretokenised",
-    f"""WITH {inp.EXAMPLES}, docs AS (SELECT doc_id, list_sum([{inp.token_sql('x')} for x in ws])::bigint AS id_sum,
-        len(ws)::int AS n FROM (SELECT doc_id, regexp_extract_all(text, '{inp.WORD}') AS ws FROM documents))
-    SELECT 'ids' AS given, "index" AS id, seq_len AS n, list_sum(ids)::bigint AS id_sum, seq_len::bigint AS attention_sum,
+    f"""WITH {inp.EXAMPLES}, docs AS (SELECT text, list_sum([{inp.token_sql('x')} for x in ws])::bigint AS id_sum,
+        len(ws)::int AS n FROM (SELECT text, regexp_extract_all(text, '{inp.WORD}') AS ws FROM documents))
+    SELECT 'ids' AS given, 'id ' || "index" AS text, seq_len AS n, list_sum(ids)::bigint AS id_sum, seq_len::bigint AS attention_sum,
         seq_len::bigint AS mask_sum FROM ex
-    UNION ALL SELECT 'text', doc_id, n, coalesce(id_sum, 0), n, n FROM docs""",
+    UNION ALL SELECT 'text', text, n, coalesce(id_sum, 0), n, n FROM docs""",
 )
 def _(spark, sf):
     path = scratch_path(spark, "pretokenised")
-    ids = inp.examples(spark, sf).select(
-        F.lit("ids").alias("given"), F.col("index").alias("id"), "input_ids", F.lit(None).cast("string").alias("text")
-    )
-    texts = inp.table(spark, sf, "documents").select(
-        F.lit("text").alias("given"),
-        F.col("doc_id").alias("id"),
-        F.lit(None).cast("array<int>").alias("input_ids"),
-        "text",
-    )
-    ids.unionByName(texts).write.json(path)
-    raw = spark.read.schema("given string, id long, text string, input_ids array<int>, attention_mask array<int>").json(path)
-    done = rd.complete_pretokenised(raw)
+    # Where there are ids, they are taken and the text is not looked at.
+    ids = inp.examples(spark, sf).select("input_ids", F.concat(F.lit("id "), F.col("index").cast("string")).alias("text"))
+    texts = inp.table(spark, sf, "documents").select("text")
+    ids.write.json(f"{path}/ids")
+    texts.write.json(f"{path}/text")
+    given = rd.scan_pretokenised(spark, f"{path}/ids").withColumn("given", F.lit("ids"))
+    done = given.unionByName(rd.scan_pretokenised(spark, f"{path}/text").withColumn("given", F.lit("text")))
     return done.select(
         "given",
-        "id",
+        "text",
         F.size("input_ids").alias("n"),
         _sum("input_ids").alias("id_sum"),
         _sum("attention_mask").alias("attention_sum"),

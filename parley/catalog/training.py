@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.catalog import inputs as inp
-from parley.catalog.masks import PREPARED, _bits, _prepared
+from parley.catalog.masks import PREPARED, _bits, _prepared, _render_sql
 from parley.catalog.ordering import FILES
-from parley.catalog.registry import query
+from parley.catalog.registry import ORACLES, query
 from parley.functions import arrays as ar
 from parley.functions import tokens as tk
 from parley.operators import batches as bt
 from parley.operators import examples as ex
 from parley.operators import filters as fl
 from parley.operators import order
-from parley.plans.training import chat_examples, training_batches
-from parley.session import scratch_path
+from parley.plans.training import chat_examples, training_batches, write_chat_examples
+from parley.session import materialise, scratch_path
 from parley.sources import readers as rd
 from parley.sources import writers as wr
 
@@ -237,6 +237,13 @@ def _(spark, sf):
     return _shown(ex.collate(inp.examples(spark, sf), n=300, overflow="crop"), "index")
 
 
+def _written(spark, sf):
+    """Batches are planned over a written table of examples, so nothing is tokenised twice."""
+    path = scratch_path(spark, "examples")
+    wr.write_examples(inp.examples(spark, sf), path)
+    return rd.scan_examples(spark, path).drop("attention_mask")
+
+
 @query(
     "training_batches",
     f"""WITH {inp.EXAMPLES}, kept AS (SELECT * FROM ex WHERE seq_len <= 600),
@@ -249,14 +256,34 @@ def _(spark, sf):
       array_to_string(list_resize(mask, width, 0), '') AS mask FROM m""",
 )
 def _(spark, sf):
-    # Batches are planned over a written table of examples, so nothing is tokenised twice.
-    path = scratch_path(spark, "examples")
-    wr.write_examples(inp.examples(spark, sf), path)
-    examples = rd.scan_examples(spark, path).drop("attention_mask")
-    out = training_batches(examples, epoch=3, ranks=2, batch_size=4, seed=42, cap=600)
+    out, _ = training_batches(_written(spark, sf), epoch=3, ranks=2, batch_size=4, seed=42, cap=600)
     return _shown(out, "index", "rank", "batch", "slot")
 
 
+@query("training_batches_dropped", f"WITH {inp.EXAMPLES} SELECT count(*) FILTER (seq_len > 600) AS dropped FROM ex")
+def _(spark, sf):
+    return training_batches(_written(spark, sf), epoch=3, ranks=2, batch_size=4, seed=42, cap=600)[1]
+
+
+@query(
+    "training_batches_substituted",
+    f"""WITH {inp.EXAMPLES}, o AS (SELECT *, row_number() OVER (ORDER BY "index") - 1 AS spot FROM ex),
+      u AS (SELECT "index" AS place, coalesce(min(CASE WHEN seq_len <= 600 THEN spot END) OVER (ORDER BY spot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+        min(CASE WHEN seq_len <= 600 THEN spot END) OVER ()) AS used FROM o),
+      p AS (SELECT place, o."index", o.ids, o.mask, o.seq_len, row_number() OVER (ORDER BY md5('42:3:' || place), place) - 1 AS p, count(*) OVER () AS n
+        FROM u JOIN o ON o.spot = u.used),
+      w AS (SELECT *, p AS q FROM p UNION ALL SELECT *, p + n FROM p WHERE p + n < ceil(n / 2.0) * 2),
+      s AS (SELECT place, "index", (q % 2)::int AS rank, (q // 2) // 4 AS batch, ((q // 2) % 4)::int AS slot, ids[2:] AS ids,
+        list_append(mask[:-2], 0) AS mask, seq_len FROM w),
+      m AS (SELECT *, max(seq_len) OVER (PARTITION BY rank, batch) AS width FROM s)
+    SELECT place, "index", rank, batch, slot, {inp.text_sql("list_resize(ids, width, 0)")} AS ids,
+      array_to_string(list_resize(mask, width, 0), '') AS mask FROM m""",
+)
+def _(spark, sf):
+    out, _ = training_batches(_written(spark, sf), epoch=3, ranks=2, batch_size=4, seed=42, cap=600, substitute=True)
+    return _shown(out, "place", "index", "rank", "batch", "slot")
+
+
 # -------------------------------------------------------------- user functions
 
 
@@ -276,6 +303,20 @@ def _(spark, sf):
     return bt.map_batches(docs, count_blanks, "doc_id long, blanks long")
 
 
+# Conversations as records, less those whose number is on the list of labels; up to 700 words each.
+_FLOW = f"""chats AS (SELECT conv_id, count(*) AS n, {_render_sql('qwen')} AS text FROM turns GROUP BY conv_id),
+  flow AS (SELECT conv_id AS "index", s AS seq_len, CASE WHEN s <= 700 AND s < 2048 THEN '0K-2K' END AS bucket
+    FROM (SELECT conv_id, len(regexp_extract_all(text, '{inp.WORD}'))::int AS s FROM chats
+      WHERE n >= 2 AND conv_id NOT IN (SELECT doc_id FROM labels)))"""
+
+
+def _flow(spark, sf):
+    records = inp.conversations(spark, sf).withColumnRenamed("turns", "conversations")
+    done = inp.table(spark, sf, "labels").select(F.col("doc_id").alias("conv_id"))
+    path = scratch_path(spark, "flow")
+    return write_chat_examples(records, "conv_id", "qwen", path, max_len=32768, cap=700, done=done)
+
+
 @query("row_transform", "SELECT doc_id, length(text)::int AS n FROM documents")
 def _(spark, sf):
     docs = inp.documents(spark, sf, "doc_id", "text")
@@ -304,22 +345,52 @@ def word_tokeniser(vocab_size: int = inp.VOCAB):
 def _(spark, sf):
     encode = bt.pluggable_tokeniser(word_tokeniser())
     docs = inp.documents(spark, sf, "doc_id", "text").select("doc_id", encode("text").alias("input_ids"))
-    return docs.select("doc_id", inp.joined(F.col("input_ids")).alias("ids"))
+    return docs.select("doc_id", inp.joined(F.col("input_ids.ids")).alias("ids"))
+
+
+@query("chat_examples_plugged", ORACLES["chat_examples"])
+def _(spark, sf):
+    out = chat_examples(_prepared(spark, sf), "conv_id", "qwen", max_len=300, encode=bt.pluggable_chat_encoder(word_tokeniser()))
+    return _shown(out, "index", "seq_len")
 
 
+# A tokeniser that refuses whole conversations whose length is a multiple of three; parts of one it takes.
 @query(
-    "chat_examples_plugged",
-    f"WITH {PREPARED} SELECT conv_id AS \"index\", len(regexp_extract_all(text, '{inp.WORD}'))::int AS seq_len FROM rendered",
+    "chat_examples_failed",
+    f"""WITH {PREPARED} SELECT count(*) AS "rows", count(*) FILTER (length(text) % 3 = 0) AS failed,
+      count(*) FILTER (length(text) % 3 = 0) AS dropped FROM rendered""",
 )
 def _(spark, sf):
-    out = chat_examples(
-        _prepared(spark, sf),
-        "conv_id",
-        "qwen",
-        tokenise=bt.pluggable_tokeniser(word_tokeniser()),
-        count_tokens=bt.pluggable_counter(word_tokeniser()),
-    )
-    return out.where(F.size("loss_mask") == F.col("seq_len")).select("index", "seq_len")
+    def factory():
+        def encode(texts: list[str]) -> list[list[int]]:
+            if any(t.startswith("<|im_start|>system") and t.count("<|im_end|>") > 1 and len(t) % 3 == 0 and t.endswith("<|im_end|>\n") for t in texts):
+                raise ValueError("a length of threes")
+            return [list(range(len(t.split()))) for t in texts]
+
+        return encode
+
+    out = chat_examples(_prepared(spark, sf), "conv_id", "qwen", max_len=300, encode=bt.pluggable_chat_encoder(factory, batched=True))
+    out = materialise(out.select("index", "seq_len", "error"), "examples")
+    failed = bt.split_failed(out)[1].agg(F.count(F.lit(1)).alias("n")).scalar()
+    dropped = fl.length_cap(out, 300)[1].select("dropped").scalar()
+    return out.agg(F.count(F.lit(1)).alias("rows")).withColumns({"failed": failed, "dropped": dropped})
+
+
+@query(
+    "write_chat_examples",
+    f"""WITH {inp.TURNS}, {_FLOW} SELECT "index", seq_len, bucket FROM flow WHERE bucket IS NOT NULL""",
+)
+def _(spark, sf):
+    return _flow(spark, sf).written
+
+
+@query(
+    "write_chat_examples_stats",
+    f"""WITH {inp.TURNS}, {_FLOW} SELECT coalesce(max(seq_len) FILTER (bucket IS NOT NULL), 0) AS max_seq_len,
+      count(*) FILTER (bucket IS NULL) AS dropped_count FROM flow""",
+)
+def _(spark, sf):
+    return _flow(spark, sf).stats.select("max_seq_len", "dropped_count")
 
 
 @query(

@@ -8,8 +8,11 @@ from parley.catalog import inputs as inp
 from parley.catalog.registry import query
 from parley.catalog.storage import DRAFT
 from parley.functions import tokens as tk
+from parley.catalog.masks import _quoted, _render_sql, mask_sql
+from parley.operators import batches as bt
 from parley.operators import vocab as vo
-from parley.plans.vocabulary import draft_vocabulary, text_token_freq
+from parley.operators.normalise import nest_turns
+from parley.plans.vocabulary import chat_token_freq, draft_vocabulary, supervised_token_freq, text_token_freq
 
 SIZES = (256, 1024)
 
@@ -42,9 +45,9 @@ def _(spark, sf):
     return vo.token_totals(_freq(spark, sf))
 
 
-@query("freq_order", f"WITH {inp.DOC_FREQ} SELECT * FROM freq")
+@query("freq_order", f"WITH {inp.DOC_FREQ} SELECT *, row_number() OVER (ORDER BY freq DESC, token_id) - 1 AS pos FROM freq")
 def _(spark, sf):
-    return vo.freq_order(_freq(spark, sf))
+    return inp.in_order(vo.freq_order(_freq(spark, sf)))
 
 
 # The text of a token id: its first word in sorted order.
@@ -138,7 +141,7 @@ def _(spark, sf):
     "draft_to_target",
     f"""WITH {inp.TURN_WORDS}, t AS (SELECT conv_id, turn, i, {inp.token_sql('w')} % 512 AS draft_id FROM turn_words),
       {DRAFT}, m AS (SELECT draft_id, token_id FROM d2t WHERE r = 256)
-    SELECT conv_id, turn, i::int AS i, draft_id, token_id FROM t JOIN m USING (draft_id)""",
+    SELECT conv_id, turn, i::int AS i, draft_id, token_id FROM t LEFT JOIN m USING (draft_id)""",
 )
 def _(spark, sf):
     d2t = vo.d2t_offsets(vo.draft_vocab(_freq(spark, sf), 256, inp.EOS).drop("r"))
@@ -182,4 +185,119 @@ def _(spark, sf):
 def _(spark, sf):
     ids = F.flatten(F.transform("turns", lambda t: tk.tokenise(t["value"], 65536)))
     chats = inp.conversations(spark, sf).select("conv_id", ids.alias("input_ids"))
-    return vo.decode_tokens(chats, _names(spark, sf, 65536), "conv_id", sep=" ")
+    return vo.decode_tokens(chats, _names(spark, sf, 65536), "conv_id", 65536, sep=" ")
+
+
+# ------------------------------------------------------- whole flows on chats
+
+
+def _chat_records(spark, sf):
+    """Conversations as records; a role no template knows stands in for a template that fails."""
+    rows = inp.table(spark, sf, "conversations").withColumn("role", F.regexp_replace("role", "^system$", "tool"))
+    roles = nest_turns(rows, role="role", text="content")
+    # Four in five records are lists of messages, the rest plain text.
+    plain = F.col("conv_id") % 5 == 0
+    joined = F.array_join(F.transform("messages", lambda m: m["content"]), " ")
+    return roles.select("conv_id", F.when(~plain, F.col("messages")).alias("messages"), F.when(plain, joined).alias("text"))
+
+
+# Rendered where every role has a template, else joined; one message alone is nothing.
+CHAT_TEXTS = f"""{inp.TURNS}, chats AS (
+  SELECT conv_id, conv_id % 5 = 0 AS plain, count(*) AS n, bool_and(role IN ('user', 'assistant')) AS known,
+    string_agg(text, ' ' ORDER BY pos) AS joined, string_agg(CASE role WHEN 'assistant' THEN ' ' ELSE '' END || text, ' ' ORDER BY pos) AS spaced,
+    '<|begin_of_text|>' || string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10)
+      || CASE role WHEN 'assistant' THEN ' ' ELSE '' END || text || '<|eot_id|>', '' ORDER BY pos) AS form
+  FROM turns GROUP BY conv_id),
+texts AS (SELECT CASE WHEN plain THEN joined WHEN n < 2 THEN NULL WHEN known THEN form ELSE spaced END AS text,
+  NOT plain AND n >= 2 AND NOT known AS fallback FROM chats),
+chat_words AS (SELECT unnest(regexp_extract_all(text, '{inp.WORD}')) AS w FROM texts),
+chat_freq AS (SELECT {inp.token_sql('w')} AS token_id, count(*) AS freq FROM chat_words GROUP BY 1)"""
+
+
+@query("chat_token_freq", f"WITH {CHAT_TEXTS} SELECT * FROM chat_freq")
+def _(spark, sf):
+    return chat_token_freq(_chat_records(spark, sf).drop("conv_id"), "llama").freq
+
+
+@query(
+    "chat_token_report",
+    f"""WITH {CHAT_TEXTS} SELECT count(*) AS records, count(*) FILTER (text IS NULL) AS empty,
+      count(*) FILTER (fallback) AS fallback, 0::bigint AS failed FROM texts""",
+)
+def _(spark, sf):
+    return chat_token_freq(_chat_records(spark, sf).drop("conv_id"), "llama").report
+
+
+@query(
+    "chat_draft_map",
+    f"""WITH {CHAT_TEXTS}, top AS (SELECT token_id FROM chat_freq ORDER BY freq DESC, token_id LIMIT 256)
+    SELECT 256 AS r, (row_number() OVER (ORDER BY token_id) - 1)::int AS draft_id, token_id,
+      (token_id - row_number() OVER (ORDER BY token_id) + 1)::int AS "offset" FROM top""",
+)
+def _(spark, sf):
+    freq = chat_token_freq(_chat_records(spark, sf).drop("conv_id"), "llama").freq
+    return draft_vocabulary(freq, 256, inp.VOCAB).d2t
+
+
+def failing_factory(vocab_size: int = inp.VOCAB):
+    """A tokeniser that refuses texts whose length is a multiple of seven."""
+
+    def factory():
+        import hashlib
+
+        def encode(text: str) -> list[int]:
+            if len(text) % 7 == 0:
+                raise ValueError("a length of sevens")
+            return [int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % vocab_size for w in text.split()]
+
+        return encode
+
+    return factory
+
+
+@query(
+    "chat_token_failures",
+    f"""WITH {CHAT_TEXTS} SELECT count(*) AS records, count(*) FILTER (text IS NULL) AS empty,
+      count(*) FILTER (fallback) AS fallback, count(*) FILTER (length(text) % 7 = 0) AS failed,
+      (SELECT coalesce(sum(len(regexp_extract_all(text, '{inp.WORD}'))), 0)::bigint FROM texts WHERE length(text) % 7 <> 0) AS tokens FROM texts""",
+)
+def _(spark, sf):
+    counted = chat_token_freq(_chat_records(spark, sf).drop("conv_id"), "llama", encode=bt.pluggable_tokeniser(failing_factory()))
+    tokens = counted.freq.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("t")).scalar()
+    return counted.report.withColumn("tokens", tokens)
+
+
+LEGACY = f"""chat0 AS (
+  SELECT conv_id, turn, role, text FROM conversations WHERE role <> 'system'
+  UNION ALL SELECT DISTINCT conv_id, -1, 'system', '{inp.SYSTEM}' FROM conversations WHERE role <> 'system'),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM chat0),
+good AS (SELECT conv_id FROM numbered GROUP BY conv_id HAVING bool_and(pos = 0 OR role = CASE WHEN pos % 2 = 1 THEN 'user' ELSE 'assistant' END)),
+turns AS (SELECT conv_id, pos, role, text FROM numbered JOIN good USING (conv_id)),
+rendered AS (SELECT conv_id, {_render_sql('llama')} AS text FROM turns GROUP BY conv_id),
+pieces AS (SELECT conv_id, text, string_split(text, {_quoted(tk.SEPARATORS['llama']['user'])}) AS p FROM rendered),
+glued AS (SELECT conv_id, CASE WHEN len(p) > 1 THEN list_concat([p[1] || {_quoted(tk.SEPARATORS['llama']['user'])} || p[2]], p[3:]) END AS parts FROM pieces),
+parts AS (SELECT conv_id, generate_subscripts(parts, 1) - 1 AS i, unnest(parts) AS part FROM glued),
+state AS (SELECT *, part = '' OR len(string_split(part, {_quoted(tk.SEPARATORS['llama']['assistant'])})) <> 2 AS bad FROM parts),
+usable AS (SELECT conv_id, i, part FROM (SELECT *, max(bad::int) OVER (PARTITION BY conv_id ORDER BY i) AS past FROM state) WHERE past = 0),
+counts AS (SELECT conv_id, i, len(regexp_extract_all(part, '{inp.WORD}')) AS t, len(regexp_extract_all(
+  string_split(part, {_quoted(tk.SEPARATORS['llama']['assistant'])})[1] || {_quoted(tk.SEPARATORS['llama']['assistant'])}, '{inp.WORD}')) - 1 AS k FROM usable),
+ids AS (SELECT conv_id, regexp_extract_all(text, '{inp.WORD}')[1:2048] AS ws FROM rendered),
+lens AS (SELECT conv_id, len(ws) AS L FROM ids), {mask_sql('llama', 'counts')}"""
+
+
+@query(
+    "supervised_chat_freq",
+    f"""WITH {LEGACY}, w AS (SELECT unnest(ws) AS w, unnest(string_split(mask, '')) AS m FROM ids JOIN masks USING (conv_id))
+    SELECT {inp.token_sql('w')} AS token_id, count(*) AS freq FROM w WHERE m = '1' GROUP BY 1""",
+)
+def _(spark, sf):
+    return supervised_token_freq(inp.sharegpt(spark, sf), "conv_id", "llama", 2048, system=inp.SYSTEM).freq
+
+
+@query(
+    "supervised_chat_report",
+    f"""WITH {LEGACY} SELECT (SELECT count(DISTINCT conv_id) FROM conversations) AS records,
+      (SELECT count(DISTINCT conv_id) FROM conversations) - (SELECT count(*) FROM good) AS empty, 0::bigint AS fallback, 0::bigint AS failed""",
+)
+def _(spark, sf):
+    return supervised_token_freq(inp.sharegpt(spark, sf), "conv_id", "llama", 2048, system=inp.SYSTEM).report

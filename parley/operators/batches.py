@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,39 +24,92 @@ def row_transform(df: DataFrame, fn: Callable[[DataFrame], DataFrame] | None) ->
     return df if fn is None else df.transform(fn)
 
 
-def pluggable_tokeniser(factory: Callable[[], Callable[[str], list[int]]]):
-    """UDF-3: a column function from text to ids around any tokeniser.
+Encode = Callable[[str], list[int]]
+EncodeBatch = Callable[[list[str]], list[list[int]]]
 
-    ``factory`` runs once per task and returns ``encode(text) -> ids``. Texts arrive
-    in Arrow batches. A text that cannot be encoded gives null.
-    """
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokeniser = factory()
+class _Guarded:
+    """A tokeniser that tells of each text whether it could be encoded.
+
+    ``factory`` returns ``encode(text) -> ids``, or, with ``batched``,
+    ``encode(texts) -> list of ids``. A batch that fails is done again text by text.
+    """
 
-        def one(text):
-            if text is None:
-                return None
-            try:
-                return list(tokeniser(text))
-            except Exception:
-                return None
+    def __init__(self, factory, batched: bool):
+        made = factory()
+        self.batch: EncodeBatch = made if batched else lambda texts: [made(t) for t in texts]
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[list[int] | None, str | None]]:
+        filled = [k for k, t in enumerate(texts) if t is not None]
+        out: list[tuple[list[int] | None, str | None]] = [(None, None)] * len(texts)
+        try:
+            for k, ids in zip(filled, self.batch([texts[k] for k in filled]), strict=True):
+                out[k] = (list(ids), None)
+        except Exception:  # whatever a tokeniser may raise; the message goes into the row
+            for k in filled:
+                try:
+                    out[k] = (list(self.batch([texts[k]])[0]), None)
+                except Exception as error:
+                    out[k] = (None, f"{type(error).__name__}: {error}")
+        return out
+
+
+def pluggable_tokeniser(factory: Callable[[], Encode | EncodeBatch], batched: bool = False):
+    """UDF-3: a column function from text to ``struct<ids, error>`` around any tokeniser.
+
+    ``factory`` runs once per task. Texts arrive in Arrow batches. A null text has
+    neither ids nor an error; a text that cannot be encoded has an error and no ids,
+    so that nothing goes missing without a trace (``split_failed`` counts them).
+    """
 
+    @F.pandas_udf("ids array<int>, error string")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tokeniser = _Guarded(factory, batched)
         for texts in batches:
-            yield texts.map(one)
+            yield pd.DataFrame(tokeniser(list(texts)), columns=["ids", "error"])
 
     # Marked so that the optimiser neither copies the call nor moves filters below it.
     return encode.asNondeterministic()
 
 
-def pluggable_counter(factory: Callable[[], Callable[[str], list[int]]]):
-    """The same for a list of texts, giving the number of ids of each."""
+def pluggable_chat_encoder(factory: Callable[[], Encode | EncodeBatch], batched: bool = False):
+    """The same for a rendered conversation and its parts, in one call per batch of rows.
+
+    A column function from (text, turns, instructions) to ``struct<ids, turn_len,
+    instr_len, error>``: ids of the text, and the number of ids of each part. A row
+    fails as a whole, with the first error of its texts.
+    """
+
+    @F.pandas_udf("ids array<int>, turn_len array<int>, instr_len array<int>, error string")
+    def encode(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        tokeniser = _Guarded(factory, batched)
+        for texts, turns, instructions in batches:
+            flat: list[str | None] = []
+            spans = []
+            for text, *parts in zip(texts, turns, instructions):
+                lists = [[] if p is None else list(p) for p in parts]
+                spans.append((len(flat), len(lists[0]), len(lists[1])))
+                flat += [text, *lists[0], *lists[1]]
+            done = tokeniser(flat)
+            rows = []
+            for at, n, m in spans:
+                own = done[at : at + 1 + n + m]
+                error = next((e for _, e in own if e), None)
+                sizes = [None if ids is None else len(ids) for ids, _ in own[1:]]
+                rows.append((None, None, None, error) if error else (own[0][0], sizes[:n], sizes[n:], None))
+            for k, (t, i) in enumerate(zip(turns, instructions)):  # no separator, no parts: not the same as none
+                rows[k] = (rows[k][0], None if t is None else rows[k][1], None if i is None else rows[k][2], rows[k][3])
+            yield pd.DataFrame(rows, columns=["ids", "turn_len", "instr_len", "error"])
+
+    return encode.asNondeterministic()
+
+
+def ids_only(encode):
+    """A plugged tokeniser where only ids are wanted: null for a text that fails."""
+    return lambda text: encode(text)["ids"]
 
-    @F.pandas_udf("array<int>")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokeniser = factory()
-        for lists in batches:
-            yield lists.map(lambda texts: None if texts is None else [len(tokeniser(t)) for t in texts])
 
-    return count.asNondeterministic()
+def split_failed(df: DataFrame, error: str | Column = "error") -> tuple[DataFrame, DataFrame]:
+    """(rows without an error; the others, with it)."""
+    failed = (F.col(error) if isinstance(error, str) else error).isNotNull()
+    return df.where(~failed), df.where(failed)

@@ -24,7 +24,7 @@ def run_stats(df: DataFrame, cap: int, edges=None, length: str = "seq_len") -> D
     With ``edges`` rows outside all buckets are dropped too, and ``bucket_stats``
     maps every bucket to its number of rows.
     """
-    kept = F.col(length) <= cap
+    kept = F.coalesce(F.col(length) <= cap, F.lit(False))  # a null length is dropped
     extra = []
     if edges is not None:
         bucket = ar.length_bucket(F.col(length), edges)

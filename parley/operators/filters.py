@@ -35,8 +35,9 @@ def role_alternation(df: DataFrame, turns: str = "turns") -> tuple[DataFrame, Da
 
 
 def length_cap(df: DataFrame, cap: int, length: str = "seq_len") -> tuple[DataFrame, DataFrame]:
-    """FLT-6: (rows of at most ``cap`` tokens; one row with the number dropped)."""
-    return df.where(F.col(length) <= cap), df.agg(F.count_if(F.col(length) > cap).alias("dropped"))
+    """FLT-6: (rows of at most ``cap`` tokens; one row with the number dropped). A null length is dropped."""
+    kept = F.coalesce(F.col(length) <= cap, F.lit(False))
+    return df.where(kept), df.agg(F.count_if(~kept).alias("dropped"))
 
 
 def train_length_cap(df: DataFrame, cap: int = 2048, ids: str = "input_ids") -> DataFrame:

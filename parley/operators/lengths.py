@@ -100,7 +100,7 @@ def summary_table(report: DataFrame) -> DataFrame:
 
 
 def length_histogram(df: DataFrame, col: str, bins: int = 50, by=()) -> DataFrame:
-    """AGG-20: density per bin between the smallest and the largest length.
+    """AGG-20: density per bin between the smallest and the largest length, 0 for an empty bin.
 
     The last bin holds its upper edge; a single value gets bins from half below to
     half above it. ``axis_limit`` is the 95th percentile.
@@ -126,11 +126,20 @@ def length_histogram(df: DataFrame, col: str, bins: int = 50, by=()) -> DataFram
     above = (F.col("_x") >= (F.col("_guess") + 1) * F.col("_width") + F.col("_from")) & (F.col("_guess") < bins - 1)
     edged = ranged.withColumns({"_from": lo, "_width": width, "_guess": guess})
     filled = edged.withColumn("bin", F.col("_guess") - below + above.cast("int"))
-    return filled.groupBy(*by, "bin").agg(
-        (F.col("bin") * F.first("_width") + F.first("_from")).alias("bin_start"),
-        F.sum("_n").alias("count"),
-        (F.sum("_n") / (F.first("_total") * F.first("_width"))).alias("density"),
-        F.first("_p95").alias("axis_limit"),
+    counts = filled.groupBy(*by, "bin").agg(F.sum("_n").alias("_in"))
+    shape = [F.first(c).alias(c) for c in ("_width", "_from", "_total", "_p95")]
+    groups = edged.groupBy(*by).agg(*shape, F.count(F.lit(1)).alias("_groups")).where("_groups > 0")
+    every = groups.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    counts = counts.select(*[F.col(c).alias(f"_of_{c}") for c in [*by, "bin"]], "_in")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*by, "bin"]]
+    count = F.coalesce("_in", F.lit(0).cast("long"))
+    return every.join(counts, same, "left").select(
+        *by,
+        "bin",
+        (F.col("bin") * F.col("_width") + F.col("_from")).alias("bin_start"),
+        count.alias("count"),
+        (count / (F.col("_total") * F.col("_width"))).alias("density"),
+        F.col("_p95").alias("axis_limit"),
     )
 
 

@@ -19,8 +19,9 @@ from parley.schemas import TURNS
 CONTENT_FIELDS = ("content", "text", "message", "value")
 # Parts of column names that promise text.
 TEXT_HINTS = ("text", "content", "message", "conversation", "dialogue")
-# Layouts whose assistant texts get the prefix of the llama family.
-PREFIX_FORMS = ("conversations", "messages", "pair")
+# Layouts whose assistant texts get the prefix of the llama family: when examples are made, and when tokens are counted.
+PREFIX_FORMS = ("conversations",)
+COUNTING_PREFIX_FORMS = ("conversations", "messages")
 # Columns tried first, per kind of corpus.
 KIND_FIELDS = {
     "sharegpt": ("conversations",),
@@ -138,15 +139,18 @@ def dispatch_by_record(
     with_text: bool = False,
     keep=(),
     mode: str | None = None,
-    prefix_forms=PREFIX_FORMS,
+    prefix_forms=None,
 ) -> DataFrame:
     """PRJ-6: choose the layout per record, by the first column that is not null.
 
     Gives ``keep``, ``form`` (the layout found), ``turns`` and ``text``. A record
     that has a layout but too little in it has neither turns nor text.
     ``with_text`` is the counting variant: it also takes plain text, keeps known
-    roles only, and writes any other record as JSON. ``prefix_forms`` as above.
+    roles only, and writes any other record as JSON. ``prefix_forms`` as above; by
+    default those of the variant.
     """
+    if prefix_forms is None:
+        prefix_forms = COUNTING_PREFIX_FORMS if with_text else PREFIX_FORMS
     have = set(df.columns)
     mode = mode or ("drop" if with_text else "keep")
     nothing = F.lit(None).cast(TURNS)
@@ -223,10 +227,11 @@ def extract_text(df: DataFrame, kind: str) -> Column:
         if texts is not None:
             found.append(_nonempty(F.array_join(texts, " ")))
 
+    ended = F.lit(False)  # by a list of strings, which sends the search to the names below
     for column in KIND_FIELDS[kind]:
         dtype = types.get(column)
         if isinstance(dtype, T.StringType):
-            found.append(_nonempty(F.col(column)))
+            found.append(F.when(~ended, _nonempty(F.col(column))))
         elif isinstance(dtype, T.ArrayType):
             if kind != "openthoughts":
                 field = {"sharegpt": "value", "ultrachat": "content"}[kind]
@@ -234,9 +239,12 @@ def extract_text(df: DataFrame, kind: str) -> Column:
                     texts = F.filter(F.transform(column, lambda t: t[field].cast("string")), lambda x: x != "")
                     found.append(_nonempty(F.array_join(texts, " ")))
             elif column == "messages" and isinstance(dtype.elementType, T.StringType):
-                found.append(_nonempty(F.array_join(column, " ")))
-            elif column == "messages" or isinstance(dtype.elementType, T.StringType):
+                found.append(F.when(F.size(column) > 0, F.array_join(column, " ")))
+            elif column == "messages":
                 add_list(column)
+            elif isinstance(dtype.elementType, T.StringType):
+                found.append(F.when(~ended, _nonempty(F.array_join(_list_texts(df, column), " "))))
+                ended = ended | F.coalesce(F.size(column) > 0, F.lit(False))
     if kind != "openthoughts" and isinstance(types.get("text"), T.StringType):
         main = KIND_FIELDS[kind][0]
         empty = (F.coalesce(F.size(main), F.lit(0)) <= 0) if isinstance(types.get(main), T.ArrayType) else F.lit(True)

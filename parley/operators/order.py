@@ -23,11 +23,12 @@ def _names(order_by) -> list[str]:
 
 
 def _starts(counts: DataFrame, segment: str, bound: int) -> DataFrame:
-    """(segment, start, total) from (segment, n); at most ``bound`` rows."""
+    """(segment, n, start, total) from (segment, n); at most ``bound`` rows."""
     before = Window.orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(segment).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     starts = counts.select(
         segment,
+        "n",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"),
         F.sum("n").over(everything).alias("_total"),
     )
@@ -39,16 +40,19 @@ def global_position(
 ) -> DataFrame:
     """Add ``pos`` = 0, 1, 2, ... in the order of ``order_by``.
 
-    Rows with equal keys are told apart by a hash of all their columns, so a key
-    that many rows share is spread over partitions and its rows keep their places
-    when a task runs again. Keep ``df`` narrow: what it holds is shuffled and
-    written once. ``total`` names a column for the number of rows.
+    Rows with equal keys are told apart by a hash of all their columns, and equal rows
+    by where they come from, so that neither lie in one partition. The ranged rows are
+    written once; from then on their places are fixed. Keep ``df`` narrow, and a
+    written table or cheap to work out: finding the ranges reads it once more.
+    ``total`` names a column for the number of rows.
     """
     keys = _names(order_by)
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tied = df.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    ranged = tied.repartitionByRange(parts, *keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
+    tied = tied.withColumn("_from", F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(parts, *keys, "_tie", "_from").sortWithinPartitions(*keys, "_tie", "_from")
+    ranged = ranged.drop("_tie", "_from")
     rows = materialise(ranged.withColumn("_mid", F.monotonically_increasing_id()), "position")
     part = F.shiftright("_mid", _ROW_BITS)
     counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
@@ -94,41 +98,53 @@ def shuffled_position(
     seed,
     pos: str = "pos",
     total: str | None = None,
-    first: int | Column | None = None,
     digits: int = 4,
 ) -> DataFrame:
     """The position each row gets in ``seeded_shuffle``, without sorting globally.
 
     ``key`` must be unique: the hash then spreads the rows evenly over the segments.
-    ``first`` keeps the first so many rows (a number, or an expression over the
-    column ``_total``): segments past it are left out before the shuffle.
     """
     rows = df.withColumn("_h", shuffle_key(key, seed))
     segment = F.substring("_h", 1, digits)
     counts = rows.groupBy(segment.alias("_seg")).agg(F.count(F.lit(1)).alias("n"))
     starts = _starts(counts, "_seg", 16**digits)
-    limit = None
-    if first is not None:
-        limit = first if isinstance(first, Column) else F.lit(first)
-        starts = broadcast_within(starts.where(F.col("_start") < limit), 16**digits)
     inside = Window.partitionBy("_seg").orderBy("_h", *_names(key))
     out = rows.withColumn("_seg", segment).join(starts, "_seg")
     out = out.withColumn("_pos", F.col("_start") + F.row_number().over(inside) - 1)
-    if limit is not None:
-        out = out.where(F.col("_pos") < limit)
     extra = [F.col("_total").alias(total)] if total else []
     return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_pos").alias(pos), *extra)
 
 
+def _first_shuffled(df: DataFrame, key, seed, limit: Column, digits: int = 4) -> DataFrame:
+    """The first rows of ``seeded_shuffle``; ``limit`` may use ``_total``, the number of rows.
+
+    Whole segments below the limit are told by their digits. Only the segment on the
+    edge is ranked, to find the last hash that stays; the rows themselves pass
+    through a filter and are not shuffled. ``df`` is read three times.
+    """
+    rows = df.withColumn("_h", shuffle_key(key, seed))
+    segment, place = F.substring("_h", 1, digits), F.struct("_h", *_names(key))
+    counts = rows.groupBy(segment.alias("_seg")).agg(F.count(F.lit(1)).alias("n"))
+    starts = _starts(counts, "_seg", 16**digits)
+    whole = starts.where(F.col("_start") + F.col("n") <= limit).agg(F.max("_seg").alias("x")).scalar()
+    edge = starts.where((F.col("_start") < limit) & (F.col("_start") + F.col("n") > limit))
+    edge = broadcast_within(edge.select("_seg", (limit - F.col("_start")).alias("_room")), 1)
+    ranked = rows.select(segment.alias("_seg"), place.alias("_place")).join(edge, "_seg")
+    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("_seg").orderBy("_place")))
+    last = ranked.where(F.col("_rank") <= F.col("_room")).agg(F.max("_place").alias("x")).scalar()
+    stays = F.coalesce(segment <= whole, F.lit(False)) | F.coalesce(place <= last, F.lit(False))
+    return rows.where(stays).drop("_h")
+
+
 def cap_sample(df: DataFrame, n: int, key, seed) -> DataFrame:
     """ORD-2: all rows when there are at most ``n``, else ``n`` of them chosen by the seed."""
-    return shuffled_position(df, key, seed, pos="_at", first=n).drop("_at")
+    return _first_shuffled(df, key, seed, F.lit(n))
 
 
 def ratio_sample(df: DataFrame, ratio: float, key, seed) -> DataFrame:
     """ORD-3: ``int(rows * ratio)`` rows chosen by the seed."""
     keep = F.floor(F.col("_total") * F.lit(float(ratio)))
-    return shuffled_position(df, key, seed, pos="_at", first=keep).drop("_at")
+    return _first_shuffled(df, key, seed, keep)
 
 
 def slice_by_rank(df: DataFrame, k: int, ratio: float, order_by=None) -> DataFrame:
@@ -209,11 +225,9 @@ def name_order(df: DataFrame, name: str = "name") -> DataFrame:
 
 
 def limit_samples(df: DataFrame, n: int | None, order_by) -> DataFrame:
-    """ORD-11: the first ``n`` rows in a given order; all of them when ``n`` is None."""
+    """ORD-11: the first ``n`` rows in a given order, equal keys by a hash of the row; all rows when ``n`` is None."""
     if n is None:
         return df
-    if n <= 10_000:
-        return df.orderBy(*_names(order_by)).limit(n)
     return global_position(df, order_by, pos="_at").where(F.col("_at") < n).drop("_at")
 
 

@@ -100,7 +100,8 @@ def draft_coverage(freq: DataFrame, r, eos: int | None = None, include_injected:
 
     An injected eos adds nothing unless ``include_injected``.
     """
-    total = freq.agg(F.sum("freq").alias("t")).scalar()
+    own = F.sum(F.when(F.col("token_id") == eos, F.col("freq"))) if eos is not None else F.lit(0)
+    sums = freq.agg(F.struct(F.sum("freq").alias("total"), F.coalesce(own, F.lit(0)).alias("eos")).alias("s")).scalar()
     covered = F.sum(F.coalesce("freq", F.lit(0)))
     chosen = draft_vocab(freq, r, eos).groupBy("r").agg(
         F.count(F.lit(1)).alias("tokens"),
@@ -108,9 +109,8 @@ def draft_coverage(freq: DataFrame, r, eos: int | None = None, include_injected:
         F.max(F.col("injected").cast("int")).alias("_injected"),
     )
     if include_injected and eos is not None:
-        own = freq.where(F.col("token_id") == eos).agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("f")).scalar()
-        chosen = chosen.withColumn("covered", F.col("covered") + F.col("_injected") * own)
-    return chosen.drop("_injected").withColumn("coverage", F.col("covered") / total)
+        chosen = chosen.withColumn("covered", F.col("covered") + F.col("_injected") * sums["eos"])
+    return chosen.drop("_injected").withColumn("coverage", F.col("covered") / sums["total"])
 
 
 def d2t_offsets(draft: DataFrame) -> DataFrame:
@@ -152,9 +152,9 @@ def supervised_in_draft(
 
 
 def draft_to_target(df: DataFrame, d2t: DataFrame, max_rows: int, draft_id: str = "draft_id") -> DataFrame:
-    """JON-3: adds ``token_id`` = draft id + offset; ids outside the map are left out."""
+    """JON-3: adds ``token_id`` = draft id + offset; null for an id outside the map."""
     offsets = d2t.select(F.col("draft_id").alias(draft_id), "offset")
-    joined = df.join(broadcast_within(offsets, max_rows), draft_id)
+    joined = df.join(broadcast_within(offsets, max_rows), draft_id, "left")
     return joined.withColumn("token_id", F.col(draft_id) + F.col("offset")).drop("offset")
 
 
@@ -188,13 +188,14 @@ def vocab_map_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def decode_tokens(df: DataFrame, vocab: DataFrame, key: str, ids: str = "input_ids", sep: str = "") -> DataFrame:
+def decode_tokens(df: DataFrame, vocab: DataFrame, key: str, vocab_size: int, ids: str = "input_ids", sep: str = "") -> DataFrame:
     """JON-5: ids back to text. ``vocab`` is (token_id, token); an unknown id shows as ``<token_N>``.
 
-    The vocabulary is not hinted: its size decides the join.
+    ``vocab_size`` bounds the rows of the vocabulary. It is broadcast, so that frequent
+    tokens stay where they are; beyond the limit of broadcasts, sizes decide.
     """
     rows = df.select(key, F.posexplode_outer(ids).alias("_pos", "token_id"))
-    named = rows.join(vocab.select("token_id", "token"), "token_id", "left")
+    named = rows.join(broadcast_within(vocab.select("token_id", "token"), vocab_size), "token_id", "left")
     text = F.coalesce("token", F.concat(F.lit("<token_"), F.col("token_id").cast("string"), F.lit(">")))
     one = F.when(F.col("_pos").isNotNull(), F.struct("_pos", text.alias("text")))
     back = named.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("_t"))

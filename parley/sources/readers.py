@@ -94,6 +94,8 @@ def scan_vocab_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     try:
         d2t, t2d = spark.read.parquet(f"{path}/d2t"), spark.read.parquet(f"{path}/t2d")
     except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         raise FileNotFoundError(f"{path} must hold both d2t and t2d") from error
     return d2t, t2d, vocab_map_report(d2t, t2d)
 

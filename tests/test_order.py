@@ -141,8 +141,31 @@ def test_every_nth(spark):
 def test_limit(spark):
     df = numbers(spark, 30_000)
     assert order.limit_samples(df, None, "id").count() == 30_000
-    for n in (5, 20_000):
+    for n in (5, 9_999, 20_000):
         assert sorted(r["id"] for r in order.limit_samples(df, n, "id").collect()) == list(range(n))
+    # Equal keys are told apart in one way, on either side of any size.
+    tied = df.selectExpr("id", "id % 3 AS k")
+    low, high = ({r["id"] for r in order.limit_samples(tied, n, "k").collect()} for n in (9_000, 10_500))
+    assert len(low) == 9_000 and low < high and len(high) == 10_500
+
+
+def test_equal_rows_fill_more_than_one_partition(spark):
+    same = spark.range(100_000).selectExpr("1 AS k")
+    placed = order.global_position(same, "k", partitions=8)
+    assert sorted(r["pos"] for r in placed.collect()) == list(range(100_000))
+    # The rows were written by eight tasks of about the same size.
+    from pyspark.sql import functions as F
+
+    table = placed.inputFiles()
+    sizes = [r["count"] for r in spark.read.parquet(*table).groupBy(F.col("_metadata.file_name")).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * min(sizes)
+
+
+def test_a_sample_that_drops_nothing_shuffles_no_rows(spark):
+    df = numbers(spark, 1000)
+    plan = order.cap_sample(df, 10_000, "id", 7)._jdf.queryExecution().executedPlan().toString()
+    head = plan.split("Subquery")[0]
+    assert "Window" not in head and "Exchange hashpartitioning(_seg" not in head
 
 
 def next_valid_by_loop(flags):

@@ -106,7 +106,7 @@ def test_dispatch_by_record(spark):
     assert counted[2]["turns"] is None and counted[2]["form"] == "conversations"
     assert plain(counted[3]["turns"])[1] == ("assistant", " y")
     assert counted[4]["text"] == "plain" and counted[4]["turns"] is None
-    assert plain(counted[5]["turns"]) == [("user", "p"), ("assistant", " r")]
+    assert plain(counted[5]["turns"]) == [("user", "p"), ("assistant", "r")]  # pairs are never prefixed
     bare = nm.dispatch_by_record(df, "llama", with_text=True, keep=("id",), prefix_forms=("conversations",))
     bare = {r["id"]: r["turns"] for r in bare.collect()}
     assert plain(bare[1])[1] == ("assistant", " a")
@@ -146,6 +146,14 @@ def test_extract_text(spark):
     assert got == ["", "later", "a b"]
     strings = spark.createDataFrame([(["a", "", "b"],)], "messages array<string>")
     assert one(strings, nm.extract_text(strings, "openthoughts")) == "a  b"
+    # A list of strings ends the search, also when all of them are empty; an empty list does not.
+    rows = [([""], "later", ""), (["", ""], "later", " "), ([], "later", "later"), (None, "later", "later")]
+    ended = spark.createDataFrame(rows, "messages array<string>, text string, want string")
+    assert all(r["x"] == r["want"] for r in ended.select("want", nm.extract_text(ended.drop("want"), "openthoughts").alias("x")).collect())
+    # A conversation of empty strings sends the search to the columns by name, in their order.
+    rows = [([""], "later", ""), (["a", ""], "later", "a"), (None, "later", "later")]
+    empty = spark.createDataFrame(rows, "conversation array<string>, text string, want string")
+    assert all(r["x"] == r["want"] for r in empty.select("want", nm.extract_text(empty.drop("want"), "openthoughts").alias("x")).collect())
     none = spark.createDataFrame([(1,)], "id int")
     assert one(none, nm.extract_text(none, "sharegpt")) == ""
     both = spark.createDataFrame([([("m", "c")], "t")], "messages array<struct<content:string,text:string>>, text string")

@@ -150,8 +150,13 @@ def test_user_functions(spark):
         return encode
 
     encode = bt.pluggable_tokeniser(factory)
-    assert {r["id"]: r["x"] for r in df.select("id", encode("text").alias("x")).collect()} == {1: [1, 1], 2: None, 3: None}
-    tokens = vo.token_freq_all(df, encode("text")).collect()
+    found = df.select("id", encode("text").alias("x")).select("id", "x.*")
+    assert {r["id"]: (r["ids"], r["error"]) for r in found.collect()} == {1: ([1, 1], None), 2: (None, None), 3: (None, "ValueError: boom")}
+    kept, failed = bt.split_failed(found)
+    assert {r["id"] for r in kept.collect()} == {1, 2} and [r["id"] for r in failed.collect()] == [3]
+    many = bt.pluggable_tokeniser(lambda: lambda texts: [factory()(t) for t in texts], batched=True)
+    assert df.select("id", many("text").alias("x")).select("id", "x.*").collect() == found.collect()
+    tokens = vo.token_freq_all(df, bt.ids_only(encode)("text")).collect()
     assert [(r["token_id"], r["freq"]) for r in tokens] == [(1, 2)]
     kept = bt.map_batches(df, lambda f: f[f["id"] > 1][["id"]], "id int")
     assert sorted(r["id"] for r in kept.collect()) == [2, 3]
@@ -161,7 +166,7 @@ def test_user_functions(spark):
 def test_plugged_tokeniser_in_other_operators(spark, tmp_path):
     from parley.operators import lengths as ln
 
-    encode = bt.pluggable_tokeniser(lambda: lambda text: list(range(len(text))))
+    encode = bt.ids_only(bt.pluggable_tokeniser(lambda: lambda text: list(range(len(text)))))
     df = spark.createDataFrame([("a", "ab c"), ("a", "x")], "dataset string, text string")
     rows = {r["unit"]: r["max"] for r in ln.length_report(df, "dataset", tokenise=encode).collect()}
     assert rows == {"chars": 4, "words": 2, "tokens": 4}

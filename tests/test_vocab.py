@@ -98,7 +98,7 @@ def test_maps_compared(spark):
 def test_decode(spark):
     vocab = spark.createDataFrame([(1, "a"), (2, "b")], "token_id int, token string")
     df = spark.createDataFrame([(1, [1, 2, 1]), (2, []), (3, [9])], "id int, input_ids array<int>")
-    got = {r["id"]: r["text"] for r in vo.decode_tokens(df, vocab, "id").collect()}
+    got = {r["id"]: r["text"] for r in vo.decode_tokens(df, vocab, "id", 100).collect()}
     assert got == {1: "aba", 2: "", 3: "<token_9>"}
 
 

@@ -37,7 +37,16 @@ HEADLINE = [
     "length_report",
     "length_histogram",
     "chat_examples",
+    "chat_token_freq",
+    "supervised_chat_freq",
+    "write_chat_examples",
     "training_batches",
+    "training_batches_substituted",
+    "first_per_source",
+    "extract_text",
+    "corpus_sizes",
+    "vocab_map_diff",
+    "prediction_views",
     "loss_mask_llama",
     "integrity_check",
     "skip_done",

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 _local_scratch: str | None = None
+_scopes: list[list[str]] = []
 
 
 def local_session(cores: int | str = 8, app: str = "parley", **conf) -> SparkSession:
@@ -39,7 +42,8 @@ def local_session(cores: int | str = 8, app: str = "parley", **conf) -> SparkSes
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only when Spark itself runs on one machine.
+    Where it is unset, as in tests, a folder of this machine is used, and only if all
+    of Spark runs in this one process; anywhere else that is an error.
     """
     global _local_scratch
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -54,7 +58,28 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that nobody has used yet."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    for names in _scopes:
+        names.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What is put into the shared folder inside is removed on leaving: write the result before.
+
+    with scratch_scope(spark):
+        flow(spark).write.parquet(path)
+    """
+    names: list[str] = []
+    _scopes.append(names)
+    try:
+        yield
+    finally:
+        _scopes.remove(names)
+        for name in names:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:

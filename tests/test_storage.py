@@ -138,6 +138,18 @@ def test_scratch_folders():
     assert session.scratch_path(local, "x") != session.scratch_path(local, "x")
 
 
+def test_scratch_scope_removes_its_tables(spark):
+    df = spark.range(10)
+    with session.scratch_scope(spark):
+        inside = session.materialise(df, "inside")
+        path = inside.inputFiles()[0]
+        assert inside.count() == 10
+    outside = session.materialise(df, "outside")
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path).count()
+    assert outside.count() == 10
+
+
 def test_user_functions(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, "boom")], "id int, text string")
 

@@ -43,7 +43,7 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 def is_boilerplate(name: str, attributes: str, inside_main: bool) -> bool:
     if name in DROPPED:
         return not (inside_main and name == "header")
-    if name in MAIN or name in ("html", "body") or "=" not in attributes:
+    if name in ("main", "html", "body") or "=" not in attributes:
         return False
     for kind, *values in ATTRIBUTE.findall(attributes):
         words = "".join(values).lower().split()
@@ -102,8 +102,9 @@ def lines_of(html: str) -> Iterator[tuple[str, int, bool]]:
             continue
         if name == "hr" or tag[4].endswith("/") and name in INLINE:
             continue
-        if name in MAIN and hidden:  # an unclosed menu ends where the article begins
-            close(next(k for k, (_, bad) in enumerate(opened) if bad))
+        first = next((k for k, (_, bad) in enumerate(opened) if bad), None) if name in MAIN else None
+        if first is not None and opened[first][0] == "nav":  # an unclosed menu ends where the article begins
+            close(first)
         if name in ("p", "li") and opened and opened[-1][0] == name:
             close(len(opened) - 1)
         bad = is_boilerplate(name, tag[4], within > 0)

@@ -14,6 +14,8 @@ PAGES = [
     ("<div class='site-header'>Head</div><div class=content><p>" + "word " * 40 + "</p><p>Short.</p></div><div id=comments><p>" + "reply " * 40 + "</p></div>", ("word " * 40).strip() + "\nShort."),
     ("<article>a<aside>side</aside>b<div class='ad'>buy</div><form>in</form><script>var t='</article>';</script>c<!-- x --><section class='comments'>no</section></article>tail", "a\nb\nc"),
     ("<nav><a href=/>home</a><article><p>kept although the menu never ends</article>", "kept although the menu never ends"),
+    ("<article><p>story</p></article><section class=comments><article class=comment>one</article></section><aside><article>teaser</article></aside>", "story"),
+    ("<main><article class='post'>a</article><article class='user-comment'>b</article></main><div role='banner'>x</div>", "a"),
     ("<p>Only a few words.</p>", "Only a few words."),
     ("plain text", "plain text"),
     ("<div class=\"cookie-notice\">We use cookies</div><article><header><h1>T</h1></header><p>a &lt;b&gt; c</p><p title='x > y'>d</p></article>", "T\na <b> c\nd"),

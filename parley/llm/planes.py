@@ -36,6 +36,7 @@ from parley.session import materialise, scratch_path
 MAGIC = b"PLANES01"
 TRAILER = struct.Struct("<QQQQBBHI8s")  # documents at, length, chunks at, length, bits, planes, 0, block, magic
 BLOCK = 1 << 16
+_MARKS = b".,!*#$%&"  # fixed value: marks that often follow a word
 
 
 def to_planes(ids: np.ndarray, planes: int, bits: bool) -> list[bytes]:
@@ -138,10 +139,11 @@ class MemoEncoder:
     """Encodes with a tokenizer of the tokenizers library that discards white space.
 
     Such a tokenizer encodes a text as its blank-separated pieces one after another,
-    so each distinct piece is encoded once per worker. ``room`` bounds the memory.
+    so each distinct piece is encoded once per worker. ``room`` bounds the memory, at
+    some 150 bytes a piece.
     """
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -154,11 +156,24 @@ class MemoEncoder:
         new = list(set().union(*split).difference(self.known))
         if len(self.known) + len(new) > self.room:
             self.known, new = {}, list(set().union(*split))
+        self._learn(new)
+        return [b"".join(map(self.known.__getitem__, p)) for p in split]
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        # The tokenizer cuts between letters or digits and marks, so a word is shared by its forms with marks behind it.
+        forms = {}
+        for p in pieces:
+            word = p.rstrip(_MARKS)
+            if len(word) < len(p) and word[-1:].isalnum() and b"<|" not in p:
+                forms[p] = (word, p[len(word) :])
+        new = {x for p in pieces for x in forms.get(p, (p,))}.difference(self.known)
+        new = list(new)
         for k in range(0, len(new), 10_000):
             part = new[k : k + 10_000]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)):
                 self.known[piece] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, p)) for p in split]
+        for p, (word, marks) in forms.items():
+            self.known[p] = self.known[word] + self.known[marks]
 
 
 _ENCODERS: dict[str, MemoEncoder] = {}
@@ -228,7 +243,9 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
 
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = manifest.withColumn("before", before).select("file", "before")
-    return files.repartition("file").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
+    # A number is given, for the few bytes of file names would be read by one task else.
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(tasks, "file").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
 def token_shards(docs: DataFrame, tokenizer: str, vocab_size: int, end_id: int, folder: str | None = None, **options) -> DataFrame:

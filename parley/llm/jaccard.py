@@ -10,10 +10,11 @@ first pivots would not separate anything: unrelated texts are all at distance 1.
 
 Regions join recursively. Around the empty set the triangle inequality bounds the
 sizes of linked sets, and around the region's shingle what can still be shared after
-it. A small region compares its pairs: first by bounds on the overlap from counts of
-shingles per class of hashes, then exactly. Large regions that share documents form
-one area, which is cut into blocks by size; blocks within each other's size window
-are compared exactly, whole block against whole block, and give a spanning forest.
+it. What a small region leaves are pairs; counts of shingles per class of hashes bound
+the overlap of each. Pairs that stay, and the members of large regions, form areas by
+connected components. An area is cut into blocks by size, blocks within each other's
+size window face each other, and members that may have a link there by their counts are
+compared exactly, whole block against whole block, and give a spanning forest.
 
 Equal sets are one node, so exact copies cost nothing. No candidate is dropped.
 """
@@ -35,7 +36,7 @@ from parley.session import materialise
 
 SMALL = 32  # documents of a region that are compared pair by pair
 SIDE = 256  # documents of a block
-COUNTERS = 1 << 21
+COUNTERS = 1 << 22
 CLASSES = 256
 
 
@@ -82,7 +83,7 @@ def _counter(values: np.ndarray) -> np.ndarray:
 
 
 def common_shingles(texts: DataFrame, length: int) -> np.ndarray:
-    """How many times more than usual the shingles of each counter occur, as a power of two."""
+    """How much more than usual the shingles of each counter occur, in steps of a quarter of a power of two."""
 
     def run(batches):
         held = np.zeros(COUNTERS, np.uint32)
@@ -93,8 +94,8 @@ def common_shingles(texts: DataFrame, length: int) -> np.ndarray:
         yield give_out(held)
 
     counts = combined(texts.mapInArrow(run, ROWS), np.uint32, np.add, COUNTERS).astype(np.float64)
-    usual = 2 * counts.mean() + 16
-    return np.log2(np.maximum(counts / usual, 1)).astype(np.uint8)
+    usual = counts.mean() + 4 * np.sqrt(counts.mean()) + 4  # counters that hold no common shingle stay below
+    return np.rint(4 * np.log2(np.maximum(counts / usual, 1))).astype(np.uint8)
 
 
 def _windows(length: int, percent: int, buckets: int, rank):
@@ -169,32 +170,54 @@ def _join_regions(percent: int, small: int):
     return run
 
 
-SETS = "node long, size long, classes binary, shingles binary"
+SETS = "node long, shingles binary"
+COUNTED = "node long, size long, classes binary"
+FACING = "node long, facing long, side long"
 
 
-def set_rows(node: np.ndarray, rows: list[np.ndarray]) -> pa.RecordBatch:
-    classes = [np.bincount((mix(v) & U64(CLASSES - 1)).astype(np.int64), minlength=CLASSES).astype(np.uint32) for v in rows]
-    packed = [c.astype(np.uint8).tobytes() if c.max() < 256 else c.tobytes() for c in classes]
-    return pa.RecordBatch.from_pydict({"node": node, "size": [len(v) for v in rows], "classes": pa.array(packed, pa.binary()), "shingles": pa.array([v.tobytes() for v in rows], pa.binary())})
+def set_rows(node: np.ndarray, first: np.ndarray, values: np.ndarray, width: int = 8) -> pa.RecordBatch:
+    """Sets as their values' low ``width`` bytes; set i is values[first[i]:first[i + 1]]."""
+    raw = values.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    cuts = (first * width).tolist()
+    return pa.RecordBatch.from_pydict({"node": node, "shingles": pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
 
-def _sets_of(length: int, wanted):
-    """The sets that may be wanted."""
+def set_values(blob: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(blob) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8).reshape(-1, width)
+    return out.reshape(-1).view(U64)
+
+
+def class_rows(node: np.ndarray, first: np.ndarray, values: np.ndarray, classes: int) -> pa.RecordBatch:
+    """Counts per class of hashes, in a byte each where they fit."""
+    size, packed = np.diff(first), []
+    kind = (mix(values) & U64(classes - 1)).astype(np.int64)
+    for k in range(0, len(node), 4096):
+        to = min(k + 4096, len(node))
+        owner = np.repeat(np.arange(to - k), size[k:to])
+        counts = np.bincount(owner * classes + kind[first[k] : first[to]], minlength=(to - k) * classes).reshape(-1, classes).astype(np.uint32)
+        packed += [b"\1" + c.astype(np.uint8).tobytes() if c.max() < 256 else b"\4" + c.tobytes() for c in counts]
+    return pa.RecordBatch.from_pydict({"node": node, "size": size, "classes": pa.array(packed, pa.binary())})
+
+
+def _wanted_sets(length: int, wanted, then):
+    """``then`` over the sets that may be wanted."""
 
     def run(batches):
         for part in slices(batches, "text"):
             first, values = shingle_sets(part.column("text"), length)
             node, first, values = _once(node_ids(first, values), first, values)
             hit = np.flatnonzero(wanted.value.may_hold(node))
-            if not len(hit):
-                continue
-            yield set_rows(node[hit], [values[first[k] : first[k + 1]] for k in hit.tolist()])
+            if len(hit):
+                size = np.diff(first)[hit]
+                begin = np.concatenate([[0], np.cumsum(size)])
+                yield then(node[hit], begin, values[np.arange(begin[-1]) + np.repeat(first[hit] - begin[:-1], size)])
 
     return run
 
 
 def _class_counts(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, np.uint8 if len(blob) == CLASSES else np.uint32).astype(np.int64)
+    return np.frombuffer(blob, np.uint8 if blob[0] == 1 else np.uint32, offset=1).astype(np.int32)
 
 
 def _may_link(percent: int):
@@ -202,50 +225,79 @@ def _may_link(percent: int):
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.stack([_class_counts(x) for x in batch.column(c).to_pylist()]) for c in ("classes_a", "classes_b"))
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                a, b = (np.stack([_class_counts(x) for x in part.column(c).to_pylist()]) for c in ("classes_a", "classes_b"))
                 ok = np.minimum(a, b).sum(axis=1) >= overlap_needed(a.sum(axis=1), b.sum(axis=1), percent)
-                yield batch.filter(pa.array(ok)).select(["a", "b"])
+                yield part.filter(pa.array(ok)).select(["a", "b"])
 
     return run
 
 
-def _linked(percent: int):
+def _by_facing(then, column: str):
+    """``then`` (node, side, values) for each pair of facing blocks; their rows come together."""
+
     def run(batches):
+        now, rows = None, []
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("shingles_a"), batch.column("shingles_b")):
-                a, b = np.frombuffer(a.as_py(), U64), np.frombuffer(b.as_py(), U64)
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            for facing, side, node, value in zip(*(batch.column(c).to_pylist() for c in ("facing", "side", "node", column))):
+                if facing != now:
+                    if len(rows) > 1 and (out := then(now, rows)) is not None:
+                        yield out
+                    now, rows = facing, []
+                rows.append((node, side, value))
+        if len(rows) > 1 and (out := then(now, rows)) is not None:
+            yield out
 
     return run
 
 
-def _compare_blocks(percent: int):
-    """Rows (area, i, j, side, node, shingles): exact links between the blocks i and j of an area, as a spanning forest."""
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows to compare with the columns; a block that faces itself is both."""
+    if side.any():
+        return np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return np.arange(len(side)), np.arange(len(side))
+
+
+def _may_meet(percent: int):
+    """The members that may have a link to a member of the facing block."""
 
-    def run(rows):
-        sets = [np.frombuffer(x, U64) for x in rows.column("shingles").to_pylist()]
-        side, node = rows.column("side").to_numpy(), rows.column("node").to_numpy()
+    def then(facing, rows):
+        side = np.array([r[1] for r in rows])
+        counts = np.stack([_class_counts(r[2]) for r in rows])
+        size = counts.sum(axis=1)
+        left, right = _sides(side)
+        found = np.zeros(len(rows), bool)
+        for i in left.tolist():
+            some = right[right > i] if not side.any() else right
+            ok = np.minimum(counts[i], counts[some]).sum(axis=1) >= overlap_needed(size[i], size[some], percent)
+            found[i] |= ok.any()
+            found[some[ok]] = True
+        at = np.flatnonzero(found)
+        if not len(at):
+            return None
+        return pa.RecordBatch.from_pydict({"node": [rows[k][0] for k in at], "facing": [facing] * len(at), "side": side[at]})
+
+    return then
+
+
+def _compare(percent: int, width: int):
+    """Exact links between two facing blocks, as a spanning forest."""
+
+    def then(facing, rows):
+        node, side = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        sets = [set_values(r[2], width) for r in rows]
         size = np.array([len(s) for s in sets])
-        owner, value = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
-        order = np.argsort(value, kind="stable")
-        owner, value = owner[order], value[order]
-        head = np.ones(len(value), bool)
-        head[1:] = value[1:] != value[:-1]
-        code = np.cumsum(head) - 1
-        often = np.bincount(code) > 1
-        owner, code = owner[often[code]], (np.cumsum(often) - 1)[code[often[code]]]
-        rows_, cols = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(sets)),) * 2
-        shared = np.zeros((len(sets), len(sets)), np.float32)
-        for k in range(0, int(often.sum()), 8192):  # a bounded strip of shingles at a time
-            a, b = np.searchsorted(code, [k, k + 8192])
-            strip = np.zeros((len(sets), 8192), np.float32)
-            strip[owner[a:b], code[a:b] - k] = 1
-            shared[np.ix_(rows_, cols)] += strip[rows_] @ strip[cols].T
-        shared = np.rint(shared).astype(np.int64)
+        left, right = _sides(side)
+        if not len(left) or not len(right):
+            return None
+        if len(rows) <= 6:
+            shared = np.zeros((len(rows), len(rows)), np.int64)
+            for i in left.tolist():
+                for j in right.tolist():
+                    shared[i, j] = len(np.intersect1d(sets[i], sets[j], assume_unique=True)) if i != j else 0
+        else:
+            shared = _shared_counts(sets, size, left, right)
         i, j = np.nonzero(100 * shared >= percent * (size[:, None] + size - shared))
         i, j = i[i != j], j[i != j]
         label = node.copy()
@@ -257,9 +309,30 @@ def _compare_blocks(percent: int):
                 break
             label = new
         moved = label != node
-        return pa.table({"a": node[moved], "b": label[moved]})
-
-    return run
+        return pa.RecordBatch.from_pydict({"a": node[moved], "b": label[moved]}) if moved.any() else None
+
+    return then
+
+
+def _shared_counts(sets: list[np.ndarray], size: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Common shingles of each left and each right set, a strip of shingles at a time."""
+    owner, value = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
+    order = np.argsort(value, kind="stable")
+    owner, value = owner[order], value[order]
+    head = np.ones(len(value), bool)
+    head[1:] = value[1:] != value[:-1]
+    code = np.cumsum(head) - 1
+    often = np.bincount(code) > 1
+    number = np.cumsum(often) - 1
+    kept = often[code]
+    owner, code = owner[kept], number[code[kept]]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for k in range(0, int(often.sum()), 8192):
+        a, b = np.searchsorted(code, [k, k + 8192])
+        strip = np.zeros((len(sets), 8192), np.float32)
+        strip[owner[a:b], code[a:b] - k] = 1
+        shared[np.ix_(left, right)] += strip[left] @ strip[right].T
+    return np.rint(shared).astype(np.int64)
 
 
 def links(docs: DataFrame, length: int, percent: int, small: int = SMALL, side: int = SIDE) -> DataFrame:
@@ -270,37 +343,46 @@ def links(docs: DataFrame, length: int, percent: int, small: int = SMALL, side:
     rank = spark.sparkContext.broadcast(common_shingles(texts, length))
     dealt = texts.mapInArrow(_windows(length, percent, 4 * tasks, rank), "bucket long, region binary, node binary, size binary, place binary")
     met = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_join_regions(percent, small), PAIRS)
-    return verified(met, lambda wanted: texts.mapInArrow(_sets_of(length, wanted), SETS), percent, side)
+    counts = lambda wanted: texts.mapInArrow(_wanted_sets(length, wanted, lambda n, f, v: class_rows(n, f, v, CLASSES)), COUNTED)
+    return verified(met, counts, lambda wanted: texts.mapInArrow(_wanted_sets(length, wanted, set_rows), SETS), percent, side)
 
 
-def verified(met: DataFrame, sets_of: Callable, percent: int, side: int = SIDE) -> DataFrame:
-    """(a, b): the candidates in ``met`` that are linked, exactly; members of large regions as a spanning forest.
+def verified(met: DataFrame, classes_of: Callable, sets_of: Callable, percent: int, side: int = SIDE, width: int = 8) -> DataFrame:
+    """(a, b): edges that connect exactly the linked ones among the candidates in ``met``.
 
-    ``sets_of`` gets a broadcast ``HashSet`` of nodes and gives their sets (node, size,
-    classes, shingles); other nodes may come along.
+    ``classes_of`` and ``sets_of`` get a broadcast ``HashSet`` of nodes and give rows
+    (node, size, classes) and (node, shingles, ``width`` bytes each) of them; other nodes may come along. Whole
+    sets are read only where counts per class leave room for a link, and each is
+    sent once to every pair of blocks that it may have a link in.
     """
     spark = met.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = materialise(met, "regions")
     pairs = materialise(met.where("region IS NULL").select("a", "b").distinct(), "pairs")
-    areas = connected_components(met.where("region IS NOT NULL").select(F.concat(F.lit("r"), "region").alias("a"), F.concat(F.lit("n"), "b").alias("b")))
-    areas = materialise(areas.where("id LIKE 'n%'").select(F.substr("id", F.lit(2)).cast("long").alias("node"), F.col("component").alias("area")), "areas")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(areas.select("node"))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(met.where("region IS NOT NULL").select("b"))
     wanted = spark.sparkContext.broadcast(HashSet.of(nodes, "node"))
-    sets = materialise(sets_of(wanted).dropDuplicates(["node"]), "sets")
-    # Pairs of small regions.
-    of = lambda x, c: sets.select(F.col("node").alias(x), F.col(c).alias(f"{c}_{x}"))
-    maybe = pairs.join(of("a", "classes"), "a").join(of("b", "classes"), "b").mapInArrow(_may_link(percent), "a long, b long")
-    maybe = materialise(maybe, "maybe")
-    exact = maybe.join(of("a", "shingles"), "a").join(of("b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_linked(percent), "a long, b long")
-    # Blocks of areas, in order of size.
-    placed = materialise(_blocks(areas.join(sets.select("node", "size"), "node"), side), "blocks")
+    classes = materialise(classes_of(wanted).dropDuplicates(["node"]), "classes")
+    # Pairs of small regions that may be links, and members of large regions, form areas.
+    of = lambda x: classes.select(F.col("node").alias(x), F.col("classes").alias(f"classes_{x}"))
+    maybe = pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_may_link(percent), "a long, b long")
+    large = met.where("region IS NOT NULL").select(F.concat(F.lit("r"), "region").alias("a"), F.concat(F.lit("n"), "b").alias("b"))
+    joined = connected_components(large.union(maybe.select(F.concat(F.lit("n"), "a"), F.concat(F.lit("n"), "b"))))
+    areas = joined.where("id LIKE 'n%'").select(F.substr("id", F.lit(2)).cast("long").alias("node"), F.col("component").alias("area"))
+    # Blocks of areas, in order of size; two blocks face each other if their sizes allow a link.
+    placed = materialise(_blocks(areas.join(classes.select("node", "size"), "node"), side), "blocks")
     extent = placed.groupBy("area", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     other = extent.select("area", F.col("block").alias("j"), F.col("low").alias("low_j"))
     facing = extent.withColumnRenamed("block", "i").join(other, "area").where(f"i <= j AND {percent} * low_j <= 100 * high")
-    ends = facing.select("area", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).union(facing.where("i < j").select("area", "i", "j", "j", F.lit(1)))
-    rows = placed.join(ends, ["area", "block"]).select("area", "i", "j", "side", "node").join(sets.select("node", "shingles"), "node")
-    compared = rows.groupBy("area", "i", "j").applyInArrow(_compare_blocks(percent), "a long, b long")
-    return materialise(exact.union(compared), "links")
+    ends = facing.select("area", "i", "j", F.col("i").alias("block"), F.lit(0).cast("long").alias("side"))
+    ends = ends.union(facing.where("i < j").select("area", "i", "j", "j", F.lit(1).cast("long")))
+    faced = placed.join(ends, ["area", "block"]).select("node", F.xxhash64("area", "i", "j").alias("facing"), "side")
+    counted = faced.join(classes.select("node", "classes"), "node")
+    met_ = counted.repartition(tasks, "facing").sortWithinPartitions("facing", "side").mapInArrow(_by_facing(_may_meet(percent), "classes"), FACING)
+    met_ = materialise(met_, "facing")
+    wanted = spark.sparkContext.broadcast(HashSet.of(met_, "node"))
+    whole = sets_of(wanted).dropDuplicates(["node"]).join(met_, "node")
+    dealt = whole.repartition(tasks, "facing").sortWithinPartitions("facing", "side")
+    return materialise(dealt.mapInArrow(_by_facing(_compare(percent, width), "shingles"), "a long, b long"), "links")
 
 
 def _blocks(members: DataFrame, side: int) -> DataFrame:

@@ -11,7 +11,6 @@ from parley.functions import arrays as ar
 from parley.functions import masks as mk
 from parley.functions import tokens as tk
 from parley.functions import turns as tn
-from parley.operators import batches as bt
 from parley.operators import examples as ex
 from parley.operators import filters as fl
 from parley.operators import normalise as nm

@@ -93,9 +93,13 @@ def common_shingles(texts: DataFrame, length: int) -> np.ndarray:
             held += np.bincount(_counter(values), minlength=COUNTERS).astype(np.uint32)
         yield give_out(held)
 
-    counts = combined(texts.mapInArrow(run, ROWS), np.uint32, np.add, COUNTERS).astype(np.float64)
-    usual = counts.mean() + 4 * np.sqrt(counts.mean()) + 4  # counters that hold no common shingle stay below
-    return np.rint(4 * np.log2(np.maximum(counts / usual, 1))).astype(np.uint8)
+    counts = combined(texts.mapInArrow(run, ROWS), np.uint32, np.add, COUNTERS)
+    mean = counts.sum(dtype=np.int64) / COUNTERS
+    usual = mean + 4 * np.sqrt(mean) + 4  # counters that hold no common shingle stay below
+    out = np.empty(COUNTERS, np.uint8)
+    for k in range(0, COUNTERS, 1 << 16):  # bounded temporary arrays: this runs on the driver
+        out[k : k + (1 << 16)] = np.rint(4 * np.log2(np.maximum(counts[k : k + (1 << 16)] / usual, 1)))
+    return out
 
 
 def _windows(length: int, percent: int, buckets: int, rank):

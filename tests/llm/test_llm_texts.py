@@ -186,6 +186,24 @@ def test_fuzzy_lines_odd_rows(spark, edge_docs, no_docs):
     assert fuzzylines.drop_similar_lines(no_docs).count() == 0
 
 
+def test_fuzzy_lines_of_some_70_characters(spark):
+    """Pairs around the length where signatures change: each is found, short with long too."""
+    rng = np.random.default_rng(67)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    rows, pairs = [], 0
+    for k in range(600):
+        short = "x" + "".join(rng.choice(letters, 65)) + "x"
+        longer = short[:30] + "q" * (k % 2) + short[30:] + "".join(rng.choice(letters[:26], 1 + k % 9))
+        longer = longer if k % 3 else longer + "y" * 60  # many repeats, few different shingles
+        a, b = ({x[j : j + 5] for j in range(len(x) - 4)} for x in (short, longer))
+        assert len(short) == 67 and len(longer) > 67
+        pairs += 100 * len(a & b) >= 80 * len(a | b)
+        rows += [(2 * k, short), (2 * k + 1, longer)]
+    removed = fuzzylines.drop_similar_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0")
+    got = {r.doc_id for r in removed.collect()}
+    assert pairs > 300 and all(d % 2 for d in got) and pairs - 3 <= len(got) <= pairs
+
+
 def test_decontamination_finds_copies_and_paraphrases(spark, docs, texts):
     bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     items = {r.item_id: r.text for r in bench.collect()}

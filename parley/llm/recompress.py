@@ -10,10 +10,10 @@ the symbol wherever the window occurs.
 
 Each window is filed under one symbol that it settles, of the highest level that
 has one, least name first; every word settles itself, so no window goes without.
-Windows that share a symbol are compared by a hash of all their words and their place
-around the symbol; the first in (doc_id, position) stays, the others are removed.
+Windows that share a symbol are compared by 64 bits of a hash of all their words, which
+has nothing to do with the symbol, and by their place around the symbol; the first in (doc_id, position) stays, the others are removed.
 
-What is shuffled: for each symbol in use, a few neighbouring windows at four bytes
+What is shuffled: for each symbol in use, a few neighbouring windows at eight bytes
 each, packed into one block per task slice and bucket. Windows repeated inside
 a slice are settled there, so a passage that a third of the documents share sends
 one copy per slice, and no bucket gathers a hot group. Buckets grow in number with
@@ -35,7 +35,7 @@ from parley.session import materialise
 
 FAR = 1 << 40
 LEVELS = 3
-_WORDS, _RUN, _PAIR = 0xD6E8FEB86659FD93, U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
+_WORDS, _CHECK, _RUN, _PAIR = 0xD6E8FEB86659FD93, 0xCA5A826395121157, U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
 NO_KEY = U64(2**64 - 1)
 
 
@@ -137,7 +137,7 @@ def _pack(docs: np.ndarray, keys: np.ndarray, doc: np.ndarray, start: np.ndarray
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     n_docs, n, m, _ = np.frombuffer(blob, np.int64, _HEADER).tolist()
     out, at = [], 8 * _HEADER
-    for kind, count in ((np.int64, 2 * n_docs), (U64, n), (np.int32, n), (np.int32, n), (np.uint8, n), (np.uint8, n), (np.uint32, m)):
+    for kind, count in ((np.int64, 2 * n_docs), (U64, n), (np.int32, n), (np.int32, n), (np.uint8, n), (np.uint8, n), (U64, m)):
         out.append(np.frombuffer(blob, kind, count, at))
         at += out[-1].nbytes
     return out[0].reshape(-1, 2), *out[1:]
@@ -188,7 +188,7 @@ def _find(window: int, buckets: int):
                 own = doc[again][at]
                 yield pa.RecordBatch.from_pydict(_settled_rows(ids[own], start[again][at] - first[own], count))
             start, key, place, doc = start[~again], key[~again], place[~again], doc[~again]
-            check = (mix(check[~again]) >> U64(32)).astype(np.uint32)
+            check = span_hashes(names, start, start + window, _CHECK)  # independent of the key, which may be the other hash
             head = np.ones(len(start), bool)  # neighbouring windows under one symbol share a row
             head[1:] = (start[1:] != start[:-1] + 1) | (key[1:] != key[:-1]) | (place[1:] != place[:-1] - 1)
             at = np.flatnonzero(head)
@@ -221,7 +221,7 @@ def settle(blobs: list[bytes]) -> pa.RecordBatch | None:
         before += len(docs)
     docs, key, doc, start, place, size, check = (np.concatenate(x) for x in zip(*parts))
     step = _counting(size.astype(np.int64))
-    full = mix(mix(np.repeat(key, size) + (np.repeat(place, size) - step).astype(U64)) + check.astype(U64) * _PAIR)
+    full = mix(mix(np.repeat(key, size) + (np.repeat(place, size) - step).astype(U64)) + check * _PAIR)
     order = np.argsort(full)
     same = full[order][1:] == full[order][:-1]
     many = np.zeros(len(full), bool)
@@ -230,11 +230,11 @@ def settle(blobs: list[bytes]) -> pa.RecordBatch | None:
     at = np.flatnonzero(many)
     if not len(at):
         return None
-    full, doc, start = full[at], np.repeat(doc, size)[at], (np.repeat(start, size) + step)[at]
-    order = np.lexsort((start, docs[doc, 1], docs[doc, 0], full))
-    full, doc, start = full[order], doc[order], start[order]
+    full, check, doc, start = full[at], check[at], np.repeat(doc, size)[at], (np.repeat(start, size) + step)[at]
+    order = np.lexsort((start, docs[doc, 1], docs[doc, 0], check, full))
+    full, check, doc, start = full[order], check[order], doc[order], start[order]
     head = np.ones(len(full), bool)
-    head[1:] = full[1:] != full[:-1]
+    head[1:] = (full[1:] != full[:-1]) | (check[1:] != check[:-1])
     lead = np.flatnonzero(head)[np.cumsum(head) - 1]
     # A row that is given twice meets itself.
     again = (docs[doc] != docs[doc[lead]]).any(axis=1) | (start != start[lead])

@@ -115,6 +115,18 @@ def test_recompression_finds_all_repeats(spark, window):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()} == repeats(rows, window)
 
 
+def test_recompression_tells_windows_of_a_frequent_symbol_apart():
+    """400,000 different windows around one passage: 32 bits would take some of them for equal."""
+    passage = "of the people and by the people in a town near the old river with its"
+    texts = [f"{k} x{k % 977} {passage} y{k % 1009} z{k}" for k in range(400_000)]
+    ids = np.arange(len(texts))
+    batch = pa.RecordBatch.from_pydict({"doc": ids, "tie": ids, "text": texts})
+    out = list(recompress._find(20, 1)([batch]))
+    keys = np.concatenate([recompress._unpack(x.column("blob")[0].as_py())[1] for x in out])
+    assert all(x.column("bucket")[0].as_py() == 0 for x in out) and np.unique(keys, return_counts=True)[1].max() > 200_000
+    assert recompress.settle([x.column("blob")[0].as_py() for x in out]) is None
+
+
 def test_recompression_odd_rows(spark, edge_docs, no_docs):
     got = sorted(recompress.drop_repeats(edge_docs, 3).collect(), key=lambda r: (r.doc_id or 0, r.n_words))
     assert len(got) == 11 and sum(r.n_words == 0 for r in got) == 3

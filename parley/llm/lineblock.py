@@ -3,7 +3,8 @@
 Markup is stripped so that each block element starts a line. Lines of menus, forms,
 adverts and the like become blank. The text lengths of the lines are summed over
 windows of a few lines: where the sum rises past a threshold the main text surges,
-where it falls to nothing the text dives, and the lines between are kept.
+where it falls to nothing the text dives, and the lines between are kept, with short
+lines between two such blocks or right beside one.
 """
 
 from __future__ import annotations
@@ -56,18 +57,18 @@ def is_boilerplate(name: str, attributes: str, inside_main: bool) -> bool:
 
 
 def lines_of(html: str) -> Iterator[tuple[str, int, bool]]:
-    """(text, characters inside links, stands in an article) of each line; boilerplate lines are blank."""
+    """(text, characters inside links, stands in an article) of each line; boilerplate is a blank line, a tag alone none."""
     opened: list[tuple[str, bool]] = []  # block elements and boilerplate, outermost first
     parts: list[str] = []
     hidden = within = linked = 0
     at, in_link = 0, False
 
-    def flush() -> tuple[str, int, bool]:
+    def flush() -> list[tuple[str, int, bool]]:
         nonlocal linked
         line = (" ".join(unescape("".join(parts)).split()), linked, within > 0)
         parts.clear()
         linked = 0
-        return line
+        return [line] if line[0] or hidden else []
 
     def close(k: int) -> None:
         nonlocal hidden, within
@@ -92,7 +93,7 @@ def lines_of(html: str) -> Iterator[tuple[str, int, bool]]:
         if name in VOID and name != "hr":
             continue
         if name not in INLINE:
-            yield flush()
+            yield from flush()
         if tag[2]:
             for k in range(len(opened) - 1, -1, -1):
                 if opened[k][0] == name:
@@ -114,7 +115,7 @@ def lines_of(html: str) -> Iterator[tuple[str, int, bool]]:
             within += name in MAIN
     if not hidden:
         parts.append(html[at:])
-    yield flush()
+    yield from flush()
 
 
 def main_lines(lines: list[tuple[str, int, bool]], window: int = 3, surge: int = 86) -> list[str]:
@@ -126,18 +127,32 @@ def main_lines(lines: list[tuple[str, int, bool]], window: int = 3, surge: int =
     """
     marked = any(inside and text for text, _, inside in lines)
     weight = [0 if not text or marked and not inside else surge + len(text) if marked else max(0, len(text) - linked) for text, linked, inside in lines]
-    total = [0, *accumulate(weight)]
-    sums = [total[min(i + window, len(weight))] - total[i] for i in range(len(weight))]
+    return [lines[k][0] for k in _between(lines, weight, window, surge) if weight[k] or not marked]
+
+
+def _between(lines: list[tuple[str, int, bool]], weight: list[int], window: int, surge: int) -> list[int]:
+    """Lines from surge to dive, and lines with a weight between such blocks or right beside one."""
+    runs = [k for k, (text, _, _) in enumerate(lines) if text or k and lines[k - 1][0]]  # a gap counts once
+    total = [0, *accumulate(weight[k] for k in runs)]
+    sums = [total[min(i + window, len(runs))] - total[i] for i in range(len(runs))]
     least = min(surge, max(sums, default=0))
     kept, keeping = [], False
-    for (text, _, _), own, ahead in zip(lines, weight, sums):
+    for i, (k, ahead) in enumerate(zip(runs, sums)):
         if keeping and not ahead:
             keeping = False  # dive
-        elif not keeping and own and ahead >= least:
+        elif not keeping and weight[k] and ahead >= least:
             keeping = True  # surge
-        if keeping and text and (own or not marked):
-            kept.append(text)
-    return kept
+        if keeping and lines[k][0]:
+            kept.append(i)
+    if not kept:
+        return []
+    first, last = kept[0], kept[-1]
+    while first and weight[runs[first - 1]]:
+        first -= 1
+    while last + 1 < len(runs) and weight[runs[last + 1]]:
+        last += 1
+    have = set(kept)
+    return [runs[i] for i in range(first, last + 1) if i in have or weight[runs[i]]]
 
 
 def main_text(html: str | None) -> str:

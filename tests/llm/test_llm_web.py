@@ -30,6 +30,14 @@ def test_main_text(html, want):
     assert lineblock.main_text(html) == want
 
 
+LONG = ("word " * 40).strip()
+
+
+def test_wrappers_and_figures_lose_no_short_lines():
+    html = f"<div><h1>Title</h1></div><div><p>{LONG}</p></div><div><div><p>Short one.</p></div></div><p></p><figure><img src=x></figure><p>- Yes.</p><ul><li>item</li></ul><nav>menu</nav><p>Middle.</p><div class=ad>buy</div><p>{LONG}</p><div><p>The end.</p></div><footer>foot</footer>"
+    assert lineblock.main_text(html).split("\n") == ["Title", LONG, "Short one.", "- Yes.", "item", "Middle.", LONG, "The end."]
+
+
 def test_menus_of_links_never_surge():
     html = "<ul>" + "".join(f"<li><a href=/{k}>a link with a rather long name {k}</a></li>" for k in range(20)) + "</ul><hr><div><p>" + "text " * 50 + "</p></div>"
     assert lineblock.main_text(html) == ("text " * 50).strip()

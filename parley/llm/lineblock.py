@@ -121,13 +121,18 @@ def lines_of(html: str) -> Iterator[tuple[str, int, bool]]:
 def main_lines(lines: list[tuple[str, int, bool]], window: int = 3, surge: int = 86) -> list[str]:
     """The lines between surge and dive points, blank ones left out.
 
-    Where the page marks an article, other lines weigh nothing and each line of the
-    article weighs enough to surge by itself, so short paragraphs stay. A page whose
+    Lengths alone are looked at first. Where the page marks an article, and the lines so
+    kept outside it are longer neither than it nor than ``surge``, the marks decide: other
+    lines weigh nothing and each line of the article weighs enough to surge by itself. A page whose
     windows all stay below ``surge`` surges at its fullest window.
     """
-    marked = any(inside and text for text, _, inside in lines)
-    weight = [0 if not text or marked and not inside else surge + len(text) if marked else max(0, len(text) - linked) for text, linked, inside in lines]
-    return [lines[k][0] for k in _between(lines, weight, window, surge) if weight[k] or not marked]
+    plain = [max(0, len(text) - linked) for text, linked, _ in lines]
+    kept = _between(lines, plain, window, surge)
+    inside = sum(own for own, (_, _, marked) in zip(plain, lines) if marked)
+    if any(marked and text for text, _, marked in lines) and sum(plain[k] for k in kept if not lines[k][2]) <= max(inside, surge):
+        weight = [surge + len(text) if marked and text else 0 for text, _, marked in lines]
+        kept = [k for k in _between(lines, weight, window, surge) if weight[k]]
+    return [lines[k][0] for k in kept]
 
 
 def _between(lines: list[tuple[str, int, bool]], weight: list[int], window: int, surge: int) -> list[int]:

@@ -33,6 +33,13 @@ def test_main_text(html, want):
 LONG = ("word " * 40).strip()
 
 
+def test_a_marked_teaser_does_not_replace_the_body():
+    body = f"<div><p>{LONG}</p><p>{LONG}</p></div>"
+    for teaser in ("<article>", "<article class='teaser'>", "<article class='card'>"):
+        got = lineblock.main_text(f"{body}<ul><li><a href=/x>more of it</a></li></ul>{teaser}<p>A few words.</p></article>")
+        assert got.startswith(f"{LONG}\n{LONG}")
+
+
 def test_wrappers_and_figures_lose_no_short_lines():
     html = f"<div><h1>Title</h1></div><div><p>{LONG}</p></div><div><div><p>Short one.</p></div></div><p></p><figure><img src=x></figure><p>- Yes.</p><ul><li>item</li></ul><nav>menu</nav><p>Middle.</p><div class=ad>buy</div><p>{LONG}</p><div><p>The end.</p></div><footer>foot</footer>"
     assert lineblock.main_text(html).split("\n") == ["Title", LONG, "Short one.", "- Yes.", "item", "Middle.", LONG, "The end."]

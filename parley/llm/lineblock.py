@@ -25,6 +25,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 DROPPED = frozenset("head nav header footer aside form menu dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 MAIN = frozenset(["article", "main"])
+TITLED = frozenset("section h1 h2 h3 h4 h5 h6".split())
 CLASS = re.compile(
     r"(?:(?:site|page|main|top|left|right|bottom|global|post|article|user|reader|web|js|the)[-_]*)?"
     r"(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlay|"
@@ -48,6 +49,8 @@ def is_boilerplate(name: str, attributes: str, inside_main: bool) -> bool:
         return False
     for kind, *values in ATTRIBUTE.findall(attributes):
         words = "".join(values).lower().split()
+        if kind.lower() == "id" and inside_main and name in TITLED:
+            continue  # named after its own heading
         if kind.lower() == "role":
             if ROLES.intersection(words):
                 return True

@@ -45,6 +45,11 @@ def test_wrappers_and_figures_lose_no_short_lines():
     assert lineblock.main_text(html).split("\n") == ["Title", LONG, "Short one.", "- Yes.", "item", "Middle.", LONG, "The end."]
 
 
+def test_headings_and_sections_may_be_called_anything():
+    html = "<article><h2 id='search'>Search</h2><p>a</p><section id=discussion><h2>Discussion</h2><p>b</p></section><section id='pagination'><p>c</p></section><section class=comments>no</section></article>"
+    assert lineblock.main_text(html) == "Search\na\nDiscussion\nb\nc"
+
+
 def test_menus_of_links_never_surge():
     html = "<ul>" + "".join(f"<li><a href=/{k}>a link with a rather long name {k}</a></li>" for k in range(20)) + "</ul><hr><div><p>" + "text " * 50 + "</p></div>"
     assert lineblock.main_text(html) == ("text " * 50).strip()

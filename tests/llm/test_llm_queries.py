@@ -57,4 +57,4 @@ def test_native_query_runs_no_python(spark):
 
 
 def test_all_operators_are_there():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)} | {"pipeline"}

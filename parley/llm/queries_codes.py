@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parley.llm import codebooks
+from parley.llm import codebooks, spans, suffixtree
 from parley.llm.registry import query, table
 
 
@@ -32,3 +32,15 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 @query("op13_adaptive_bounds", _codebook_sql())
 def op13_adaptive_bounds(spark, folder):
     return codebooks.encode_vectors(table(spark, folder, "embeddings")).drop("codes")
+
+
+@query("op12_tokenizer_spans")
+def op12_tokenizer_spans(spark, folder):
+    import public_tokenizers as files
+
+    return spans.align_tokens(table(spark, folder, "documents"), files.path("byte_bpe_50k.json"), files.path("piece_bpe_32k.model"))
+
+
+@query("op11_suffix_tree")
+def op11_suffix_tree(spark, folder):
+    return suffixtree.suffix_tree_scores(table(spark, folder, "documents"))

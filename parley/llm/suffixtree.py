@@ -29,8 +29,9 @@ from parley.llm.packed import pieces, squeeze, unsqueeze
 from parley.llm.words import U64, mix, split
 from parley.session import materialise
 
-PIECE = 12 << 20
+PIECE = 8 << 20
 END = U64(0x5851F42D4C957F2D)  # stands for the end of a text
+_WORD = 6  # bytes of a word's hash that tell it from the others after the same context
 _NEXT, _LONGER = U64(0x9FB21C651E98DF25), U64(0xD1B54A32D192ED03)
 HOT_SHARE = 100_000  # a context followed by more than one in so many tokens is hot: there are fewer than that many
 
@@ -159,9 +160,22 @@ def _row(schema: str, **values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([values.get(n)], kinds[k]) for n, k in fields], [n for n, _ in fields])
 
 
-def _added(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _short(words: np.ndarray) -> bytes:
+    return np.ascontiguousarray(words.view(np.uint8).reshape(-1, 8)[:, :_WORD]).tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // _WORD, 8), np.uint8)
+    wide[:, :_WORD] = np.frombuffer(data, np.uint8).reshape(-1, _WORD)
+    return wide.view(U64).reshape(-1)
+
+
+def pair_key(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(contexts * _NEXT + (words & U64((1 << 8 * _WORD) - 1)))
+
+
+def _added(rows: list[dict], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts of the bucket's different keys, where each first stands among all blocks' keys, and the key of each."""
-    keys = np.concatenate([np.frombuffer(r["keys"], U64) for r in rows])
     every, first, place = np.unique(keys, return_index=True, return_inverse=True)
     counts = np.bincount(place, np.concatenate([unsqueeze(r["counts"]) for r in rows]), len(every))
     return counts.astype(np.int64), first, place
@@ -170,13 +184,14 @@ def _added(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _settle_words(table: pa.Table) -> pa.Table:
     """One bucket's questions in, answers out, and the tokens and different words learned from."""
     rows = table.to_pylist()
-    counts, _, place = _added(rows)
+    keys = [np.frombuffer(r["keys"], U64) for r in rows]
+    counts, _, place = _added(rows, np.concatenate(keys))
     sums = _row(TOLD, tokens=int(counts.sum()), n_types=int((counts > 0).sum()))
-    return pa.Table.from_batches([sums, *_answers(rows, counts[place], [{}] * len(rows))])
+    return pa.Table.from_batches([sums, *_answers(rows, keys, counts[place], [{}] * len(rows))])
 
 
-def _answers(rows: list[dict], counts: np.ndarray, more: list[dict]) -> Iterator[pa.RecordBatch]:
-    stop = np.cumsum([0, *[len(r["keys"]) // 8 for r in rows]])
+def _answers(rows: list[dict], keys: list[np.ndarray], counts: np.ndarray, more: list[dict]) -> Iterator[pa.RecordBatch]:
+    stop = np.cumsum([0, *map(len, keys)])
     for r, a, b, extra in zip(rows, stop, stop[1:], more):
         yield _row(TOLD, piece=r["piece"], bucket=r["bucket"], counts=squeeze(counts[a:b]), **extra)
 
@@ -186,21 +201,23 @@ def _settle_pairs(shape: Shape, buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        counts, first, place = _added(rows)
         contexts = [np.frombuffer(r["contexts"], U64) for r in rows]
-        spread = np.concatenate([np.repeat(c, unsqueeze(r["runs"])) for c, r in zip(contexts, rows)])[first]
-        parents = np.concatenate([np.frombuffer(r["parents"], np.float32) for r in rows])[first].astype(np.float64)
+        spread = [np.repeat(c, unsqueeze(r["runs"])) for c, r in zip(contexts, rows)]
+        keys = [pair_key(c, _long(r["keys"])) for c, r in zip(spread, rows)]
+        counts, first, place = _added(rows, np.concatenate(keys))
+        spread = np.concatenate(spread)[first]
+        parents = np.concatenate([unsqueeze(r["parents"]) for r in rows])[first].astype(np.uint32).view(np.float32).astype(np.float64)
         nodes, node = np.unique(spread, return_inverse=True)
         mine = counts >= shape.least_symbol
         terms = (counts, counts * mine, mine, np.where(mine, counts * (np.log(np.maximum(counts, 1)) - parents), 0.0))
         n, own, types, ratio = (np.bincount(node, x, len(nodes)) for x in terms)
         if rows[0]["bucket"] >= buckets:
             sums = [_row(TOLD, node=int(k), n=int(a), n_own=int(b), n_types_own=int(c), ratio=float(d)) for k, a, b, c, d in zip(nodes.view(np.int64), n, own, types, ratio)]
-            return pa.Table.from_batches([*sums, *_answers(rows, counts[place], [{}] * len(rows))])
+            return pa.Table.from_batches([*sums, *_answers(rows, keys, counts[place], [{}] * len(rows))])
         kept = kept_nodes(n, own, types, ratio, shape)
         own, types = np.where(kept, own, 0), np.where(kept, types, 0)
         at = [np.searchsorted(nodes, c) for c in contexts]
-        return pa.Table.from_batches(list(_answers(rows, counts[place], [{"own": squeeze(own[a]), "types": squeeze(types[a])} for a in at])))
+        return pa.Table.from_batches(list(_answers(rows, keys, counts[place], [{"own": squeeze(own[a]), "types": squeeze(types[a])} for a in at])))
 
     return run
 
@@ -211,10 +228,10 @@ class Replay:
     def __init__(self, row: dict, shape: Shape, totals: Totals, buckets: list[int], hot: list[Nodes]):
         self.shape, self.totals, self.buckets, self.hot, self.piece = shape, totals, buckets, hot, row["piece"]
         self.names = np.frombuffer(row["words"], U64)
-        self.places = unsqueeze(row["places"])
+        self.places = unsqueeze(row["places"]).astype(np.int32)
         self.sizes = np.array(row["sizes"], np.int64)
         self.learned = np.repeat(~np.array(row["held_out"], bool), self.sizes)
-        self.at = np.arange(len(self.places)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)  # place in the text
+        self.at = (np.arange(len(self.places)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)).astype(np.int32)  # place in the text
         self.context = np.zeros(len(self.places), U64)  # of the words before, as many as the level has
 
     def words_told(self, told: list[dict]) -> None:
@@ -229,22 +246,24 @@ class Replay:
 
     def pairs(self, level: int):
         """The tokens whose context of ``level`` words is frequent, their different pairs, and the order of the questions."""
-        spot = np.flatnonzero((self.at >= level) & (np.concatenate([[0], self.grams[:-1]]) >= self.shape.least_context))
-        hashes = self.names[self.places]
+        frequent = self.at >= level
+        frequent[1:] &= self.grams[:-1] >= self.shape.least_context
+        spot = np.flatnonzero(frequent)
         # The context grows by the word before it: a hash of the words, oldest last.
-        longer = mix(self.context[spot] * _LONGER + hashes[spot - level] + U64(level))
+        longer = mix(self.context[spot] * _LONGER + self.names[self.places[spot - level]] + U64(level))
         self.context[spot] = longer
-        keys, first, place = np.unique(mix(longer * _NEXT + hashes[spot]), return_index=True, return_inverse=True)
-        contexts = longer[first]
+        words = self.names[self.places[spot]]
+        keys, first, place = np.unique(pair_key(longer, words), return_index=True, return_inverse=True)
+        contexts, words = longer[first], words[first]
         hot = self.grams[spot - 1][first] > self.totals.hot
         by = np.where(hot, keys, contexts)
         # Hot pairs go to buckets of their own, behind the others.
         bucket = (mix(by) % U64(self.buckets[level])).astype(np.int64) + np.where(hot, self.buckets[level], 0)
-        return spot, keys, contexts, hot, first, place, bucket, np.lexsort((contexts, bucket))
+        return spot, words, contexts, hot, first, place, bucket, np.lexsort((contexts, bucket))
 
     def ask(self, level: int) -> Iterator[pa.RecordBatch]:
-        spot, keys, contexts, _, first, place, bucket, order = self.pairs(level)
-        counts = np.bincount(place, self.learned[spot], len(keys)).astype(np.int64)
+        spot, words, contexts, _, first, place, bucket, order = self.pairs(level)
+        counts = np.bincount(place, self.learned[spot], len(words)).astype(np.int64)
         parents = self.score[spot][first].astype(np.float32)
         for b, at, to in _blocks(bucket[order], 2 * self.buckets[level]):
             own = order[at:to]
@@ -255,17 +274,17 @@ class Replay:
                 piece=self.piece,
                 contexts=contexts[own][head].tobytes(),
                 runs=squeeze(np.diff(head, append=len(own))),
-                keys=keys[own].tobytes(),
+                keys=_short(words[own]),
                 counts=squeeze(counts[own]),
-                parents=parents[own].tobytes(),
+                parents=squeeze(parents[own].view(np.uint32)),
             )
 
     def told(self, level: int, rows: list[dict]) -> None:
-        spot, keys, contexts, hot, _, place, bucket, order = self.pairs(level)
+        spot, words, contexts, hot, _, place, bucket, order = self.pairs(level)
         grams = np.zeros(len(self.places), np.int64)
-        if len(keys):
+        if len(words):
             rows = sorted(rows, key=lambda r: r["bucket"])
-            counts, own, types = (np.empty(len(keys), np.int64) for _ in range(3))
+            counts, own, types = (np.empty(len(words), np.int64) for _ in range(3))
             counts[order] = np.concatenate([unsqueeze(r["counts"]) for r in rows])
             cold = order[~hot[order]]
             head = np.ones(len(cold), bool)

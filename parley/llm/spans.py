@@ -16,8 +16,8 @@ import hashlib
 import json
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from parley.llm.packed import pieces, squeeze, unsqueeze
 from parley.session import materialise
 
-PIECE = 16 << 20
+PIECE = 8 << 20
 # White space that starts with a space or a line feed begins a chunk; other white space does not.
 _CHUNK = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"  # ASCII punctuation that ends a word
 _BYTE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 _B_BITS = 32
 
@@ -41,7 +42,7 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, slots=True)
 class Chunk:
     """What one chunk of text gives; ``links`` are (A id << 32 | B id)."""
 
@@ -52,25 +53,23 @@ class Chunk:
     links: tuple[int, ...]
 
 
-def token_ends(spans: list[tuple[int, int]], decoded: list[bytes]) -> list[int] | None:
-    """Byte offset where each token ends; None where spans and bytes disagree.
+def token_ends(begin: np.ndarray, stop: np.ndarray, decoded: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offset where each token ends, and which tokens' spans and bytes disagree.
 
-    A span's end is the token's end unless the next token's span begins before it, or it
-    is empty: such tokens share a character, and their decoded bytes cut it.
+    ``begin`` and ``stop`` are the tokens' spans, ``decoded`` where their bytes end, ``last``
+    marks the last token of each chunk. A span's end is the token's end unless the next
+    token's span begins before it, or it is empty: such tokens share a character, and
+    their decoded bytes cut it.
     """
-    ends, at, last = [], 0, len(spans) - 1
-    for k, (begin, stop) in enumerate(spans):
-        at += len(decoded[k])
-        if begin < stop and (k == last or spans[k + 1][0] >= stop) and at != stop:
-            return None
-        ends.append(at)
-    return ends
+    after = np.append(begin[1:], 0)
+    coarse = (begin < stop) & (last | (after >= stop))
+    return np.where(coarse, stop, decoded), coarse & (stop != decoded)
 
 
 class Aligner:
     """Both tokenizers, and the chunks met so far; ``room`` bounds how many are kept."""
 
-    def __init__(self, path_a: str, path_b: str, room: int = 300_000):
+    def __init__(self, path_a: str, path_b: str, room: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -80,9 +79,13 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         alphabet = byte_alphabet()
         self.a_bytes = {i: bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        self.a_sizes = np.zeros(max(self.a_bytes) + 1, np.int64)
+        self.a_sizes[list(self.a_bytes)] = [len(x) for x in self.a_bytes.values()]
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [self._piece_bytes(name, self.b.is_byte(i)) for i, name in enumerate(names)]
-        self.chunked = self._cuts_hold(path_a, names)
+        self.b_sizes = np.array([len(x) for x in self.b_bytes])
+        special = (self.b.is_byte, self.b.is_control, self.b.is_unknown)
+        self.chunked = self._cuts_hold(path_a, [n for i, n in enumerate(names) if not any(f(i) for f in special)])
         self.room, self.known = room, {}
 
     @staticmethod
@@ -92,12 +95,12 @@ class Aligner:
         return name.replace("▁", " ").encode()
 
     def _cuts_hold(self, path_a: str, names: list[str]) -> bool:
-        """Whether no token of either kind reaches over the start of a chunk."""
+        """Whether no token of either kind reaches over the start of a chunk, or from a letter to a mark."""
         with open(path_a, encoding="utf-8") as file:
             spec = json.load(file)
         cut = spec.get("pre_tokenizer") or {}
         plain_a = spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
-        inner = any("▁" in n.lstrip("▁") or ("\n" in n and n != "\n") for n in names)
+        inner = any("▁" in n.lstrip("▁") or ("\n" in n and n != "\n") or any(x.isalpha() and y in _MARKS for x, y in zip(n, n[1:])) for n in names)
         as_is = [self.b.decode(self.b.encode(x)) == x for x in ("a  b", " a", "a ", "ﬁ Å")]
         return bool(plain_a and not inner and all(as_is))
 
@@ -108,58 +111,96 @@ class Aligner:
             found[-2:] = [found[-2] + " "]
         return found
 
-    def encode(self, chunks: list[str]) -> dict[str, Chunk | None]:
-        """Every given chunk with its tokens; None where joined bytes differ from the text."""
-        out, new = {}, []
-        for c in chunks:
-            if c in self.known:
-                out[c] = self.known[c]
-            else:
-                new.append(c)
-        for k in range(0, len(new), 5000):
-            part = new[k : k + 5000]
-            coded = self.a.encode_batch(part, add_special_tokens=False)
-            # B puts a space in front by itself; a chunk that begins with a line feed gets rid of it again.
-            protos = self.b.encode([c[1:] if c[0] == " " else c for c in part], return_type="proto", num_threads=1)
-            for c, a, b in zip(part, coded, protos):
-                out[c] = self._align(c, a, b)
-        if len(self.known) < self.room:
-            for c in new[: self.room - len(self.known)]:
-                self.known[c] = out[c]
+    def encode(self, chunks: list[str]) -> Iterator[Chunk | None]:
+        """The tokens of each chunk, in order; None where joined bytes differ from the text."""
+        for k in range(0, len(chunks), 5000):
+            part = chunks[k : k + 5000]
+            parts = [self._parts(c) for c in part]
+            new = list({x for p in parts for x in p}.difference(self.known))
+            made = dict(zip(new, self._align(new))) if new else {}
+            for p in parts:
+                got = [made[x] if x in made else self.known[x] for x in p]
+                yield got[0] if len(got) == 1 or got[0] is None else None if got[1] is None else _joined(*got)
+            if len(self.known) < self.room:
+                self.known.update(made)
+
+    def _parts(self, chunk: str) -> tuple[str, ...]:
+        """A word and the marks behind it are encoded by themselves, for words share marks."""
+        if self.chunked and not chunk[-1].isalnum():
+            word = chunk.rstrip(_MARKS)
+            if word and len(word) < len(chunk) and word[-1].isalpha():
+                return word, chunk[len(word) :]
+        return (chunk,)
+
+    def _align(self, chunks: list[str]) -> list[Chunk | None]:
+        coded = self.a.encode_batch(chunks, add_special_tokens=False)
+        # B puts a space in front by itself. It joins nothing to a line feed, which parts that space from what has none.
+        lead = [(c[1:], 0) if c[0] == " " else (c, 1) if c[0] == "\n" else ("\n" + c, 2) for c in chunks]
+        protos = self.b.encode([x for x, _ in lead], return_type="proto", num_threads=1)
+        n_a = np.array([len(e.ids) for e in coded])
+        a_ids = np.array([i for e in coded for i in e.ids], np.int64)
+        spans = np.array([o for e in coded for o in e.offsets], np.int64).reshape(-1, 2)
+        drop = np.array([d for _, d in lead])
+        b_rows = [[(p.id, p.begin, p.end) for p in x.pieces][d:] for x, d in zip(protos, drop.tolist())]
+        n_b = np.array([len(r) for r in b_rows])
+        b = np.array([x for r in b_rows for x in r], np.int64).reshape(-1, 3)
+        data = [c.encode() for c in chunks]
+        joined = b"".join(data)
+        base = np.cumsum([0, *map(len, data)])  # where each chunk begins, in bytes of them all
+        raw = np.frombuffer(joined, np.uint8)
+        borders = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where each character begins
+        first = np.cumsum([0, *map(len, chunks)])[:-1]  # character of each chunk
+        of_a, of_b = np.repeat(np.arange(len(chunks)), n_a), np.repeat(np.arange(len(chunks)), n_b)
+        shift = 1 - drop
+        found = []
+        for ids, of, n, begin, stop, sizes, own in (
+            (a_ids, of_a, n_a, borders[first[of_a] + spans[:, 0]], borders[first[of_a] + spans[:, 1]], self.a_sizes, self.a_bytes),
+            (b[:, 0], of_b, n_b, base[of_b] + b[:, 1] + shift[of_b], base[of_b] + b[:, 2] + shift[of_b], self.b_sizes, self.b_bytes),
+        ):
+            length = sizes[ids]
+            total = np.bincount(of, length, len(chunks)).astype(np.int64)
+            bad = total != np.diff(base)
+            tokens = list(map(own.__getitem__, ids.tolist()))
+            if bad.any() or b"".join(tokens) != joined:
+                at = np.cumsum([0, *n])
+                bad |= np.array([b"".join(tokens[x:y]) != d for x, y, d in zip(at, at[1:], data)], bool)
+            decoded = np.cumsum(length) - np.repeat(np.cumsum(total) - total, n) + base[of]
+            last = np.append(of[1:] != of[:-1], True)[: len(of)]
+            ends, apart = token_ends(begin, stop, decoded, last)
+            bad[of[apart]] = True
+            found.append((ends, bad))
+        (a_ends, bad), (b_ends, bad_b) = found
+        bad |= bad_b
+        a_cut, b_cut = np.isin(a_ends, b_ends), np.isin(b_ends, a_ends)
+        return self._groups(chunks, bad, (a_ids, n_a, of_a, a_cut), (b[:, 0], n_b, of_b, b_cut))
+
+    @staticmethod
+    def _groups(chunks: list[str], bad: np.ndarray, a: tuple, b: tuple) -> list[Chunk | None]:
+        """Tokens between common cuts, as text and as links; no token is empty, so one of each kind ends at a cut."""
+        (a_ids, n_a, of_a, a_cut), (b_ids, n_b, of_b, b_cut) = a, b
+        out: list[Chunk | None] = [None] * len(chunks)
+        if bad.any():  # what does not make up its chunk has no place in the order of the cuts
+            keep_a, keep_b = ~bad[of_a], ~bad[of_b]
+            a_ids, of_a, a_cut, b_ids, of_b, b_cut = a_ids[keep_a], of_a[keep_a], a_cut[keep_a], b_ids[keep_b], of_b[keep_b], b_cut[keep_b]
+        group_a, group_b = np.cumsum(a_cut) - a_cut, np.cumsum(b_cut) - b_cut
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        cut = np.concatenate([a_cut, b_cut])[order]
+        mark = np.where(cut, np.where(order < len(a_ids), 1, 2), 0).tolist()
+        signs = (",", "|", ";")
+        words = [f"{i}{signs[m]}" for i, m in zip(np.concatenate([a_ids, b_ids])[order].tolist(), mark)]
+        links = (a_ids[a_cut] << _B_BITS | b_ids[b_cut]).tolist()
+        good = np.flatnonzero(~bad)
+        groups = np.bincount(of_a[a_cut], minlength=len(chunks))[good].tolist()
+        sizes = zip(good.tolist(), n_a[good].tolist(), n_b[good].tolist(), groups)
+        at = link = 0
+        for k, x, y, g in sizes:
+            out[k] = Chunk(x, y, g, "".join(words[at : at + x + y])[:-1], tuple(links[link : link + g]))
+            at, link = at + x + y, link + g
         return out
 
-    def _align(self, chunk: str, a, b) -> Chunk | None:
-        data = chunk.encode()
-        a_ids, ids = a.ids, [p.id for p in b.pieces]
-        spans = [(p.begin, p.end) for p in b.pieces]  # in bytes of what was given, which the space in front is not part of
-        shift = 1
-        if chunk[0] != " ":
-            if not ids or self.b_bytes[ids[0]] != b" ":
-                return None
-            ids, spans, shift = ids[1:], spans[1:], 0
-        a_decoded, b_decoded = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in ids]
-        if b"".join(a_decoded) != data or b"".join(b_decoded) != data:
-            return None
-        if len(data) == len(chunk):  # every character is a byte, so all spans are exact
-            return self._groups(a_ids, [y for _, y in a.offsets], ids, [y + shift for _, y in spans])
-        borders = [0, *accumulate(len(c.encode()) for c in chunk)]
-        a_ends = token_ends([(borders[x], borders[y]) for x, y in a.offsets], a_decoded)
-        b_ends = token_ends([(x + shift, y + shift) for x, y in spans], b_decoded)
-        return None if a_ends is None or b_ends is None else self._groups(a_ids, a_ends, ids, b_ends)
 
-    @staticmethod
-    def _groups(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]) -> Chunk:
-        groups, links, j, n_b = [], [], 0, len(b_ids)
-        i0 = j0 = 0
-        for i, end in enumerate(a_ends):
-            while j < n_b and b_ends[j] < end:
-                j += 1
-            if j == n_b or b_ends[j] != end:
-                continue
-            links.append(a_ids[i] << _B_BITS | b_ids[j])  # no token is empty, so one of each ends here
-            groups.append(",".join(map(str, a_ids[i0 : i + 1])) + "|" + ",".join(map(str, b_ids[j0 : j + 1])))
-            i0, j0 = i + 1, j + 1
-        return Chunk(len(a_ids), n_b, len(groups), ";".join(groups), tuple(links))
+def _joined(word: Chunk, marks: Chunk) -> Chunk:
+    return Chunk(word.n_a + marks.n_a, word.n_b + marks.n_b, word.n_groups + marks.n_groups, f"{word.groups};{marks.groups}", word.links + marks.links)
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -184,32 +225,41 @@ def _encode(path_a: str, path_b: str, most: int):
 
         both, first = aligner(path_a, path_b), TaskContext.get().partitionId() << 33
         for number, part in enumerate(pieces(batches, "text", most)):
-            texts = part.column("text").to_pylist()
-            split = [both.chunks(t) if t else [] for t in texts]
-            found = both.encode(list(set().union(*split)))
-            numbers: dict[int, int] = {}  # of each id pair of this piece
-            place = {c: [numbers.setdefault(x, len(numbers)) for x in f.links] for c, f in found.items() if f is not None}
-            a, b, g, sha, sizes, places = [], [], [], [], [], []
-            for chunks in split:
-                got = [found[c] for c in chunks]
-                if not got or any(f is None for f in got):
-                    a.append(0), b.append(0), g.append(0), sha.append(""), sizes.append(0)
+            numbers: dict[str, int] = {}  # of each chunk of this piece
+            split = []
+            for text in part.column("text"):
+                found = both.chunks(text.as_py()) if text.is_valid and len(text.as_py()) else []
+                split.append(np.array([numbers.setdefault(c, len(numbers)) for c in found], np.int32))
+            sizes = np.zeros((len(numbers), 3), np.int64)  # tokens of A and B, groups; all zero where the bytes differ
+            groups, links, n_links = [], [], np.zeros(len(numbers) + 1, np.int64)
+            for k, f in enumerate(both.encode(list(numbers))):
+                groups.append(None if f is None else f.groups)
+                if f is not None:
+                    sizes[k] = f.n_a, f.n_b, f.n_groups
+                    links += f.links
+                    n_links[k + 1] = len(f.links)
+            start = np.cumsum(n_links)
+            pairs, place = np.unique(np.array(links, np.int64), return_inverse=True)
+            del numbers, links
+            totals, sha, places = np.zeros((len(split), 3), np.int64), [], []
+            for k, chunks in enumerate(split):
+                if not len(chunks) or not sizes[chunks].all():
+                    sha.append("")
+                    places.append(chunks[:0])
                     continue
-                a.append(sum(f.n_a for f in got))
-                b.append(sum(f.n_b for f in got))
-                g.append(sum(f.n_groups for f in got))
-                sha.append(hashlib.sha256(";".join([f.groups for f in got]).encode()).hexdigest())
-                own = [x for c in chunks for x in place[c]]
-                sizes.append(len(own))
-                places.append(np.array(own, np.int64))
-            every = np.concatenate(places) if places else np.zeros(0, np.int64)
-            counts = np.bincount(every, minlength=len(numbers))
+                totals[k] = sizes[chunks].sum(axis=0)
+                sha.append(hashlib.sha256(";".join([groups[c] for c in chunks.tolist()]).encode()).hexdigest())
+                n = n_links[chunks + 1]
+                at = np.repeat(start[chunks] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                places.append(place[at].astype(np.int32))
+            every = np.concatenate(places) if places else np.zeros(0, np.int32)
+            counts = np.bincount(every, minlength=len(pairs))
             used = np.flatnonzero(counts)  # chunks of texts that were left out have pairs as well
             again = np.zeros(len(counts), np.int64)
             again[used] = np.arange(len(used))
-            pairs = np.fromiter(numbers, np.int64, len(numbers))[used]
+            a, b, g = totals.T
             row = {"piece": [first + number], "doc_id": [part.column("doc_id").to_pylist()], "n_a": [a], "n_b": [b], "n_groups": [g], "groups_sha256": [sha]}
-            row |= {"n_links": [sizes], "places": [squeeze(again[every])], "pairs": [pairs], "counts": [counts[used]]}
+            row |= {"n_links": [[len(p) for p in places]], "places": [squeeze(again[every])], "pairs": [pairs[used]], "counts": [counts[used]]}
             types = {"piece": pa.int64(), "groups_sha256": pa.list_(pa.string()), "places": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.list_(pa.int64()))) for k, v in row.items()], list(row))
 

@@ -41,7 +41,66 @@ def _(spark, sf):
 
 @query("train_length_cap", f'WITH {inp.EXAMPLES} SELECT "index", seq_len FROM ex WHERE seq_len <= 500')
 def _(spark, sf):
-    return fl.train_length_cap(inp.examples(spark, sf), 500).select("index", "seq_len")
+    return fl.train_length_cap(inp.examples(spark, sf), 500)[0].select("index", "seq_len")
+
+
+def _gaps(spark, sf):
+    """Examples some of which have no ids or no length."""
+    n = F.col("seq_len")
+    return inp.examples(spark, sf).select("index", F.when(n % 7 != 0, F.col("input_ids")).alias("input_ids"), F.when(n % 5 != 0, n).alias("seq_len"))
+
+
+@query("train_length_cap_dropped", f"WITH {inp.EXAMPLES} SELECT count(*) FILTER (seq_len > 500 OR seq_len % 7 = 0) AS dropped FROM ex")
+def _(spark, sf):
+    return fl.train_length_cap(_gaps(spark, sf), 500)[1]
+
+
+def _written_with_counts(spark, df, rule, schema):
+    """Writes what a rule keeps; the counts of the same job and the rows read back."""
+    path = scratch_path(spark, "counted")
+    kept, counts = fl.observed(df, rule)
+    wr.write_corpus(kept, path)
+    rows = rd.scan_corpus(spark, path).agg(F.count(F.lit(1)).alias("rows_written")).scalar()
+    return fl.observed_row(spark, counts, schema).withColumn("rows_written", rows)
+
+
+@query(
+    "length_cap_written",
+    f"""WITH {inp.EXAMPLES} SELECT count(*) FILTER (seq_len > 400 OR seq_len % 5 = 0) AS dropped,
+      count(*) FILTER (seq_len <= 400 AND seq_len % 5 <> 0) AS rows_written FROM ex""",
+)
+def _(spark, sf):
+    return _written_with_counts(spark, _gaps(spark, sf), fl.cap_rule(400), "dropped long")
+
+
+@query(
+    "train_length_cap_written",
+    f"""WITH {inp.EXAMPLES} SELECT count(*) FILTER (seq_len > 500 OR seq_len % 7 = 0) AS dropped,
+      count(*) FILTER (seq_len <= 500 AND seq_len % 7 <> 0) AS rows_written FROM ex""",
+)
+def _(spark, sf):
+    return _written_with_counts(spark, _gaps(spark, sf), fl.train_cap_rule(500), "dropped long")
+
+
+@query(
+    "nonempty_text_written",
+    """SELECT count(*) FILTER (doc_id % 3 > 0 AND text <> '') AS valid, count(*) FILTER (doc_id % 3 = 0 OR coalesce(text, '') = '') AS empty,
+      count(*) FILTER (doc_id % 3 > 0 AND text <> '') AS rows_written FROM documents""",
+)
+def _(spark, sf):
+    text = F.when(F.col("doc_id") % 6 == 0, F.lit("")).when(F.col("doc_id") % 3 > 0, F.col("text"))
+    docs = inp.table(spark, sf, "documents").select("doc_id", text.alias("text"))
+    return _written_with_counts(spark, docs, fl.text_rule(), "valid long, empty long")
+
+
+@query(
+    "run_stats_written",
+    f"""WITH {inp.EXAMPLES}, k AS (SELECT seq_len, seq_len <= 400 AND seq_len % 5 <> 0 AS kept FROM ex)
+    SELECT coalesce(max(seq_len) FILTER (kept), 0) AS max_seq_len, count(*) FILTER (NOT kept) AS dropped_count,
+      count(*) FILTER (kept) AS rows_written FROM k""",
+)
+def _(spark, sf):
+    return _written_with_counts(spark, _gaps(spark, sf), ex.run_rule(400), "max_seq_len int, dropped_count long")
 
 
 @query(
@@ -151,6 +210,16 @@ def _(spark, sf):
     return fl.validation_summary(fl.integrity_check(_damaged(spark, sf)))
 
 
+@query(
+    "validation_written",
+    f"""WITH {DAMAGED} SELECT count(*) AS total, count(*) FILTER (error IS NULL) AS valid,
+      count(*) FILTER (error IS NOT NULL) AS corrupt, count(*) FILTER (error IS NULL) AS rows_written FROM checked""",
+)
+def _(spark, sf):
+    checked = fl.integrity_check(_damaged(spark, sf))
+    return _written_with_counts(spark, checked, fl.valid_rule(), "total long, valid long, corrupt long")
+
+
 @query(
     "remove_listed",
     f"""WITH {FILES} SELECT path, name, length FROM files WHERE path NOT IN

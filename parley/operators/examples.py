@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import arrays as ar
+from parley.operators.filters import Rule
 from parley.session import broadcast_within
 
 
@@ -18,26 +19,34 @@ def bucket_counts(df: DataFrame, edges=ar.BUCKETS, length: str = "seq_len") -> D
     return joined.select("bucket", F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
+def run_rule(cap: int, edges=None, length: str = "seq_len") -> Rule:
+    """AGG-13: what an examples run keeps, with ``max_seq_len``, ``dropped_count`` and, per bucket of ``edges``, a
+    count named after it. A null length, and with ``edges`` a length outside all of them, is dropped."""
+    keep = F.coalesce(F.col(length) <= cap, F.lit(False))
+    buckets: list[Column] = []
+    if edges is not None:
+        bucket = ar.length_bucket(F.col(length), edges)
+        keep = keep & bucket.isNotNull()
+        buckets = [F.count_if(keep & (bucket == label)).alias(label) for _, _, label in edges]
+    longest = F.coalesce(F.max(F.when(keep, F.col(length))), F.lit(0)).alias("max_seq_len")
+    return Rule(keep, (longest, F.count_if(~keep).alias("dropped_count"), *buckets))
+
+
 def run_stats(df: DataFrame, cap: int, edges=None, length: str = "seq_len") -> DataFrame:
     """AGG-13: one row with the longest kept sequence and the number dropped.
 
     With ``edges`` rows outside all buckets are dropped too, and ``bucket_stats``
     maps every bucket to its number of rows.
     """
-    kept = F.coalesce(F.col(length) <= cap, F.lit(False))  # a null length is dropped
-    extra = []
-    if edges is not None:
-        bucket = ar.length_bucket(F.col(length), edges)
-        kept = kept & bucket.isNotNull()
-        pairs = []
-        for _, _, label in edges:
-            pairs += [F.lit(label), F.count_if(kept & (bucket == label))]
-        extra = [F.create_map(*pairs).alias("bucket_stats")]
-    return df.agg(
-        F.coalesce(F.max(F.when(kept, F.col(length))), F.lit(0)).alias("max_seq_len"),
-        F.count_if(~kept).alias("dropped_count"),
-        *extra,
-    )
+    return stats_row(run_rule(cap, edges, length).counted(df), edges)
+
+
+def stats_row(counts: DataFrame, edges=None) -> DataFrame:
+    """The counts of ``run_rule`` with the buckets as one map."""
+    if edges is None:
+        return counts
+    pairs = [x for _, _, label in edges for x in (F.lit(label), F.col(f"`{label}`"))]
+    return counts.select("max_seq_len", "dropped_count", F.create_map(*pairs).alias("bucket_stats"))
 
 
 def align_shift(df: DataFrame, mode: str = "offline") -> DataFrame:

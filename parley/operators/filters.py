@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import turns as tn
@@ -34,21 +36,86 @@ def role_alternation(df: DataFrame, turns: str = "turns") -> tuple[DataFrame, Da
     return df.where(ok), df.where(~ok)
 
 
+@dataclass(frozen=True)
+class Rule:
+    """What stays, and what is counted over all rows, those that go included.
+
+    Counted by ``counts`` in a job of its own, or by ``observed`` along with the action
+    that uses the kept rows.
+    """
+
+    keep: Column
+    counts: tuple[Column, ...]
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        return df.where(self.keep)
+
+    def counted(self, df: DataFrame) -> DataFrame:
+        """One row."""
+        return df.agg(*self.counts)
+
+
+def observed(df: DataFrame, rule: Rule) -> tuple[DataFrame, Observation]:
+    """(rows that stay, their counts), counted while the first action on the rows runs.
+
+    The input is read once. Read the counts after the action; they are those of one
+    complete run of it. Put this behind the last shuffle of what is written: tasks of the last
+    stage count once each, while an earlier stage that runs again after a lost executor counts again.
+    """
+    counts = Observation()
+    return df.observe(counts, *rule.counts).where(rule.keep), counts
+
+
+def observed_row(spark: SparkSession, counts: Observation, schema: str) -> DataFrame:
+    """The counts as one row, waiting for the action if need be."""
+    got = counts.get
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    return spark.createDataFrame([tuple(got[n] for n in names)], schema)
+
+
+def _at_most(value: Column, cap: int) -> Rule:
+    keep = F.coalesce(value <= cap, F.lit(False))
+    return Rule(keep, (F.count_if(~keep).alias("dropped"),))
+
+
+def cap_rule(cap: int, length: str = "seq_len") -> Rule:
+    """FLT-6: at most ``cap`` tokens; a null length goes and is counted as ``dropped``."""
+    return _at_most(F.col(length), cap)
+
+
+def train_cap_rule(cap: int, ids: str = "input_ids") -> Rule:
+    """FLT-7: at most ``cap`` ids; missing ids go and are counted as ``dropped``."""
+    return _at_most(F.when(F.col(ids).isNotNull(), F.size(ids)), cap)
+
+
+def text_rule(text: str = "text") -> Rule:
+    """FLT-8: some text; counts ``valid`` and ``empty``, null among the empty."""
+    has = F.coalesce(F.col(text) != "", F.lit(False))
+    return Rule(has, (F.count_if(has).alias("valid"), F.count_if(~has).alias("empty")))
+
+
+def valid_rule() -> Rule:
+    """AGG-14: rows that passed ``integrity_check``; counts ``total``, ``valid`` and ``corrupt``."""
+    ok = F.col("is_valid")
+    return Rule(ok, (F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("corrupt")))
+
+
 def length_cap(df: DataFrame, cap: int, length: str = "seq_len") -> tuple[DataFrame, DataFrame]:
-    """FLT-6: (rows of at most ``cap`` tokens; one row with the number dropped). A null length is dropped."""
-    kept = F.coalesce(F.col(length) <= cap, F.lit(False))
-    return df.where(kept), df.agg(F.count_if(~kept).alias("dropped"))
+    """FLT-6: (rows of at most ``cap`` tokens; one row with the number dropped)."""
+    rule = cap_rule(cap, length)
+    return rule.kept(df), rule.counted(df)
 
 
-def train_length_cap(df: DataFrame, cap: int = 2048, ids: str = "input_ids") -> DataFrame:
-    """FLT-7."""
-    return df.where(F.size(ids) <= cap)
+def train_length_cap(df: DataFrame, cap: int, ids: str = "input_ids") -> tuple[DataFrame, DataFrame]:
+    """FLT-7: (rows of at most ``cap`` ids; one row with the number dropped)."""
+    rule = train_cap_rule(cap, ids)
+    return rule.kept(df), rule.counted(df)
 
 
 def nonempty_text(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """FLT-8: (rows with text; one row with the counts of valid and empty rows)."""
-    has = F.coalesce(F.col(text) != "", F.lit(False))
-    return df.where(has), df.agg(F.count_if(has).alias("valid"), F.count_if(~has).alias("empty"))
+    rule = text_rule(text)
+    return rule.kept(df), rule.counted(df)
 
 
 # Rules an example has to keep, in the order in which they are reported.
@@ -78,11 +145,7 @@ def integrity_check(df: DataFrame, rules=EXAMPLE_RULES, key: str = "index") -> D
 
 def validation_summary(checked: DataFrame) -> DataFrame:
     """AGG-14."""
-    return checked.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if("is_valid").alias("valid"),
-        F.count_if(~F.col("is_valid")).alias("corrupt"),
-    )
+    return valid_rule().counted(checked)
 
 
 def remove_listed(df: DataFrame, rejects: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from parley.functions import arrays as ar
@@ -106,18 +106,23 @@ def write_chat_examples(
     encode, mask, drop above ``cap`` with a count, write by bucket with the statistics beside.
 
     Everything is worked out once, into ``path``/examples (rows without a bucket keep
-    the bucket ``none``); what is returned reads from there.
+    the bucket ``none``), and counted on the way there; what is returned reads from there.
     """
     spark = records.sparkSession
     turns = nm.dispatch_by_record(records, family, keep=(key,))
     todo = turns if done is None else fl.skip_done(turns, done, key)
     made = chat_examples(todo.where(F.col("turns").isNotNull()), key, family, max_len=max_len, encode=encode)
+    counts, rule = Observation(), ex.run_rule(cap, edges)
     bucket = F.when(F.col("seq_len") <= cap, ar.length_bucket(F.col("seq_len"), edges))
-    wr.write_bucketed(made.withColumn("bucket", F.coalesce(bucket, F.lit("none"))), f"{path}/examples")
+    named = made.observe(counts, *rule.counts).withColumn("bucket", F.coalesce(bucket, F.lit("none")))
+    wr.write_bucketed(named, f"{path}/examples")
+    labels = ", ".join(f"`{label}` long" for _, _, label in edges)
+    got = counts.get
+    row = tuple(got[x] for x in ("max_seq_len", "dropped_count", *[label for _, _, label in edges]))
+    stats = ex.stats_row(spark.createDataFrame([row], f"max_seq_len int, dropped_count long, {labels}"), edges)
+    wr.write_stats(stats, f"{path}/stats")
     schema = "index long, input_ids array<int>, loss_mask array<int>, seq_len int, fallback boolean, error string, bucket string"
     back = spark.read.schema(schema).parquet(f"{path}/examples")
-    stats = ex.run_stats(back, cap, edges)
-    wr.write_stats(stats, f"{path}/stats")
     written = back.where("bucket <> 'none'").select("index", "seq_len", "bucket")
     return ExamplesRun(written, back.where("error IS NOT NULL").select("index", "error"), stats, path)
 

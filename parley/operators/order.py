@@ -10,9 +10,13 @@ Two ways to number rows, neither of which sorts everything in one task:
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.operators.permute import permute
+
 from parley.session import broadcast_within, materialise
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
@@ -118,26 +122,35 @@ def shuffled_position(
 def _first_shuffled(df: DataFrame, key, seed, limit: Column, digits: int = 4) -> DataFrame:
     """The first rows of ``seeded_shuffle``; ``limit`` may use ``_total``, the number of rows.
 
-    Whole segments below the limit are told by their digits. Only the segment on the
-    edge is ranked, to find the last hash that stays; the rows themselves pass
-    through a filter and are not shuffled. ``df`` is read three times.
+    Hashes alone go through one exchange, by their leading digits. Segments are counted
+    behind it, and the one on the edge is ranked there as well, to find the last hash that
+    stays; both read the same exchange. The rows themselves pass through a filter and
+    are not shuffled. ``df`` is read twice, once for its keys alone.
     """
     rows = df.withColumn("_h", shuffle_key(key, seed))
-    segment, place = F.substring("_h", 1, digits), F.struct("_h", *_names(key))
-    counts = rows.groupBy(segment.alias("_seg")).agg(F.count(F.lit(1)).alias("n"))
-    starts = _starts(counts, "_seg", 16**digits)
+    segment = F.substring("_h", 1, digits)
+    # One column, so that no reader of the exchange wants less than another; the number of partitions is given for the same reason.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashes = rows.select("_h").repartition(parts, segment)
+    starts = _starts(hashes.groupBy(segment.alias("_seg")).agg(F.count(F.lit(1)).alias("n")), "_seg", 16**digits)
     whole = starts.where(F.col("_start") + F.col("n") <= limit).agg(F.max("_seg").alias("x")).scalar()
     edge = starts.where((F.col("_start") < limit) & (F.col("_start") + F.col("n") > limit))
     edge = broadcast_within(edge.select("_seg", (limit - F.col("_start")).alias("_room")), 1)
-    ranked = rows.select(segment.alias("_seg"), place.alias("_place")).join(edge, "_seg")
-    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("_seg").orderBy("_place")))
-    last = ranked.where(F.col("_rank") <= F.col("_room")).agg(F.max("_place").alias("x")).scalar()
-    stays = F.coalesce(segment <= whole, F.lit(False)) | F.coalesce(place <= last, F.lit(False))
+    ranked = hashes.withColumn("_seg", segment).join(edge, "_seg")
+    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("_seg").orderBy("_h")))
+    last = ranked.where(F.col("_rank") <= F.col("_room")).agg(F.max("_h").alias("x")).scalar()
+    stays = F.coalesce(segment <= whole, F.lit(False)) | F.coalesce(F.col("_h") <= last, F.lit(False))
     return rows.where(stays).drop("_h")
 
 
-def cap_sample(df: DataFrame, n: int, key, seed) -> DataFrame:
-    """ORD-2: all rows when there are at most ``n``, else ``n`` of them chosen by the seed."""
+def cap_sample(df: DataFrame, n: int, key, seed, rows: int | None = None) -> DataFrame:
+    """ORD-2: all rows when there are at most ``n``, else ``n`` of them chosen by the seed.
+
+    ``rows`` is the number of rows where it is known, as from the footers of a stored
+    table; if it is within ``n``, nothing is worked out.
+    """
+    if rows is not None and rows <= n:
+        return df
     return _first_shuffled(df, key, seed, F.lit(n))
 
 
@@ -178,21 +191,44 @@ def epoch_plan(df: DataFrame, epoch: int, ranks: int, key, seed, shuffle: bool =
         placed = shuffled_position(df, key, f"{seed}:{epoch}", pos="_p", total="_n")
     else:
         placed = global_position(df, key, pos="_p", total="_n")
+    return _dealt(placed, df.columns, epoch, ranks)
+
+
+def epoch_plan_keyed(placed: DataFrame, n: int, epoch: int, ranks: int, seed, pos: str = "pos", shuffle: bool = True) -> DataFrame:
+    """ORD-7 over rows that have positions 0 .. n - 1 already, as from ``stored_position`` or a table made once.
+
+    Every epoch is another permutation of the positions, worked out row by row, so rows
+    stay where they are in all epochs. Each rank gets as many steps, as in ``epoch_plan``.
+    """
+    rows = placed.withColumn("_n", F.lit(n).cast("long"))
+    if shuffle:
+        rows = permute(rows, pos, n, f"{seed}:{epoch}", out="_p")
+    else:
+        rows = rows.withColumn("_p", F.col(pos).cast("long"))
+    return _dealt(rows, placed.columns, epoch, ranks)
+
+
+def _dealt(placed: DataFrame, columns: list[str], epoch: int, ranks: int) -> DataFrame:
     padded = F.ceil(F.col("_n") / ranks) * ranks
     copies = F.floor((padded - 1 - F.col("_p")) / F.col("_n"))
     spread = placed.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), copies)))
     at = F.col("_p") + F.col("_copy") * F.col("_n")
     return spread.select(
-        *[F.col(f"`{c}`") for c in df.columns],
+        *[F.col(f"`{c}`") for c in columns],
         F.lit(epoch).alias("epoch"),
         (at % ranks).cast("int").alias("rank"),
         F.floor(at / ranks).alias("step"),
     )
 
 
-def batch_plan(plan: DataFrame, size: int) -> DataFrame:
-    """ORD-8: consecutive steps of a rank form batches of ``size`` rows; adds ``batch`` and ``slot``."""
-    return plan.withColumn("batch", F.floor(F.col("step") / size)).withColumn("slot", (F.col("step") % size).cast("int"))
+def batch_plan(plan: DataFrame, size: int, accumulation: int | None = None) -> DataFrame:
+    """ORD-8: consecutive steps of a rank form batches of ``size`` rows; adds ``batch`` and ``slot``.
+
+    With ``accumulation`` that many batches of every rank make one step of the optimiser,
+    ``opt_step``; the last one may have fewer.
+    """
+    out = plan.withColumn("batch", F.floor(F.col("step") / size)).withColumn("slot", (F.col("step") % size).cast("int"))
+    return out if accumulation is None else out.withColumn("opt_step", F.floor(F.col("batch") / accumulation))
 
 
 def batch_sizes(size: int, accumulation: int, ranks: int) -> dict[str, int]:
@@ -200,6 +236,19 @@ def batch_sizes(size: int, accumulation: int, ranks: int) -> dict[str, int]:
     return {"train": size, "val": 2 * size, "global": size * accumulation * ranks}
 
 
+def validation_plan(placed: DataFrame, n: int, ranks: int, size: int, pos: str = "pos") -> DataFrame:
+    """ORD-8: the validation side, in stored order: batches of twice the size, the same ones in every epoch."""
+    plan = epoch_plan_keyed(placed, n, 0, ranks, None, pos, shuffle=False).drop("epoch")
+    return batch_plan(plan, batch_sizes(size, 1, ranks)["val"])
+
+
+def optimiser_steps(plan: DataFrame, size: int, accumulation: int, ranks: int) -> DataFrame:
+    """ORD-8: (opt_step, rows, batches, is_full) over all ranks; ``plan`` is a ``batch_plan`` with accumulation."""
+    whole = batch_sizes(size, accumulation, ranks)["global"]
+    steps = plan.groupBy("opt_step").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("rank", "batch").alias("batches"))
+    return steps.withColumn("is_full", F.col("rows") == whole)
+
+
 def resume_from_step(plan: DataFrame, start_step: int, step: str = "step") -> DataFrame:
     """FLT-13: what is left of a plan when the steps before ``start_step`` are done."""
     return plan.where(F.col(step) >= start_step)
@@ -224,11 +273,92 @@ def name_order(df: DataFrame, name: str = "name") -> DataFrame:
     return df.orderBy(name)
 
 
-def limit_samples(df: DataFrame, n: int | None, order_by) -> DataFrame:
-    """ORD-11: the first ``n`` rows in a given order, equal keys by a hash of the row; all rows when ``n`` is None."""
+def limit_samples(df: DataFrame, n: int | None, order_by, edge_rows: int = 1_000_000, sample_rows: int = 10_000) -> DataFrame:
+    """ORD-11: the first ``n`` rows in a given order, equal keys by a hash of the row; all rows when ``n`` is None.
+
+    A bounded sample of the keys gives two cuts around the n-th row, a count tells how many
+    rows lie below and between them, and so on inside until at most ``edge_rows`` are
+    between. Rows below the cuts pass through a filter; those between are ranked, and they alone
+    are shuffled. Where equal rows alone fill the edge, it is put in order by
+    ``global_position``. ``df`` is read for its keys twice a round, each time fewer of
+    them, then once for either part.
+    """
     if n is None:
         return df
-    return global_position(df, order_by, pos="_at").where(F.col("_at") < n).drop("_at")
+    total = df.count()
+    if n >= total:
+        return df
+    keys = _names(order_by)
+    tied = df.withColumn("_row_hash", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    cuts = _Cuts(tied, [*keys, "_row_hash"])
+    first, inside = 0, total
+    while inside > edge_rows:
+        lower, upper = cuts.narrowed(n - first, inside, sample_rows)
+        low, high = cuts.count(lower, upper, inside)
+        if low >= n - first:
+            lower, low = cuts.lower, 0
+        if high < n - first:
+            upper, high = cuts.upper, inside
+        if high - low == inside:
+            break
+        cuts.lower, cuts.upper = lower, upper
+        first, inside = first + low, high - low
+    edge = cuts.between()
+    if inside <= edge_rows:
+        edge = edge.orderBy(*keys, "_row_hash").limit(n - first)
+    else:
+        edge = global_position(edge, [*keys, "_row_hash"], pos="_at").where(F.col("_at") < n - first).drop("_at")
+    out = edge if cuts.lower is None else cuts.below().unionByName(edge)
+    return out.drop("_row_hash")
+
+
+class _Cuts:
+    """Rows between two places in an order; a place is the values of all keys, None is open."""
+
+    def __init__(self, df: DataFrame, keys: list[str]):
+        self.df, self.keys, self.lower, self.upper = df, keys, None, None
+        self.types = [f.dataType for f in df.select(*keys).schema.fields]
+        self.place = F.struct(*keys)
+
+    def _at(self, values) -> Column:
+        return F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(values, self.types, self.keys)])
+
+    def _first_key(self, values, below: bool) -> Column:
+        """The same cut by the first key alone, which a scan can use to leave out what lies beyond."""
+        key, value = F.col(self.keys[0]), values[0]
+        if value is None or value != value:
+            return F.lit(True)
+        bound = F.lit(value).cast(self.types[0])
+        return (key.isNull() | (key <= bound)) if below else key >= bound
+
+    def below(self) -> DataFrame:
+        return self.df.where(self._first_key(self.lower, True) & (self.place < self._at(self.lower)))
+
+    def between(self) -> DataFrame:
+        out = self.df
+        if self.lower is not None:
+            out = out.where(self._first_key(self.lower, False) & (self.place >= self._at(self.lower)))
+        if self.upper is not None:
+            out = out.where(self._first_key(self.upper, True) & (self.place < self._at(self.upper)))
+        return out
+
+    def narrowed(self, n: int, rows: int, most: int):
+        """Two places with the n-th of ``rows`` rows in all likelihood between them, from at most 4 * ``most`` sampled places."""
+        grain = 1 << 30
+        chance = int(min(1.0, most / rows) * grain)
+        drawn = self.between().where(F.pmod(F.xxhash64("_row_hash", F.lit(rows)), F.lit(grain)) < chance)
+        sample = drawn.select(*self.keys).orderBy(*self.keys).limit(4 * most).collect()
+        share = n / rows
+        room = 4 * (share * (1 - share) * len(sample)) ** 0.5 + 4
+        low, high = math.floor(share * len(sample) - room), math.ceil(share * len(sample) + room)
+        return sample[low] if 0 <= low < len(sample) else self.lower, sample[high] if 0 <= high < len(sample) else self.upper
+
+    def count(self, lower, upper, rows: int) -> tuple[int, int]:
+        """How many of the rows between lie below either place."""
+        low = F.count_if(self.place < self._at(lower)) if lower is not None else F.lit(0)
+        high = F.count_if(self.place < self._at(upper)) if upper is not None else F.lit(rows)
+        got = self.between().agg(low.alias("low"), high.alias("high")).collect()[0]
+        return got["low"], got["high"]
 
 
 def next_valid(

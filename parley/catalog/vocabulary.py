@@ -122,6 +122,28 @@ def _(spark, sf):
     return vo.eos_member(vo.top_tokens(_freq(spark, sf), 256), inp.EOS)
 
 
+@query(
+    "eos_members",
+    f"""WITH {DRAFT}, asked AS (SELECT unnest([{inp.EOS}, 7, 100, -1, {inp.VOCAB}])::int AS token_id)
+    SELECT a.token_id, d.token_id IS NOT NULL AS included FROM asked a LEFT JOIN (SELECT token_id FROM draft WHERE r = 256) d ON d.token_id = a.token_id""",
+)
+def _(spark, sf):
+    bits = vo.draft_bitmap(vo.draft_vocab(_freq(spark, sf), 256, inp.EOS), inp.VOCAB)
+    return vo.members(bits, [inp.EOS, 7, 100, -1, inp.VOCAB], inp.VOCAB)
+
+
+@query(
+    "supervised_in_draft_arrays",
+    f"""WITH {inp.EXAMPLES}, {inp.DOC_FREQ}, top AS (SELECT token_id FROM freq ORDER BY freq DESC, token_id LIMIT 256)
+    SELECT "index", array_to_string(list_transform(list_zip(ids, mask), lambda z: CASE WHEN list_contains(t.l, z[1]) THEN z[2] ELSE 0 END), '') AS mask
+    FROM ex, (SELECT list(token_id) AS l FROM top) t""",
+)
+def _(spark, sf):
+    draft = vo.draft_vocab(_freq(spark, sf), 256)
+    out = vo.array_in_draft(inp.examples(spark, sf), draft, inp.VOCAB)
+    return out.select("index", F.array_join(F.transform("position_mask", lambda m: m.cast("string")), "").alias("mask"))
+
+
 @query(
     "supervised_in_draft",
     f"""WITH {inp.TURN_WORDS}, t AS (SELECT conv_id, turn, i, {inp.token_sql('w')} AS target,

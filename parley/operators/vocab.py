@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parley.functions.bitmaps import bitmap_of, bitmaps_by, in_bitmap
 from parley.session import broadcast_within
 
 
@@ -61,6 +62,18 @@ def eos_member(top: DataFrame, eos: int) -> DataFrame:
     )
 
 
+def members(bits: DataFrame, ids, vocab_size: int) -> DataFrame:
+    """JON-6 for several ids against one packed set, as ``draft_bitmap`` gives: (token_id, included)."""
+    asked = bits.select("bits", F.explode(F.array(*[F.lit(int(i)) for i in ids])).alias("token_id"))
+    return asked.select("token_id", in_bitmap(F.col("bits"), F.col("token_id"), vocab_size).alias("included"))
+
+
+def draft_bitmap(draft: DataFrame, vocab_size: int) -> DataFrame:
+    """One row with the packed set ``bits`` of the draft's ids; ``draft`` is a draft vocabulary or a ``t2d`` map of one size."""
+    chosen = draft.where("in_draft") if "in_draft" in draft.columns else draft
+    return bitmap_of(chosen, "token_id", vocab_size)
+
+
 def draft_vocab(freq: DataFrame, r, eos: int | None = None) -> DataFrame:
     """AGG-5: the ``r`` most frequent tokens, for one or several ``r`` at once.
 
@@ -129,26 +142,39 @@ def d2t_offsets(draft: DataFrame) -> DataFrame:
 
 
 def t2d_mask(spark: SparkSession, draft: DataFrame, vocab_size: int) -> DataFrame:
-    """JON-1: for every id of the target vocabulary, is it in the draft?"""
+    """JON-1: for every id of the target vocabulary, is it in the draft?
+
+    The draft is one packed set per size, which every id is tested against.
+    """
     by = ["r"] if "r" in draft.columns else []
-    chosen = draft.select(*by, F.col("token_id").cast("int").alias("token_id"), F.lit(True).alias("_in"))
     target = spark.range(vocab_size).select(F.col("id").cast("int").alias("token_id"))
-    if by:
-        sizes = chosen.select("r").distinct().agg(F.sort_array(F.collect_set("r")).alias("s")).scalar()
-        target = target.withColumn("r", F.explode(sizes))
     if not by:
-        chosen = broadcast_within(chosen, vocab_size)
-    joined = target.join(chosen, [*by, "token_id"], "left")
-    return joined.select(*by, "token_id", F.col("_in").isNotNull().alias("in_draft"))
+        bits = draft_bitmap(draft, vocab_size).scalar()
+        return target.select("token_id", in_bitmap(bits, F.col("token_id"), vocab_size).alias("in_draft"))
+    # As many sets as sizes, in the order of the sizes.
+    bits = bitmaps_by(draft, "r", "token_id", vocab_size).scalar()
+    rows = target.select("token_id", F.explode(bits).alias("_s"))
+    return rows.select("_s.key", "token_id", in_bitmap(F.col("_s.bits"), F.col("token_id"), vocab_size).alias("in_draft")).withColumnRenamed("key", "r")
 
 
 def supervised_in_draft(
     tokens: DataFrame, t2d: DataFrame, vocab_size: int, target: str = "target", mask: str = "loss_mask"
 ) -> DataFrame:
-    """JON-2: adds ``position_mask`` = target is in the draft vocabulary, times the loss mask."""
-    known = t2d.where("in_draft").select(F.col("token_id").alias(target), F.lit(1).alias("_in"))
-    joined = tokens.join(broadcast_within(known, vocab_size), target, "left")
-    return joined.withColumn("position_mask", (F.coalesce("_in", F.lit(0)) * F.col(mask)).cast("int")).drop("_in")
+    """JON-2: adds ``position_mask`` = target is in the draft vocabulary, times the loss mask.
+
+    Each position is tested against the packed set of the draft's ids; there is no join.
+    """
+    bits = draft_bitmap(t2d, vocab_size).scalar()
+    known = in_bitmap(bits, F.col(target), vocab_size).cast("int")
+    return tokens.withColumn("position_mask", (known * F.col(mask)).cast("int"))
+
+
+def array_in_draft(df: DataFrame, t2d: DataFrame, vocab_size: int, ids: str = "input_ids", mask: str = "loss_mask") -> DataFrame:
+    """JON-2 over whole sequences: adds ``position_mask``, an array, from arrays of ids and mask."""
+    bits = draft_bitmap(t2d, vocab_size).scalar()
+    rows = df.withColumn("_bits", bits)
+    own = F.zip_with(ids, mask, lambda t, m: (in_bitmap(F.col("_bits"), t, vocab_size).cast("int") * m).cast("int"))
+    return rows.withColumn("position_mask", own).drop("_bits")
 
 
 def draft_to_target(df: DataFrame, d2t: DataFrame, max_rows: int, draft_id: str = "draft_id") -> DataFrame:

@@ -59,7 +59,6 @@ def test_counts_are_combined_before_the_shuffle(spark, name):
     assert "partial_" in plan_of(QUERIES[name](spark, FOLDER))
 
 
-def test_vocabulary_lookups_do_not_shuffle_the_tokens(spark):
+def test_vocabulary_lookups_do_not_join_the_tokens(spark):
     plan = plan_of(QUERIES["supervised_in_draft"](spark, FOLDER))
-    head = plan[: plan.index("BroadcastExchange")]
-    assert "BroadcastHashJoin" in head and "hashpartitioning" not in head
+    assert "Join" not in plan and "getbit" in plan.lower().replace("bit_get", "getbit")

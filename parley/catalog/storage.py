@@ -13,6 +13,7 @@ from parley.plans import mix
 from parley.plans.vocabulary import draft_vocabulary, text_token_freq
 from parley.schemas import SHAREGPT
 from parley.session import scratch_path
+from parley.sources import checks as ck
 from parley.sources import readers as rd
 from parley.sources import writers as wr
 
@@ -278,3 +279,30 @@ def _(spark, sf):
     )
     checked = fl.integrity_check(back, rules=(("quality missing", "quality is not null"),))
     return fl.validation_summary(checked)
+
+
+FOLDERS = """d AS (SELECT source, lang, count(*) AS n, bool_or(quality = 0 AND toxic = 1) AS broken FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL)"""
+
+
+def _folders(spark, sf):
+    """One file of JSON lines per source and language; a bad document's line is cut short."""
+    path = scratch_path(spark, "folders")
+    docs = inp.table(spark, sf, "documents").join(inp.table(spark, sf, "labels"), "doc_id", "left")
+    whole = F.to_json(F.struct("doc_id", "text"))
+    bad = F.coalesce((F.col("quality") == 0) & (F.col("toxic") == 1), F.lit(False))
+    lines = docs.select("source", "lang", whole.alias("x"), bad.alias("bad"))
+    lines = lines.select("source", "lang", F.when(F.col("bad"), F.expr("substring(x, 1, length(x) - 1)")).otherwise(F.col("x")).alias("value"))
+    lines.repartition("source", "lang").write.partitionBy("source", "lang").text(path)
+    return path
+
+
+@query("check_files", f"""WITH {FOLDERS} SELECT source, lang, NOT coalesce(broken, false) AS is_valid, coalesce(broken, false) AS told, CASE WHEN NOT coalesce(broken, false) THEN n END AS "rows" FROM d""")
+def _(spark, sf):
+    checked = ck.check_files(spark, _folders(spark, sf), "json", (".txt",))
+    place = [F.regexp_extract("path", f"/{c}=([^/]*)/", 1).alias(c) for c in ("source", "lang")]
+    return checked.select(*place, "is_valid", F.coalesce(F.col("error").startswith("ValueError: line "), F.lit(False)).alias("told"), "rows")
+
+
+@query("check_files_summary", f"""WITH {FOLDERS} SELECT count(*) AS total, count(*) FILTER (NOT coalesce(broken, false)) AS valid, count(*) FILTER (broken) AS corrupt FROM d""")
+def _(spark, sf):
+    return fl.validation_summary(ck.check_files(spark, _folders(spark, sf), "json", (".txt",)))

@@ -16,6 +16,7 @@ from parley.operators import filters as fl
 from parley.operators import order
 from parley.plans.training import chat_examples, training_batches, write_chat_examples
 from parley.session import materialise, scratch_path
+from parley.sources import checks as ck
 from parley.sources import readers as rd
 from parley.sources import writers as wr
 
@@ -237,6 +238,22 @@ def _(spark, sf):
     return fl.skip_done(docs, inp.table(spark, sf, "labels"), "doc_id")
 
 
+@query("skip_many_done", "SELECT doc_id, n_chars, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def _(spark, sf):
+    docs = inp.table(spark, sf, "documents").select("doc_id", "n_chars", "text")
+    return fl.skip_many_done(docs, inp.table(spark, sf, "labels"), "doc_id", bits=1 << 18)
+
+
+@query("skip_written", "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def _(spark, sf):
+    # What lies in the output folder tells what is done.
+    path = scratch_path(spark, "outputs")
+    made = inp.table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("index"), (F.col("doc_id") % 3).alias("bucket"))
+    wr.write_bucketed(made, path)
+    docs = inp.table(spark, sf, "documents").select("doc_id", "n_chars")
+    return fl.skip_done(docs, ck.written_keys(spark, path).withColumnRenamed("index", "doc_id"), "doc_id")
+
+
 # ---------------------------------------------------------- align and batch
 
 

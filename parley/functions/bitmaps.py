@@ -13,28 +13,31 @@ _WORD = 64
 
 
 def _words(df: DataFrame, ids: Column, size: int, *by: str) -> DataFrame:
-    """(by, _word, _bits): bits of one long are combined before the shuffle."""
+    """(by, _word, _bits), one bit set in each row."""
     named = df.select(*by, ids.cast("long").alias("_id")).where(F.col("_id").between(0, size - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_id") % _WORD).cast("int"))
-    return named.groupBy(*by, F.expr(f"_id div {_WORD}").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-
-
-def _packed(size: int) -> Column:
-    """An aggregate over words; those without a member are zero."""
-    held = F.map_from_entries(F.collect_list(F.struct("_word", "_bits")))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(-(-size // _WORD) - 1).cast("long"))
-    return F.transform(every, lambda k: F.coalesce(F.try_element_at(held, k), F.lit(0).cast("long")))
+    return named.select(*by, F.expr(f"_id div {_WORD}").alias("_word"), bit.alias("_bits"))
 
 
 def bitmap_of(df: DataFrame, ids: str | Column, size: int) -> DataFrame:
-    """One row with ``bits``, the set of ``ids`` as longs; at most size / 64 rows come together at the end."""
+    """One row with ``bits``, the set of ``ids`` as longs.
+
+    Bits of one long are combined before the shuffle; size / 64 rows come together at the end.
+    """
     column = F.col(ids) if isinstance(ids, str) else ids
-    return _words(df, column, size).agg(_packed(size).alias("bits"))
+    every = df.sparkSession.range(-(-size // _WORD)).select(F.col("id").alias("_word"), F.lit(0).cast("long").alias("_bits"))
+    words = _words(df, column, size).unionByName(every).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    held = F.sort_array(F.collect_list(F.struct("_word", "_bits")))
+    return words.agg(F.transform(held, lambda w: w["_bits"]).alias("bits"))
 
 
 def bitmaps_by(df: DataFrame, by: str, ids: str, size: int) -> DataFrame:
-    """One row with ``sets``, an array of (key, bits) in the order of the keys; for few keys."""
-    each = _words(df, F.col(ids), size, by).groupBy(by).agg(_packed(size).alias("bits"))
+    """One row with ``sets``, an array of (key, bits) in the order of the keys; for few keys and a vocabulary's size."""
+    words = _words(df, F.col(ids), size, by).groupBy(by, "_word").agg(F.bit_or("_bits").alias("_bits"))
+    held = F.map_from_entries(F.collect_list(F.struct("_word", "_bits")))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(-(-size // _WORD) - 1).cast("long"))
+    bits = F.transform(every, lambda k: F.coalesce(F.try_element_at(held, k), F.lit(0).cast("long")))
+    each = words.groupBy(by).agg(bits.alias("bits"))
     return each.agg(F.sort_array(F.collect_list(F.struct(F.col(by).alias("key"), "bits"))).alias("sets"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,17 +51,16 @@ def scan_corpus(spark: SparkSession, path: str) -> DataFrame:
 def file_manifest(spark: SparkSession, path: str, exts=(".parquet",)) -> DataFrame:
     """SRC-5: path, name, length and time of every file below ``path`` with one of the extensions.
 
-    The files are listed, not read. An empty listing is an error.
+    The files are listed, not read; one without a byte, which Spark's scan passes over, has
+    length 0 and no time. An empty listing is an error.
     """
     pattern = "{" + ",".join(f"*{e}" for e in exts) + "}"
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .load(path)
-        .select("path", "length", "modificationTime")
-    )
-    if files.isEmpty():
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    files = found.select("path", "length", "modificationTime")
+    listed = [re.sub("^file:/+", "file:/", unquote(p)) for p in found.inputFiles()]  # the reader's own listing
+    empty = spark.createDataFrame([(p,) for p in listed], "path string").join(files.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path")), "path", "left_anti")
+    files = files.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime")))
+    if not listed:
         raise FileNotFoundError(f"no {'/'.join(exts)} files below {path}")
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "modificationTime")
 

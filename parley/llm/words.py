@@ -20,6 +20,7 @@ _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20260101).integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[int, np.ndarray] = {}
+KEPT_POWERS = 6
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,7 +45,10 @@ def powers(base: int, n: int) -> np.ndarray:
                 have[done : 2 * done] = have[:done] * U64(step)
             step = step * step % 2**64
             done *= 2
+        _POWERS.pop(base, None)
         _POWERS[base] = have
+        while len(_POWERS) > KEPT_POWERS:  # a worker goes on to other operators with other bases
+            _POWERS.pop(next(iter(_POWERS)))
     return have[:n]
 
 

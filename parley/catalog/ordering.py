@@ -157,9 +157,9 @@ def _(spark, sf):
 PASSES = 4
 
 
-def _keyed_sql(key: str) -> str:
-    """(doc_id, n, q): where each row stands; goes on for rows that come out at n or above, up to PASSES times."""
-    steps = [f"""{STORED}, size AS (SELECT max(n) AS n, floor(sqrt(max(n)))::BIGINT AS a FROM stored),
+def keyed_sql(key: str, stored: str = STORED) -> str:
+    """(doc_id, n, q): where each row of ``stored`` stands; goes on for rows that come out at n or above, up to PASSES times."""
+    steps = [f"""{stored}, size AS (SELECT max(n) AS n, floor(sqrt(max(n)))::BIGINT AS a FROM stored),
     dims AS (SELECT n, a, (n + a - 1) // a AS b FROM size), x0 AS (SELECT doc_id, pos AS x FROM stored)"""]
     for k in range(PASSES):
         half = [f"x // b AS l, x % b AS r, a, b, n, x FROM x{k}, dims"]
@@ -176,7 +176,7 @@ def _keyed_sql(key: str) -> str:
     return ", ".join(steps) + f", perm AS (SELECT doc_id, x AS q, n FROM x{PASSES}, dims)"
 
 
-KEYED = f"""{_keyed_sql("42:2")}, dealt AS (SELECT doc_id, q FROM perm UNION ALL SELECT doc_id, q + n FROM perm WHERE q + n < ceil(n / 7.0) * 7)"""
+KEYED = f"""{keyed_sql("42:2")}, dealt AS (SELECT doc_id, q FROM perm UNION ALL SELECT doc_id, q + n FROM perm WHERE q + n < ceil(n / 7.0) * 7)"""
 
 
 @query("epoch_plan_keyed", f"WITH {KEYED} SELECT doc_id, 2 AS epoch, (q % 7)::int AS rank, q // 7 AS step FROM dealt")

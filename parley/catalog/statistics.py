@@ -70,6 +70,16 @@ def _(spark, sf):
     return ln.summary_table(ln.length_report(docs, "source"))
 
 
+@query("length_sketch", "SELECT source, count(*) AS count, min(n_chars)::BIGINT AS min, max(n_chars)::BIGINT AS max, true AS near FROM documents GROUP BY source")
+def _(spark, sf):
+    # Sketches of sources and languages, merged to sources; each percentile's rank is measured against the rows.
+    docs = inp.table(spark, sf, "documents").select("source", "lang", "n_chars")
+    fine = ln.length_sketch(docs, "n_chars", ["source", "lang"])
+    stats = ln.sketch_stats(ln.merge_sketches(fine, ["source"]), ["source"])
+    error = ln.sketch_error(docs, "n_chars", stats, "source")
+    return stats.join(error, "source").select("source", "count", "min", "max", (F.col("error") <= 0.02).alias("near"))
+
+
 @query(
     "length_histogram",
     f"""WITH {LENGTHS}, r AS (SELECT lang, min(chars)::double AS lo, max(chars)::double AS hi, count(*) AS n,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.catalog import inputs as inp
 from parley.catalog.masks import PREPARED, _bits, _prepared, _render_sql
-from parley.catalog.ordering import FILES
+from parley.catalog.ordering import FILES, keyed_sql
 from parley.catalog.registry import ORACLES, query
 from parley.functions import arrays as ar
 from parley.functions import tokens as tk
@@ -14,7 +14,7 @@ from parley.operators import batches as bt
 from parley.operators import examples as ex
 from parley.operators import filters as fl
 from parley.operators import order
-from parley.plans.training import chat_examples, training_batches, write_chat_examples
+from parley.plans.training import chat_examples, training_batches, training_positions, write_chat_examples
 from parley.session import materialise, scratch_path
 from parley.sources import checks as ck
 from parley.sources import readers as rd
@@ -346,6 +346,27 @@ def _(spark, sf):
     return _shown(out, "index", "rank", "batch", "slot")
 
 
+# The rows that are dealt, with their positions, in the form that the permutation's SQL reads.
+DEALT = f"""{inp.EXAMPLES}, kept AS (SELECT * FROM ex WHERE seq_len <= 600),
+  stored AS (SELECT "index" AS doc_id, row_number() OVER (ORDER BY "index") - 1 AS pos, count(*) OVER () AS n FROM kept)"""
+
+
+@query(
+    "training_batches_keyed",
+    f"""WITH {keyed_sql("42:3", DEALT)}, w AS (SELECT doc_id, q FROM perm UNION ALL SELECT doc_id, q + n FROM perm WHERE q + n < ceil(n / 2.0) * 2),
+      s AS (SELECT "index", (q % 2)::int AS rank, (q // 2) // 4 AS batch, ((q // 2) % 4)::int AS slot, ids[2:] AS ids,
+        list_append(mask[:-2], 0) AS mask, seq_len FROM w JOIN kept ON "index" = doc_id),
+      m AS (SELECT *, max(seq_len) OVER (PARTITION BY rank, batch) AS width FROM s)
+    SELECT "index", rank, batch, slot, {inp.text_sql("list_resize(ids, width, 0)")} AS ids,
+      array_to_string(list_resize(mask, width, 0), '') AS mask FROM m""",
+)
+def _(spark, sf):
+    examples = _written(spark, sf)
+    positions = training_positions(examples, 600)
+    out, _ = training_batches(examples, epoch=3, ranks=2, batch_size=4, seed=42, cap=600, positions=positions)
+    return _shown(out, "index", "rank", "batch", "slot")
+
+
 @query("training_batches_dropped", f"WITH {inp.EXAMPLES} SELECT count(*) FILTER (seq_len > 600) AS dropped FROM ex")
 def _(spark, sf):
     return training_batches(_written(spark, sf), epoch=3, ranks=2, batch_size=4, seed=42, cap=600)[1]

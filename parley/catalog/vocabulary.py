@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.catalog import inputs as inp
+from parley.catalog.masks import _quoted, _render_sql, mask_sql
 from parley.catalog.registry import query
 from parley.catalog.storage import DRAFT
 from parley.functions import tokens as tk
-from parley.catalog.masks import _quoted, _render_sql, mask_sql
 from parley.operators import batches as bt
 from parley.operators import vocab as vo
 from parley.operators.normalise import nest_turns
 from parley.plans.vocabulary import chat_token_freq, draft_vocabulary, supervised_token_freq, text_token_freq
+from parley.session import materialise
 
 SIZES = (256, 1024)
 
@@ -191,6 +192,8 @@ def _(spark, sf):
     one = vo.draft_vocab(_freq(spark, sf), 256).drop("r")
     tokens = inp.token_rows(spark, sf).groupBy(F.col("target").alias("token_id"))
     two = vo.draft_vocab(tokens.agg(F.count(F.lit(1)).alias("freq")), 256).drop("r")
+    # Both drafts are used twice, so the few rows of each are written once.
+    one, two = materialise(one, "draft"), materialise(two, "draft")
     offsets = vo.vocab_map_diff(vo.d2t_offsets(one), vo.d2t_offsets(two))
     flags = vo.vocab_map_diff(vo.t2d_mask(spark, one, inp.VOCAB), vo.t2d_mask(spark, two, inp.VOCAB))
     both = offsets.withColumn("table", F.lit("d2t")).unionByName(flags.withColumn("table", F.lit("t2d")))

@@ -81,6 +81,49 @@ def length_stats(df: DataFrame, col: str, by=()) -> DataFrame:
     return stats.select(*by, *[F.coalesce(c, F.lit(0)).alias(name) for name, c in columns.items()])
 
 
+def length_sketch(df: DataFrame, col: str, by=(), k: int = 200) -> DataFrame:
+    """AGG-10 for values of any range: a mergeable sketch of quantiles per group, ``sketch``, and the exact ``count``.
+
+    Exact percentiles hold one entry per distinct value; a sketch of size ``k`` holds a few
+    hundred numbers for any number of rows and is combined before the shuffle. With 99 %
+    confidence a quantile's rank is off by at most 1.33 % of the rows at k = 200, by
+    0.33 % at 800. Least and greatest value are exact. Sketches can be stored and merged.
+    """
+    values = df.select(*by, F.col(col).cast("long").alias("_x")).where(F.col("_x").isNotNull())
+    return values.groupBy(*by).agg(F.kll_sketch_agg_bigint("_x", F.lit(k)).alias("sketch"), F.count(F.lit(1)).alias("count"))
+
+
+def merge_sketches(sketches: DataFrame, by=(), k: int = 200) -> DataFrame:
+    """Sketches of parts to sketches of coarser groups, as those of days to one of a month."""
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_bigint("sketch", F.lit(k)).alias("sketch"), F.sum("count").alias("count"))
+
+
+def sketch_stats(sketches: DataFrame, by=()) -> DataFrame:
+    """Count, min, max, median and percentiles as the sketches tell them; the percentiles are values that occur."""
+
+    def at(share: float) -> Column:
+        return F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(share)))
+
+    columns = {"min": at(0.0), "max": at(1.0), "median": at(0.5)} | {f"p{p}": at(p / 100) for p in PERCENTILES}
+    return sketches.select(*by, "count", *[c.alias(n) for n, c in columns.items()])
+
+
+def sketch_error(df: DataFrame, col: str, stats: DataFrame, by: str) -> DataFrame:
+    """How far the ranks of ``sketch_stats`` are off: (by, error), the greatest of all percentiles as a share of the rows.
+
+    A value's rank is any between the share of rows below it and that of rows up to it.
+    """
+    asked = {"median": 0.5} | {f"p{p}": p / 100 for p in PERCENTILES}
+    named = stats.select(F.col(by).alias("_by"), *[F.col(n).alias(f"_{n}") for n in asked])
+    rows = df.where(F.col(col).isNotNull()).join(named, F.col(by).eqNullSafe(F.col("_by")))
+    counts = []
+    for n in asked:
+        counts += [F.count_if(F.col(col) < F.col(f"_{n}")).alias(f"_{n}_below"), F.count_if(F.col(col) <= F.col(f"_{n}")).alias(f"_{n}_to")]
+    sums = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), *counts)
+    off = [F.greatest(F.col(f"_{n}_below") / F.col("_n") - share, share - F.col(f"_{n}_to") / F.col("_n"), F.lit(0.0)) for n, share in asked.items()]
+    return sums.select(by, F.greatest(*off).alias("error"))
+
+
 def length_units(df: DataFrame, by=("dataset",)) -> DataFrame:
     """One row per unit (chars, words, tokens) and record."""
     return df.select(*by, F.stack(F.lit(3), *[x for u in UNITS for x in (F.lit(u), F.col(u).cast("long"))]).alias("unit", "length"))

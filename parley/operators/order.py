@@ -208,6 +208,12 @@ def epoch_plan_keyed(placed: DataFrame, n: int, epoch: int, ranks: int, seed, po
     return _dealt(rows, placed.columns, epoch, ranks)
 
 
+def epoch_positions(df: DataFrame, key) -> tuple[DataFrame, int]:
+    """(rows with ``pos``, their number) for ``epoch_plan_keyed``: placed and written once for all epochs. Keep ``df`` narrow."""
+    placed = materialise(global_position(df, key), "epochs")
+    return placed, placed.count()
+
+
 def _dealt(placed: DataFrame, columns: list[str], epoch: int, ranks: int) -> DataFrame:
     padded = F.ceil(F.col("_n") / ranks) * ranks
     copies = F.floor((padded - 1 - F.col("_p")) / F.col("_n"))
@@ -362,25 +368,26 @@ class _Cuts:
 
 
 def next_valid(
-    df: DataFrame, order_by, valid: str, pos: str = "pos", out: str = "use_pos", segment_rows: int = 1_000_000
+    df: DataFrame, order_by, valid: str, pos: str = "pos", out: str = "use_pos", segment_rows: int = 1_000_000, carry: dict[str, str] | None = None
 ) -> DataFrame:
     """WIN-4: for each row the position of the next usable row, itself included, wrapping round.
 
-    Rows are looked at in segments of equal size; only one number per segment is
-    carried between them. Null when no row is usable.
+    ``carry`` maps columns of that row to names under which they come along, which saves a join
+    by position. Rows are looked at in segments of equal size; only one usable row per
+    segment is carried between them. Null when no row is usable.
     """
     placed = global_position(df, order_by, pos=pos, total="_n")
+    taken = carry or {}
     seg = F.floor(F.col(pos) / segment_rows)
-    at = F.when(F.col(valid), F.col(pos))
+    at = F.when(F.col(valid), F.struct(F.col(pos).alias("_at"), *[F.col(c).alias(name) for c, name in taken.items()]))
     ahead = Window.partitionBy("_seg").orderBy(pos).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     rows = placed.withColumn("_seg", seg).withColumn("_here", F.first(at, ignorenulls=True).over(ahead))
 
-    firsts = placed.groupBy(seg.alias("_seg")).agg(F.min(at).alias("_first"))
+    firsts = placed.groupBy(seg.alias("_seg")).agg(F.min_by(at, F.when(F.col(valid), F.col(pos))).alias("_first"))
     later = Window.orderBy("_seg").rowsBetween(1, Window.unboundedFollowing)
     whole = Window.orderBy("_seg").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    carry = firsts.select(
-        "_seg",
-        F.coalesce(F.min("_first").over(later), F.min("_first").over(whole)).alias("_later"),
-    )
-    found = rows.join(carry, "_seg").withColumn(out, F.coalesce("_here", "_later"))
-    return found.drop("_seg", "_here", "_later", "_n")
+    first = F.first("_first", ignorenulls=True)
+    carried = firsts.select("_seg", F.coalesce(first.over(later), first.over(whole)).alias("_later"))
+    found = rows.join(carried, "_seg").withColumn("_use", F.coalesce("_here", "_later"))
+    extra = {out: F.col("_use._at")} | {name: F.col(f"_use.{name}") for name in taken.values()}
+    return found.withColumns(extra).drop("_seg", "_here", "_later", "_use", "_n")

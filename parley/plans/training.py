@@ -127,6 +127,22 @@ def write_chat_examples(
     return ExamplesRun(written, back.where("error IS NOT NULL").select("index", "error"), stats, path)
 
 
+def _placed_lengths(examples: DataFrame, cap: int, substitute: bool) -> DataFrame:
+    """(index, _index, _len): the place of a row in the plan, the row that stands there, its length."""
+    lengths = examples.select("index", "seq_len")
+    usable = F.coalesce(F.col("seq_len") <= cap, F.lit(False))
+    if not substitute:
+        return lengths.where(usable).select("index", F.col("index").alias("_index"), F.col("seq_len").alias("_len"))
+    stand_in = {"index": "_index", "seq_len": "_len"}
+    placed = order.next_valid(lengths.withColumn("_ok", usable), "index", "_ok", carry=stand_in)
+    return placed.where("use_pos IS NOT NULL").select("index", "_index", "_len")
+
+
+def training_positions(examples: DataFrame, cap: int, substitute: bool = False) -> tuple[DataFrame, int]:
+    """Positions of the rows that ``training_batches`` deals, by index, made once for all epochs."""
+    return order.epoch_positions(_placed_lengths(examples, cap, substitute), "index")
+
+
 def training_batches(
     examples: DataFrame,
     epoch: int,
@@ -136,6 +152,7 @@ def training_batches(
     seed: int = 42,
     n: int | None = None,
     substitute: bool = False,
+    positions: tuple[DataFrame, int] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(padded rows of one epoch, placed by (rank, batch, slot); one row with the number above ``cap``).
 
@@ -143,20 +160,20 @@ def training_batches(
     ``substitute`` they keep their place in the plan and the next usable row in the
     order of the index, wrapping round, stands in for them.
 
+    ``positions``, as ``training_positions`` gives them, takes the place of sorting by a hash
+    in every epoch: the plan is then worked out row by row from positions made once.
+
     The plan and the width of each batch are made from keys and lengths alone and
     joined back, so sequences are shuffled once. ``n`` pads to a fixed width.
     ``examples`` is read more than once and should be a written table.
     """
     kept, dropped = fl.length_cap(examples, cap)
-    lengths = examples.select("index", "seq_len")
-    if substitute:
-        usable = F.coalesce(F.col("seq_len") <= cap, F.lit(False))
-        placed = order.next_valid(lengths.withColumn("_ok", usable), "index", "_ok", pos="_at", out="_use")
-        stand_in = placed.select(F.col("_at").alias("_use"), F.col("index").alias("_index"), F.col("seq_len").alias("_len"))
-        lengths = placed.select("index", "_use").join(stand_in, "_use").drop("_use")
+    if positions is None:
+        lengths = _placed_lengths(examples, cap, substitute)
+        dealt = order.epoch_plan(lengths, epoch, ranks, "index", seed)
     else:
-        lengths = kept.select("index", F.col("index").alias("_index"), F.col("seq_len").alias("_len"))
-    plan = order.batch_plan(order.epoch_plan(lengths, epoch, ranks, "index", seed), batch_size)
+        dealt = order.epoch_plan_keyed(*positions, epoch, ranks, seed).drop("pos")
+    plan = order.batch_plan(dealt, batch_size)
     plan = plan.withColumn("pad_len", F.max("_len").over(Window.partitionBy("rank", "batch")))
     plan = plan.select(F.col("_index").alias("index"), F.col("index").alias("place"), "epoch", "rank", "step", "batch", "slot", "pad_len")
     rows = ex.align_shift(kept, "offline").join(plan, "index")

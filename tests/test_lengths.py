@@ -86,3 +86,18 @@ def test_first_of_each_source(spark):
     assert got["a"]["n_turns"] == 2 and got["a"]["first_turn"]["value"] == "early"
     assert got[None]["first_turn"]["value"] == "untagged"
     assert got["b"]["n_turns"] == 0 and got["b"]["first_turn"] is None
+
+
+@pytest.mark.parametrize("k,error", [(200, 0.0133), (800, 0.0033)])
+def test_sketches_keep_their_error(spark, k, error):
+    # Values of a range that an exact percentile would hold one by one; half of one group is a single value.
+    wide = F.when(F.col("id") % 4 == 0, F.lit(5)).otherwise(F.abs(F.xxhash64("id")) % F.lit(10**15))
+    df = spark.range(0, 60_000, 1, 6).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 97 > 0, wide).alias("x"), (F.col("id") % 3).alias("part"))
+    fine = ln.length_sketch(df, "x", ["g", "part"], k)
+    stats = ln.sketch_stats(ln.merge_sketches(fine, ["g"], k), ["g"])
+    exact = {r["g"]: r for r in df.groupBy("g").agg(F.count("x").alias("count"), F.min("x").alias("min"), F.max("x").alias("max")).collect()}
+    assert {r["g"]: (r["count"], r["min"], r["max"]) for r in stats.collect()} == {g: (r["count"], r["min"], r["max"]) for g, r in exact.items()}
+    off = [r["error"] for r in ln.sketch_error(df, "x", stats, "g").collect()]
+    assert len(off) == 2 and max(off) <= 2 * error
+    size = fine.agg(F.max(F.length("sketch"))).collect()[0][0]
+    assert size < 100 * k

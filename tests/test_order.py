@@ -188,3 +188,14 @@ def test_next_valid(spark, segment):
         df = spark.createDataFrame([(i, f) for i, f in enumerate(flags)], "id int, ok boolean")
         rows = order.next_valid(df, "id", "ok", segment_rows=segment).orderBy("id").collect()
         assert [r["use_pos"] for r in rows] == next_valid_by_loop(flags)
+
+
+@pytest.mark.parametrize("segment_rows", [3, 1000])
+def test_next_valid_brings_columns_along(spark, segment_rows):
+    df = spark.createDataFrame([(k, k in (4, 5, 17), f"t{k}") for k in range(23)], "k int, ok boolean, text string")
+    rows = order.next_valid(df, "k", "ok", segment_rows=segment_rows, carry={"text": "use_text", "k": "use_k"}).collect()
+    for r in rows:
+        use = next((j for j in (4, 5, 17) if j >= r["k"]), 4)
+        assert (r["use_pos"], r["use_k"], r["use_text"]) == (use, use, f"t{use}")
+    none = order.next_valid(df.withColumn("ok", F.lit(False)), "k", "ok", carry={"text": "use_text"})
+    assert {(r["use_pos"], r["use_text"]) for r in none.collect()} == {(None, None)}

@@ -17,7 +17,9 @@ entry each, ordered by the text's hash; a null ``doc_id`` comes first.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -27,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.llm.words import slices, text_bytes
@@ -135,12 +137,27 @@ class ShardReader:
             start += n
 
 
+# Fixed value: the words of a tokenizer that lower-cases and drops white space.
+_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def drops_blanks(path: str) -> bool:
+    """Whether a tokenizer's file says that it lower-cases a text and encodes its words one by one, without the blanks."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    changes = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    first = cuts[0] if cuts else {}
+    words = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and first.get("pattern") == {"Regex": _WORDS}
+    return changes == ["NFC", "Replace", "Lowercase"] and bool(words)
+
+
 class MemoEncoder:
-    """Encodes with a tokenizer of the tokenizers library that discards white space.
+    """Encodes with a tokenizer of the tokenizers library.
 
-    Such a tokenizer encodes a text as its blank-separated pieces one after another,
-    so each distinct piece is encoded once per worker. ``room`` bounds the memory, at
-    some 150 bytes a piece.
+    One that drops white space, as its file tells, encodes a text as its blank-separated
+    pieces one after another, so each distinct piece is encoded once per worker;
+    ``room`` bounds the memory, at some 150 bytes a piece. Any other gets whole texts.
     """
 
     def __init__(self, path: str, room: int = 1_200_000):
@@ -148,8 +165,11 @@ class MemoEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room, self.known = Tokenizer.from_file(path), room, {}
+        self.in_pieces = drops_blanks(path)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if not self.in_pieces:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
         # bytes.split cuts at the ASCII blanks alone. ASCII letters are lower-cased here as the tokenizer
         # would do next, so that fewer pieces differ; texts that may name a special token stay as they are.
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
@@ -248,11 +268,17 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     return files.repartition(tasks, "file").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder as Arrow wants it named; one without a scheme is on Spark's default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = path.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
+    return re.sub("^file:/(?!/)", "file:///", whole)
+
+
 def token_shards(docs: DataFrame, tokenizer: str, vocab_size: int, end_id: int, folder: str | None = None, **options) -> DataFrame:
     """Write the shards, then read them back."""
     folder = folder or scratch_path(docs.sparkSession, "planes")
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
-    folder = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
+    folder = qualified(docs.sparkSession, folder)
     manifest = materialise(write_shards(docs, folder, tokenizer, vocab_size, end_id, **options), "manifest")
     return read_shards(manifest, folder)

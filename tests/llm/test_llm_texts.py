@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from parley.llm import decontaminate, fuzzylines, jaccard, packing, planes, recompress, rules, words
 
@@ -69,7 +70,7 @@ def test_planes_round_trip(bits, vocab):
         planes.ShardWriter(io.BytesIO(), 256).add(1, np.array([256], np.uint32))
 
 
-def test_token_shards_match_the_tokenizer(spark, docs, texts, edge_docs, no_docs):
+def test_token_shards_match_the_tokenizer(spark, docs, texts, edge_docs, no_docs, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -84,6 +85,14 @@ def test_token_shards_match_the_tokenizer(spark, docs, texts, edge_docs, no_docs
     odd = planes.token_shards(edge_docs, path, 49_408, 1).collect()
     assert len(odd) == 11 and min(odd, key=lambda r: r.start).doc_id is None and sum(r.n_tokens == 1 for r in odd) == 3
     assert planes.token_shards(no_docs, path, 49_408, 1).count() == 0
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert planes.drops_blanks(path) and not planes.drops_blanks(other)
+    whole = Tokenizer.from_file(other)
+    got = {r.doc_id: r for r in planes.token_shards(docs, other, 50_257, 1, folder=str(tmp_path)).collect()}
+    for doc_id, text in texts.items():
+        ids = np.array([*whole.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        assert (got[doc_id].n_tokens, got[doc_id].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+    assert planes.qualified(spark, "/a/b c") == "file:///a/b c" and planes.qualified(spark, "file:///a") == "file:///a"
     assert planes.memo_encoder(path)([b"<|ENDOFTEXT|> <|endoftext|>x A\x1cB"])[0] == np.array(tokenizer.encode("<|ENDOFTEXT|> <|endoftext|>x A\x1cB", add_special_tokens=False).ids, "<u4").tobytes()
 
 
@@ -294,6 +303,17 @@ def test_bins_hold_all_words_without_conflicts(spark, docs, texts, capacity):
         assert len({r.source for r in held}) == len(held) == len({r.cluster for r in held})
 
 
+def test_bins_do_not_depend_on_the_layout(spark, edge_docs):
+    rows = edge_docs.select("doc_id", "text", "source").collect()
+    rows = [*rows, *rows, (5, "ONE TWO", "a"), (5, "one two", "a"), (5, "one two", None)] + [(77, "same text", "s")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = lambda r: tuple((x is not None, x) for x in r)
+    one, two = (sorted(packing.pack(d, 64, shard_rows=8).collect(), key=key) for d in (df.coalesce(1), df.orderBy(F.xxhash64("text", "doc_id")).repartition(7)))
+    assert one == two and len(one) > 63
+    copies = packing.numbered(df.repartition(5), ["doc_id", "text"]).where("doc_id = 77").select("copy").collect()
+    assert sorted(r["copy"] for r in copies) == list(range(40))
+
+
 def test_bins_odd_rows(spark, edge_docs, no_docs):
     rows = packing.pack(edge_docs).collect()
     assert Counter(r.doc_id for r in rows if r.piece == 0) == Counter([1, 2, 3, 4, 5, 5, None, 6, 7, 8, 9])

@@ -17,7 +17,7 @@ from bisect import bisect_left, insort
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.words import slices, split
@@ -55,7 +55,7 @@ def masks_of(sources: list, clusters: list) -> list[int]:
 
 def _pack(capacity: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_words", "doc_id", "row", "piece"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["n_words", "doc_id", "tie", "piece", "copy"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
         plain = lambda c: [None if pd.isna(x) else x for x in rows[c]]
         rows["bin"] = best_fit(rows["n_words"].tolist(), masks_of(plain("source"), plain("cluster")), capacity)
         rows = rows.sort_values("bin", kind="stable", ignore_index=True)
@@ -69,17 +69,34 @@ def _pack(capacity: int):
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, cluster, n_words); documents that differ in case and white space alone are one cluster."""
+    """(doc_id, source, cluster, tie, n_words); documents that differ in case and white space alone are one cluster, ``tie`` tells them apart."""
 
     def run(batches):
         for part in slices(batches, "text"):
             n = split(part.column("text")).counts.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "source", "cluster")), pa.array(n)], ["doc_id", "source", "cluster", "n_words"])
+            names = ("doc_id", "source", "cluster", "tie")
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(n)], [*names, "n_words"])
 
     text = F.col("text").cast("string")
     cluster = F.xxhash64(F.lower(F.array_join(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), " ")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.when(text != "", cluster).alias("cluster"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, source string, cluster long, n_words long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.when(text != "", cluster).alias("cluster"), F.xxhash64(text, "source").alias("tie"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, source string, cluster long, tie long, n_words long")
+
+
+def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``copy`` = 0, 1, 2, ... among rows with equal keys; ``rows`` is a written table.
+
+    Equal rows are numbered within their part of the table, from where the parts before end, so
+    that not even very many of them come together.
+    """
+    parts = rows.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    counts = parts.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part")
+    starts = counts.withColumn("_start", F.sum("_n").over(before) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys))).where("_all > 1")
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "_part"]]
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_row")) - 1
+    placed = parts.withColumn("_at", inside).alias("r").join(starts.alias("s"), same, "left")
+    return placed.select(*[f"r.{c}" for c in rows.columns], (F.col("_at") + F.coalesce("_start", F.lit(0))).alias("copy"))
 
 
 def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = 4096) -> DataFrame:
@@ -96,5 +113,7 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = 4096) -> DataF
     pieces = pieces.withColumn("first_word", F.col("piece").cast("long") * capacity)
     pieces = materialise(pieces.withColumn("n_words", F.least(F.lit(capacity).cast("long"), F.col("n_words") - F.col("first_word"))), "pieces")
     shards = max(1, -(-pieces.count() // shard_rows))
-    dealt = pieces.withColumn("row", F.monotonically_increasing_id()).withColumn("shard", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)))
+    # Dealt and ordered by what a row is, not by where it lies, so any layout of the table gives the same bins.
+    dealt = numbered(pieces, ["doc_id", "tie", "piece"])
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tie", "piece", "copy"), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(_pack(capacity), BINS)

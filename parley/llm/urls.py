@@ -56,25 +56,62 @@ def matched(rules: Sequence[Rule], host: Column, path: Column, value) -> Column:
     return out
 
 
-def alias_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst): nodes joined by <link rel=canonical> or <meta http-equiv=refresh>; comments and scripts don't count."""
-    url = F.col("url")
-    html = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script\s*>", " ")
-    tags = pages.where(F.col("html").rlike(r"(?i)<(?:link|meta)\b[^>]*(?:canonical|refresh)") & node_of(url).isNotNull())
-    tags = tags.select("url", F.explode(F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), 0)).alias("tag"))
-    tag = F.col("tag")
-    link = F.when(tag.rlike(r"(?i)^<link\b[^>]*\brel\s*=\s*[\"']?\s*canonical\b"), F.regexp_extract(tag, r"(?i)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
-    jump = F.when(tag.rlike(r"(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b"), F.regexp_extract(tag, r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
-    to = tags.select("url", F.replace(F.coalesce(link, jump), F.lit("&amp;"), F.lit("&")).alias("to")).where("to <> ''")
-    site, path, to_ = F.concat(F.lit("x://"), host_of(url)), path_of(url), F.col("to")
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value up to a blank, and not that of data-<name>; empty if there is none."""
+    value = F.regexp_extract(tag, rf"(?i)(?<![\w-]){name}\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
+    for code in ("&amp;", "&#38;", "&#x26;"):
+        value = F.replace(value, F.lit(code), F.lit("&"))
+    return value
+
+
+def without_dots(path: Column) -> Column:
+    """The path with its segments . and .. worked out; a .. at the top goes nowhere."""
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(part == ".", done).when(part == "..", up).otherwise(F.array_append(done, part))
+
+    parts = F.split(path, "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    open_end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.when(path.rlike(r"(?s)(^|/)\.\.?(/|$)"), F.array_join(open_end, "/")).otherwise(path)
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """The address that a link ``to`` on the page ``url`` names, with x as its scheme."""
+    site, path = F.concat(F.lit("x://"), host_of(url)), path_of(url)
     whole = (
-        F.when(to_.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to_)
-        .when(to_.startswith("//"), F.concat(F.lit("x:"), to_))
-        .when(to_.startswith("/"), F.concat(site, to_))
-        .when(to_.rlike(r"^[?#]"), F.concat(site, path, to_))
-        .otherwise(F.concat(site, F.when(path == "", "/").otherwise(F.regexp_extract(path, r"^.*/", 0)), to_))
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.startswith("//"), F.concat(F.lit("x:"), to))
+        .when(to.startswith("/"), F.concat(site, to))
+        .when(to.startswith("#"), url)
+        .when(to.startswith("?"), F.concat(site, path, to))
+        .otherwise(F.concat(site, F.when(path == "", "/").otherwise(F.regexp_extract(path, r"^.*/", 0)), to))
     )
-    return to.select(node_of(url).alias("src"), node_of(whole).alias("dst")).where("src <> dst").distinct()
+    query = _part(whole, r"[^/?#]*[^?#]*(\?[^#]*)")
+    return F.concat(F.lit("x://"), _part(whole, "([^/?#]*)"), without_dots(path_of(whole)), query)
+
+
+_CANONICAL = r"""(?i)^<link\b[^>]*(?<![\w-])rel\s*=\s*(?:"(?:[^"]*\s)?canonical[\s"]|'(?:[^']*\s)?canonical[\s']|canonical\b)"""
+
+
+def alias_edges(pages: DataFrame) -> DataFrame:
+    """(src, dst): nodes joined by <link rel=canonical> or <meta http-equiv=refresh>; comments and scripts don't count.
+
+    Links are taken from the page's <base>, if it has one, else from its url.
+    """
+    html = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script\s*>", " ")
+    tags = pages.where(F.col("html").rlike(r"(?i)<(?:link|meta)\b[^>]*(?:canonical|refresh)") & node_of(F.col("url")).isNotNull())
+    base = _attribute(F.regexp_extract(F.col("plain"), r"(?i)<base\b[^>]*>", 0), "href")
+    tags = tags.select("url", html.alias("plain")).select("url", "plain", base.alias("base"))
+    tags = tags.select("url", "base", F.explode(F.regexp_extract_all("plain", F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), 0)).alias("tag"))
+    tag, url = F.col("tag"), F.col("url")
+    link = F.when(tag.rlike(_CANONICAL), _attribute(tag, "href"))
+    jump = F.when(tag.rlike(r"(?i)^<meta\b[^>]*(?<![\w-])http-equiv\s*=\s*[\"']?\s*refresh\b"), _attribute(tag, "url"))
+    to = tags.select("url", "base", F.coalesce(link, jump).alias("to")).where("to <> ''")
+    start = F.when(F.col("base") == "", url).otherwise(resolved(url, F.col("base")))
+    to = to.select("url", "to", start.alias("start"))
+    return to.select(node_of(url).alias("src"), node_of(resolved(F.col("start"), F.col("to"))).alias("dst")).where("src <> dst").distinct()
 
 
 def url_verdicts(pages: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = None, default: str = "allow") -> DataFrame:

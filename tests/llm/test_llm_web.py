@@ -1,7 +1,10 @@
 """The operators on pages and vectors."""
 
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parley.llm import lineblock, pq, urls
 from parley.llm.components import connected_components
@@ -118,3 +121,47 @@ def test_vector_recall(spark):
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<float>")
     found = sum(r.n_links for r in pq.near_duplicates(df).collect())
     assert truth > 1000 and 0.98 * truth <= found <= truth
+
+
+def test_links_resolve_like_urljoin(spark):
+    from urllib.parse import urljoin, urlsplit
+
+    rng = random.Random(3)
+    parts = ["a", "b.html", ".", "..", "c d", "x.y"]
+    pages = ["http://H.example/", "https://h.example", "http://h.example/a/b", "http://h.example/a/b/", "http://h.example/a/b/c.html?q=1#f"]
+    refs = ["", "?q=2", "#top", "/", "//Other.example/x", "http://third.example/a/c?z=/../1", "/..", "..", ".", "../..", "./x"]
+    refs += ["/" * rng.randrange(2) + "/".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) + rng.choice(["", "/", "?a=b/../c"]) for _ in range(200)]
+    rows = [(p, r) for p in pages for r in refs if r]
+    df = spark.createDataFrame(rows, "url string, ref string")
+    got = {(r.url, r.ref): r.node for r in df.withColumn("node", urls.node_of(urls.resolved(F.col("url"), F.col("ref")))).collect()}
+    for page, ref in rows:
+        whole = urlsplit(urljoin(page, ref))
+        node = whole.netloc.lower() + whole.path + (f"?{whole.query}" if whole.query else "")
+        assert got[page, ref] == node, (page, ref)
+
+
+def test_links_that_count(spark):
+    rows = [
+        ('<link data-rel="canonical" href="/no">', []),
+        ('<link rel="canonical" data-href="/no" href="/yes">', ["h.example/yes"]),
+        ('<link rel="alternate canonical" href="/yes">', ["h.example/yes"]),
+        ("<link rel='canonical nofollow' href='/yes'>", ["h.example/yes"]),
+        ('<link rel="not-canonical" href="/no">', []),
+        ("<link rel=canonical href=/yes?a=1&#38;b=2&amp;c=3>", ["h.example/yes?a=1&b=2&c=3"]),
+        ('<base target="x"><base href="http://b.example/d/e"><link rel="canonical" href="f"><base href="/no">', ["b.example/d/f"]),
+        ('<base href="/d/e/"><meta http-equiv="refresh" content="0; url=../f">', ["h.example/d/f"]),
+        ('<meta data-http-equiv="refresh" content="0; url=/no">', []),
+        ('<!-- <link rel="canonical" href="/no"> -->', []),
+    ]
+    for k, (html, expected) in enumerate(rows):
+        df = spark.createDataFrame([(k, "http://h.example/a/b", html)], "page_id long, url string, html string")
+        assert [r.dst for r in urls.alias_edges(df).collect()] == expected, html
+
+
+def test_long_urls_and_repeated_links(spark):
+    long = "http://h.example/" + "a/" * 50_000 + "end"
+    links = '<link rel="canonical" href="http://b.com/de/1">' * 500
+    df = spark.createDataFrame([(1, long, links), (1, long, links), (2, "http://x.net/" + "../" * 20_000, '<link rel="canonical" href="' + "../" * 5_000 + 'y">')], "page_id long, url string, html string")
+    assert urls.alias_edges(df).count() == 2
+    got = sorted((r.page_id, r.verdict) for r in urls.url_verdicts(df, RULES).collect())
+    assert got == [(1, "block"), (1, "block"), (2, "allow")]

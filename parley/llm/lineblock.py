@@ -34,11 +34,14 @@ CLASS = re.compile(
     r"(?:[-_]*(?:box|bar|block|list|wrap|wrapper|container|content|section|area|unit|slot|banner|menu|links?|widget|text|form|item|main|top|bottom|left|right|panel|\d+))*",
     re.I,
 )
+HEADER = re.compile(r"(?:(?:page|main|post|article)[-_]*)?headers?(?:[-_]*(?:box|wrap|wrapper|container|content|area|text|top))*", re.I)
+SPOKEN = re.compile(r"comment|repl(?:y|ies)|respond|discuss|disqus", re.I)
 TAG = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+|[^>]*)>",
     re.I | re.S,
 )
+HREF = re.compile(r"(?<![\w-])href\s*=", re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
 
@@ -54,17 +57,37 @@ def is_boilerplate(name: str, attributes: str, inside_main: bool) -> bool:
         if kind.lower() == "role":
             if ROLES.intersection(words):
                 return True
-        elif any(CLASS.fullmatch(w) for w in words):
+        elif any(CLASS.fullmatch(w) and not (inside_main and HEADER.fullmatch(w)) for w in words):
             return True
     return False
 
 
-def lines_of(html: str) -> Iterator[tuple[str, int, bool]]:
-    """(text, characters inside links, stands in an article) of each line; boilerplate is a blank line, a tag alone none."""
+def may_wrap(name: str, attributes: str) -> bool:
+    """Whether a hidden element may be a wrapper around the page, so that its name says nothing: no menu, footer or comments."""
+    return name not in ("head", "nav", "footer", "menu", "dialog") and not any(SPOKEN.search("".join(v)) for _, *v in ATTRIBUTE.findall(attributes))
+
+
+def lines_of(html: str) -> list[tuple[str, int, bool]]:
+    """(text, characters inside links, stands in an article) of each line; boilerplate is a blank line, a tag alone none.
+
+    An element that would be hidden by its name, but holds most of the page's text, is a wrapper and is not.
+    """
+    shown: set[int] = set()
+    while True:
+        held: dict[int, int] = {}  # text of each outermost hidden element that may wrap the page, by where it begins
+        lines = list(_lines(html, shown, held))
+        seen = sum(len(text) for text, _, _ in lines)
+        wide = [k for k, n in held.items() if k >= 0 and 2 * n > seen + sum(held.values())]
+        if not wide:
+            return lines
+        shown.update(wide)
+
+
+def _lines(html: str, shown: set[int], held: dict[int, int]) -> Iterator[tuple[str, int, bool]]:
     opened: list[tuple[str, bool]] = []  # block elements and boilerplate, outermost first
     parts: list[str] = []
     hidden = within = linked = 0
-    at, in_link = 0, False
+    at, in_link, link_depth, cover = 0, False, 0, -1
 
     def flush() -> list[tuple[str, int, bool]]:
         nonlocal linked
@@ -74,7 +97,8 @@ def lines_of(html: str) -> Iterator[tuple[str, int, bool]]:
         return [line] if line[0] or hidden else []
 
     def close(k: int) -> None:
-        nonlocal hidden, within
+        nonlocal hidden, within, in_link
+        in_link = in_link and k >= link_depth  # a link does not outlast the block it began in
         for name, bad in opened[k:]:
             hidden -= bad
             within -= name in MAIN
@@ -85,12 +109,14 @@ def lines_of(html: str) -> Iterator[tuple[str, int, bool]]:
             text = html[at : tag.start()]
             parts.append(text)
             linked += len(text) if in_link else 0
+        elif hidden and tag.start() > at:
+            held[cover] = held.get(cover, 0) + len(" ".join(html[at : tag.start()].split()))
         at = tag.end()
         name = (tag[3] or "").lower()
         if not name:
             continue
         if name == "a":
-            in_link = not tag[2]
+            in_link, link_depth = not tag[2] and bool(HREF.search(tag[4])), len(opened)
         if name == "br":
             parts.append(" ")
         if name in VOID and name != "hr":
@@ -111,7 +137,9 @@ def lines_of(html: str) -> Iterator[tuple[str, int, bool]]:
             close(first)
         if name in ("p", "li") and opened and opened[-1][0] == name:
             close(len(opened) - 1)
-        bad = is_boilerplate(name, tag[4], within > 0)
+        bad = tag.start() not in shown and is_boilerplate(name, tag[4], within > 0)
+        if bad and not hidden:
+            cover = tag.start() if may_wrap(name, tag[4]) else -1
         if bad or name not in INLINE:
             opened.append((name, bad))
             hidden += bad
@@ -164,7 +192,7 @@ def _between(lines: list[tuple[str, int, bool]], weight: list[int], window: int,
 
 
 def main_text(html: str | None) -> str:
-    return "\n".join(main_lines(list(lines_of(html or ""))))
+    return "\n".join(main_lines(lines_of(html or "")))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -165,3 +165,44 @@ def test_long_urls_and_repeated_links(spark):
     assert urls.alias_edges(df).count() == 2
     got = sorted((r.page_id, r.verdict) for r in urls.url_verdicts(df, RULES).collect())
     assert got == [(1, "block"), (1, "block"), (2, "allow")]
+
+
+BODY = "<p>" + "A first paragraph that is long enough to be the text of a page, by itself. " * 3 + "</p><p>" + "A second one follows it and says some more of the same. " * 3 + "</p>"
+PLAIN = "\n".join(" ".join(p.split()) for p in BODY.replace("</p>", "").split("<p>")[1:])
+MENU = '<nav><a href="/">Home</a> <a href="/x">Other things</a></nav>'
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f'{MENU}<div class="container right-sidebar"><article>{BODY}</article></div>',
+        f'{MENU}<div class="right-sidebar">{BODY}</div>',
+        f'<form action="/page.aspx">{MENU}<div>{BODY}</div></form>',
+        f'<form><div class="sidebar">{MENU}<main>{BODY}</main></div></form>',
+        f'{MENU}<div><a name="top"><p></p>{BODY}</div>',
+        f'{MENU}<div><h2><a href="#top">&nbsp;</h2>{BODY}</div>',
+        f'{MENU}<div>{BODY}</div><div class="comments">{"<p>A reader says a great many words about all of this.</p>" * 40}</div>',
+        f'{MENU}<div>{BODY}</div><aside>{"<p>See also some other page of ours.</p>" * 5}</aside>',
+    ],
+)
+def test_no_body_is_lost_to_the_name_of_a_wrapper(html):
+    assert lineblock.main_text(html) == PLAIN
+
+
+def test_headers_inside_the_article_stay():
+    for name in ("article-header", "post-header", "header"):
+        page = f'{MENU}<article><div class="{name}"><h1>A title</h1></div>{BODY}</article><div class="{name}">Site</div>'
+        assert lineblock.main_text(page) == "A title\n" + PLAIN
+
+
+def test_given_pages_without_their_article_tags(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", r"(?i)</?(?:article|main)\b[^>]*>", ""))
+    want = {r.page_id: r.text for r in lineblock.extract(pages).collect()}
+    got = {r.page_id: r.text for r in lineblock.extract(bare).collect()}
+    assert all(got.values()) and sum(got[k] == want[k] for k in want) >= 0.99 * len(want)
+
+
+def test_a_very_long_page():
+    html = f"<article>{BODY * 3000}</article>"
+    assert lineblock.main_text(html) == "\n".join([PLAIN] * 3000)

@@ -32,16 +32,22 @@ HEADLINE = [
     "shuffled_position",
     "global_position",
     "train_val_split",
+    "train_val_split_stored",
     "next_valid",
     "epoch_plan",
+    "epoch_plan_keyed",
+    "limit_samples",
     "length_report",
     "length_histogram",
+    "length_sketch",
     "chat_examples",
     "chat_token_freq",
     "supervised_chat_freq",
     "write_chat_examples",
+    "length_cap_written",
     "training_batches",
     "training_batches_substituted",
+    "training_batches_keyed",
     "first_per_source",
     "extract_text",
     "corpus_sizes",
@@ -49,7 +55,9 @@ HEADLINE = [
     "prediction_views",
     "loss_mask_llama",
     "integrity_check",
+    "check_files",
     "skip_done",
+    "skip_many_done",
     "topk_accuracy",
     "epoch_rollup",
     "concat_layers",

@@ -374,19 +374,21 @@ def next_valid(
 
     ``carry`` maps columns of that row to names under which they come along, which saves a join
     by position. Rows are looked at in segments of equal size; only one usable row per
-    segment is carried between them. Null when no row is usable.
+    segment is carried between them. Null when no row is usable. Windows run from the last
+    row back to the first: a frame that ends at the current row grows by one row at a time,
+    one that starts there would be worked out anew for each row.
     """
     placed = global_position(df, order_by, pos=pos, total="_n")
     taken = carry or {}
     seg = F.floor(F.col(pos) / segment_rows)
     at = F.when(F.col(valid), F.struct(F.col(pos).alias("_at"), *[F.col(c).alias(name) for c, name in taken.items()]))
-    ahead = Window.partitionBy("_seg").orderBy(pos).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = placed.withColumn("_seg", seg).withColumn("_here", F.first(at, ignorenulls=True).over(ahead))
+    ahead = Window.partitionBy("_seg").orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = placed.withColumn("_seg", seg).withColumn("_here", F.last(at, ignorenulls=True).over(ahead))
 
     firsts = placed.groupBy(seg.alias("_seg")).agg(F.min_by(at, F.when(F.col(valid), F.col(pos))).alias("_first"))
-    later = Window.orderBy("_seg").rowsBetween(1, Window.unboundedFollowing)
-    whole = Window.orderBy("_seg").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.first("_first", ignorenulls=True)
+    later = Window.orderBy(F.desc("_seg")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy(F.desc("_seg")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.last("_first", ignorenulls=True)
     carried = firsts.select("_seg", F.coalesce(first.over(later), first.over(whole)).alias("_later"))
     found = rows.join(carried, "_seg").withColumn("_use", F.coalesce("_here", "_later"))
     extra = {out: F.col("_use._at")} | {name: F.col(f"_use.{name}") for name in taken.values()}

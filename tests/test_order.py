@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,3 +200,11 @@ def test_next_valid_brings_columns_along(spark, segment_rows):
         assert (r["use_pos"], r["use_k"], r["use_text"]) == (use, use, f"t{use}")
     none = order.next_valid(df.withColumn("ok", F.lit(False)), "k", "ok", carry={"text": "use_text"})
     assert {(r["use_pos"], r["use_text"]) for r in none.collect()} == {(None, None)}
+
+
+def test_next_valid_grows_no_frame_from_the_current_row(spark):
+    # Such a frame is worked out anew for each row: n * n / 2 steps for a segment of n rows, in one task.
+    df = numbers(spark, 1000).withColumn("ok", F.col("id") % 7 == 3)
+    plan = order.next_valid(df, "id", "ok", carry={"id": "use_id"})._jdf.queryExecution().optimizedPlan().toString()
+    frames = re.findall(r"specifiedwindowframe\(([^)]*\)?[^)]*)\)", plan)
+    assert frames and not [f for f in frames if "unboundedfollowing$" in f and "unboundedpreceding$" not in f]

@@ -175,6 +175,29 @@ def test_user_functions(spark):
     assert bt.row_transform(df, None) is df
 
 
+def test_plugged_tokenisers_hold_a_piece_at_a_time(spark):
+    # One Arrow batch of 300 rows; the tokeniser tells how much text it was given in one call.
+    texts = [None, "", "é" * 40, "a " * 300, *["w" * (k % 23) for k in range(296)]]
+    rows = [(k, t, None if t is None or k % 5 == 0 else [t, t[:3]], [t] if k % 2 else None) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id int, text string, turns array<string>, instr array<string>").coalesce(1)
+
+    def factory():
+        return lambda texts: [[sum(len(t.encode()) for t in texts), *range(len(t))] for t in texts]
+
+    one = bt.pluggable_tokeniser(factory, batched=True, piece=200)
+    got = {r["id"]: r["x"] for r in df.select("id", one("text").alias("x")).collect()}
+    assert len(got) == 300 and got[0]["ids"] is None and got[0]["error"] is None
+    assert all(got[k]["ids"][1:] == list(range(len(t))) for k, t in enumerate(texts) if t is not None)
+    assert all(got[k]["ids"][0] <= 200 for k in range(1, 300) if k != 3) and got[3]["ids"][0] == 600
+    chat = bt.pluggable_chat_encoder(factory, batched=True, piece=200)
+    made = {r["id"]: r["x"] for r in df.select("id", chat("text", "turns", "instr").alias("x")).collect()}
+    for k, text, turns, instr in rows:
+        assert made[k]["ids"] is None if text is None else made[k]["ids"][0] <= 200 or k == 3
+        assert made[k]["turn_len"] == (None if turns is None else [len(t) + 1 for t in turns])
+        assert made[k]["instr_len"] == (None if instr is None else [None if t is None else len(t) + 1 for t in instr])
+        assert made[k]["error"] is None
+
+
 def test_plugged_tokeniser_in_other_operators(spark, tmp_path):
     from parley.operators import lengths as ln
 

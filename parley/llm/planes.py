@@ -152,20 +152,32 @@ def drops_blanks(path: str) -> bool:
     return changes == ["NFC", "Replace", "Lowercase"] and bool(words)
 
 
+def marker(path: str) -> tuple[str, int] | None:
+    """A special token, with its id, that is found in a text as it stands; None if the tokenizer's file has none."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file).get("added_tokens") or []
+    plain = [t for t in added if t["special"] and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"])]
+    return (plain[-1]["content"], plain[-1]["id"]) if plain else None
+
+
 class MemoEncoder:
     """Encodes with a tokenizer of the tokenizers library.
 
     One that drops white space, as its file tells, encodes a text as its blank-separated
     pieces one after another, so each distinct piece is encoded once per worker;
-    ``room`` bounds the memory, at some 150 bytes a piece. Any other gets whole texts.
+    ``room`` bounds the memory, at some 150 bytes a piece: the pieces of half the room become the
+    past, from which those that come again are taken over, and the past before goes. New
+    pieces are encoded many at a time, with a special token behind each. Any other tokenizer gets whole texts.
     """
 
+    TOGETHER = 50
+
     def __init__(self, path: str, room: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room, self.known = Tokenizer.from_file(path), room, {}
-        self.in_pieces = drops_blanks(path)
+        self.tokenizer, self.room, self.known, self.past = Tokenizer.from_file(path), room, {}, {}
+        self.in_pieces, self.marker = drops_blanks(path), marker(path)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if not self.in_pieces:
@@ -174,11 +186,19 @@ class MemoEncoder:
         # would do next, so that fewer pieces differ; texts that may name a special token stay as they are.
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > self.room:
-            self.known, new = {}, list(set().union(*split))
-        self._learn(new)
+        if len(self.known) + len(new) > self.room // 2:
+            self.known, self.past, new = {}, self.known, list(set().union(*split))
+        self._learn(self._recalled(new))
         return [b"".join(map(self.known.__getitem__, p)) for p in split]
 
+    def _recalled(self, pieces) -> list[bytes]:
+        """Takes over what the past knows; returns the others."""
+        if not self.past:
+            return list(pieces)
+        again = self.past.keys() & pieces
+        self.known.update((p, self.past[p]) for p in again)
+        return [p for p in pieces if p not in again]
+
     def _learn(self, pieces: list[bytes]) -> None:
         # The tokenizer cuts between letters or digits and marks, so a word is shared by its forms with marks behind it.
         forms = {}
@@ -187,14 +207,32 @@ class MemoEncoder:
             if len(word) < len(p) and word[-1:].isalnum() and b"<|" not in p:
                 forms[p] = (word, p[len(word) :])
         new = {x for p in pieces for x in forms.get(p, (p,))}.difference(self.known)
-        new = list(new)
+        new = self._recalled(new)
         for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)):
-                self.known[piece] = np.array(e.ids, "<u4").tobytes()
+            self._encode(new[k : k + 10_000])
         for p, (word, marks) in forms.items():
             self.known[p] = self.known[word] + self.known[marks]
 
+    def _encode(self, pieces: list[bytes]) -> None:
+        alone = pieces
+        if self.marker:
+            mark, mark_id = self.marker
+            alone = [p for p in pieces if mark.encode() in p]
+            groups = [p.decode() for p in pieces if mark.encode() not in p] if alone else [p.decode() for p in pieces]
+            groups = [groups[k : k + self.TOGETHER] for k in range(0, len(groups), self.TOGETHER)]
+            texts = [f" {mark} ".join([*g, ""]) for g in groups]
+            for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                ends = np.flatnonzero(ids == mark_id)
+                if len(ends) != len(g):
+                    raise ValueError("a special token is lost or made between pieces")
+                raw, at = ids.tobytes(), 0
+                for piece, end in zip(g, (4 * ends).tolist()):
+                    self.known[piece.encode()] = raw[at:end]
+                    at = end + 4
+        for piece, e in zip(alone, self.tokenizer.encode_batch_fast([p.decode() for p in alone], add_special_tokens=False)):
+            self.known[piece] = np.array(e.ids, "<u4").tobytes()
+
 
 _ENCODERS: dict[str, MemoEncoder] = {}
 

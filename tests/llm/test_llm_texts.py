@@ -370,3 +370,25 @@ def test_tree_rules():
 
 def tree_paths(text):
     return rules.tree_rules(text)
+
+
+def test_memo_encoder_keeps_pieces_that_come_again():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, memo, encoded = Tokenizer.from_file(path), planes.MemoEncoder(path, room=80), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            encoded.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    memo.tokenizer = Counting()
+    for k in range(30):
+        texts = [f"Often, often (x{k}) w{k}é! {k}<|endoftext|>{k} <|endoftext|> it'ś\x1cA b ² ǅ #{k}" + "".join(f" q{k}z{j}" for j in range(12)), ""]
+        want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert memo([t.encode() for t in texts]) == want
+    # Once, however often the room was full; and many pieces at a time.
+    assert sum(t.split().count("often") for t in encoded) == 1 and len(encoded) < 150
+    assert len(memo.known) + len(memo.past) <= 2 * 80

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,6 +226,37 @@ def test_fuzzy_lines_of_some_70_characters(spark):
     assert pairs > 300 and all(d % 2 for d in got) and pairs - 3 <= len(got) <= pairs
 
 
+def test_fuzzy_lines_of_odd_bytes():
+    """Blanks at the ends, more than are passed one by one, breaks alone, and characters of several bytes."""
+    texts_ = [" a\tb \n\n" + " " * 99 + "naïve œuvre" + "\t" * 99 + "\n" + " " * 99, None, "", "\n", "x" * 8 + "\n" + "x" * 16, "ab\x00", "ab", "\u2003 x"]
+    want = [(i, k, x.strip(" \t\n\r\v\f")) for i, t in enumerate(texts_) for k, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\r\v\f")]
+    lines = fuzzylines.Lines(pa.array(texts_, pa.string()))
+    found = [bytes(lines.data[a:b]).decode() for a, b in zip(lines.starts, lines.ends)]
+    assert list(zip(lines.text.tolist(), lines.number.tolist(), found)) == want
+    assert len(set(lines.hashes().tolist())) == len(set(found)) == len(found)
+    alone = [fuzzylines.Lines(pa.array([f"\n {x} "])).hashes()[0] for x in found]
+    assert alone == lines.hashes().tolist()
+    first, chars = lines.code_points(np.arange(len(found)))
+    assert ["".join(map(chr, chars[a:b])) for a, b in zip(first, first[1:])] == found
+
+
+def test_fuzzy_lines_go_out_in_one_batch_a_slice(texts):
+    """Bands of all buckets and places of all lines come together, and give each line's place back."""
+    rows = {i: t for i, t in texts.items() if t}
+    batch = pa.RecordBatch.from_pydict({"doc": list(rows), "tie": list(rows), "text": list(rows.values())})
+    parts = list(words.slices([batch], "text", 1 << 20))
+    out = list(fuzzylines._bands(64, 80)([batch]))
+    assert len(out) == len(parts) and all(x.column("bucket").to_pylist()[-1] == -1 for x in out)
+    met = pa.Table.from_batches(fuzzylines._join_bands(32)(out)).filter(pa.compute.field("node").is_valid())
+    want = {(i, k) for i, t in rows.items() for k, x in enumerate(t.split("\n")) if x.strip(" \t\n\r\v\f")}
+    assert set(zip(met["doc"].to_pylist(), met["line"].to_pylist())) == want and met["tie"] == met["doc"] and len(met) == len(want)
+
+
+def test_fuzzy_lines_are_taken_out_by_spark(spark, edge_docs):
+    plan = fuzzylines.drop_similar_lines(edge_docs)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Python" not in plan
+
+
 def test_decontamination_finds_copies_and_paraphrases(spark, docs, texts):
     bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     items = {r.item_id: r.text for r in bench.collect()}

@@ -90,6 +90,39 @@ def test_components(spark):
     assert got == {k: v for k, v in label.items() if k in got} and set(label) - set(got) <= {a for a, b in edges if a == b}
 
 
+@pytest.mark.parametrize("kind,chunk", [("long", 1 << 19), ("long", 7), ("string", 7)])
+def test_components_of_paths_and_hubs(spark, kind, chunk):
+    """A shuffled path, hubs with larger and with smaller neighbours, edges between them and repeated ones."""
+    rng = np.random.default_rng(8)
+    name = rng.permutation(900) - 100
+    edges = [(k, k + 1) for k in range(150)] + [(200, k) for k in range(201, 400)] + [(k, 400 + k % 3) for k in range(410, 600)] + [(401, 402), (210, 410), (700, 701), (701, 700)]
+    edges = [(int(name[a]), int(name[b])) for a, b in edges]
+    edges += [(a, b) for a, b in edges[::5]] + [(1000, min(name[:150])), (1000, 5000)] + [(5000, 6000 + k) for k in range(50)] + [(k - 900, 5000) for k in range(50)]
+    edges = [edges[k] for k in rng.permutation(len(edges))]
+    edges = [tuple(f"{x + 1000:05}" for x in e) for e in edges] if kind == "string" else [tuple(map(int, e)) for e in edges]
+    label = {x: x for e in edges for x in e}
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = connected_components(spark.createDataFrame([*edges, (None, None)], f"a {kind}, b {kind}").repartition(3), chunk=chunk).collect()
+    assert {r.id: r.component for r in got} == label and len(got) == len(label)
+
+
+def test_components_take_few_rounds(spark):
+    """Jobs of a search in near copies that meet in many regions: those of many small tasks last long."""
+    rng = np.random.default_rng(11)
+    ids = rng.integers(-(2**62), 2**62, 4000)
+    edges = [(int(ids[a]), int(ids[b])) for a, b in zip(rng.integers(0, 200, 6000), rng.integers(200, 4000, 6000))]
+    df = spark.createDataFrame(edges, "a long, b long")
+    spark.sparkContext.setJobGroup("components", "components")
+    try:
+        found = connected_components(df)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 20
+    assert found.select("component").distinct().count() == 1 and connected_components(df.limit(0)).count() == 0
+
+
 def test_hash_set_loses_nothing(spark):
     ids = spark.range(5000).selectExpr("xxhash64(id) AS h")
     held = HashSet.of(ids, "h", bits=1 << 16)

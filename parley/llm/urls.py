@@ -98,11 +98,11 @@ _CANONICAL = r"""(?i)^<link\b[^>]*(?<![\w-])rel\s*=\s*(?:"(?:[^"]*\s)?canonical[
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(src, dst): nodes joined by <link rel=canonical> or <meta http-equiv=refresh>; comments and scripts don't count.
 
-    Links are taken from the page's <base>, if it has one, else from its url.
+    Links are taken from the page's first <base> with an href, if it has one, else from its url.
     """
     html = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script\s*>", " ")
     tags = pages.where(F.col("html").rlike(r"(?i)<(?:link|meta)\b[^>]*(?:canonical|refresh)") & node_of(F.col("url")).isNotNull())
-    base = _attribute(F.regexp_extract(F.col("plain"), r"(?i)<base\b[^>]*>", 0), "href")
+    base = _attribute(F.regexp_extract(F.col("plain"), r"(?i)<base\b[^>]*(?<![\w-])href\s*=[^>]*>", 0), "href")
     tags = tags.select("url", html.alias("plain")).select("url", "plain", base.alias("base"))
     tags = tags.select("url", "base", F.explode(F.regexp_extract_all("plain", F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), 0)).alias("tag"))
     tag, url = F.col("tag"), F.col("url")
